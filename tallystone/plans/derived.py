@@ -82,7 +82,7 @@ join {accounts} a on t.account_id = a.account_id
 # Statement deliveries: monthly or longer windows, some incremental.
 DERIVED["batches"] = """
 select o_orderkey as batch_id, o_custkey % 100 as account_id,
-       SHA[[concat(cast(o_custkey % 100 as string), cast(cast(o_totalprice as bigint) % 5000 as string))]]
+       SHA[[concat(cast(o_custkey % 100 as string), cast(cast(floor(o_totalprice) as bigint) % 5000 as string))]]
            as source_sha256,
        case when o_orderkey % 10 = 0 then 'incremental' else 'snapshot' end as mode,
        cast(o_orderdate as date) as window_start,
@@ -106,6 +106,26 @@ select event_id as seq, concat('CH-', cast(event_id as string)) as id,
 from {events}
 """
 
+# Parsed statement lines: one file per account and year, dense enough to repeat charges.
+DERIVED["bank_rows"] = """
+select id, account_id, part_id, order_id, currency,
+       concat(cast(account_id as string), '-', cast(year(posted_on) as string)) as file_id,
+       year(posted_on) as file_year, 2 + order_id * 8 + line_no as line,
+       account_id % 7 as shape, account_id % 14 >= 7 as flipped,
+       make_date(year(posted_on), quarter(posted_on) * 3, cast(1 + part_id % 28 as int)) as posted_on,
+       concat('SHOP ', cast(part_id % 4 as string)) as merchant,
+       cast(case when part_id % 5 = 0 then 1 else -1 end * (1 + quantity % 5) as decimal(18,2)) as amount,
+       concat('T', id) as external_id,
+       case when part_id % 43 = 0 then 'blank' when part_id % 37 = 0 then 'surplus'
+            when part_id % 41 = 0 then 'short' when part_id % 47 = 0 then 'date'
+            when part_id % 53 = 0 then 'description' when part_id % 59 = 0 then 'amount'
+            when part_id % 61 = 0 then 'both' else 'fine' end as fault
+from {txn}
+"""
+
+# The part of it an earlier run already stored.
+DERIVED["stored_rows"] = "select * from {bank_rows} where part_id % 3 = 0"
+
 _TOKEN = re.compile(r"SHA\[\[(.*?)\]\]", re.S)
 _NAME = re.compile(r"\{(\w+)\}")
 
