@@ -126,6 +126,32 @@ from {txn}
 # The part of it an earlier run already stored.
 DERIVED["stored_rows"] = "select * from {bank_rows} where part_id % 3 = 0"
 
+# Planted cadences: regular, jittered, irregular, wild, zero, same-day and transfer series.
+DERIVED["series_keys"] = """
+select c_custkey as k, concat('SERIES ', cast(c_custkey as string)) as merchant,
+       cast(1 + c_custkey % 24 as int) as n,
+       case c_custkey % 5 when 0 then 7 when 1 then 14 when 2 then 30 when 3 then 91 else 365 end as step,
+       cast(case when c_custkey % 50 = 0 then 0 else -1 end * abs(cast(c_acctbal as decimal(18,2)))
+            as decimal(18,2)) as base
+from {customer}
+"""
+DERIVED["series"] = """
+select merchant, kind, date '2010-01-01' + cast(day as int) as posted_on,
+       cast(base * factor as decimal(18,2)) as amount
+from (select merchant, base, case when k % 12 = 0 then 'TRANSFER' else 'SPENDING' end as kind,
+        case when k % 9 = 0 then i * step + i * i * 2
+             when k % 8 = 0 then floor((i + 1) / 2) * step
+             when k % 4 = 0 and step > 7 then i * step + (i * k) % 5 - 2
+             else i * step end as day,
+        case when k % 10 = 0 then cast(1 + i % 4 as decimal(9,2))
+             when k % 6 = 0 and i * 3 >= n * 2 then cast(1.12 as decimal(9,2))
+             else cast(1 as decimal(9,2)) end as factor
+      from (select *, EACH[[n]] as i from {series_keys}) x) y
+union all
+select 'GROCER', 'SPENDING', date '2010-01-01' + cast(k % 3000 as int), base from {series_keys}
+"""
+
+_EACH = re.compile(r"EACH\[\[(\w+)\]\]")
 _TOKEN = re.compile(r"SHA\[\[(.*?)\]\]", re.S)
 _NAME = re.compile(r"\{(\w+)\}")
 
@@ -143,6 +169,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in DERIVED:
         return table(spark, sf_dir, name)
     text = _TOKEN.sub(r"sha2(\1, 256)", DERIVED[name])
+    text = _EACH.sub(r"explode(sequence(0, \1 - 1))", text)
     inputs = {used: view(spark, sf_dir, used) for used in _inputs(text)}
     return spark.sql(text, **inputs)
 
@@ -161,10 +188,10 @@ def duck(names: str | list[str], body: str, **extra: str) -> str:
 
     for name in wanted:
         visit(name)
-    parts = [
-        f"{name} as ({_NAME.sub(r'\1', _TOKEN.sub(r'sha256(\1)', DERIVED[name]))})"
-        for name in ordered
-    ]
+    parts = []
+    for name in ordered:
+        text = _EACH.sub(r"unnest(range(0, \1))", _TOKEN.sub(r"sha256(\1)", DERIVED[name]))
+        parts.append(f"{name} as ({_NAME.sub(r'\1', text)})")
     parts += [f"{name} as ({text})" for name, text in extra.items()]
     return (f"with {', '.join(parts)} " if parts else "") + body
 
