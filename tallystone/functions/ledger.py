@@ -108,8 +108,21 @@ def queue_state() -> Column:
 
 
 def half_even_ratio(numerator: Column, denominator: Column, places: int = 4) -> Column:
-    """Exact ratio rounded half to even; zero where there is nothing to divide by."""
-    n, d = numerator.cast("decimal(20,0)"), denominator.cast("decimal(20,0)")
-    return F.when(d == 0, F.lit(0)).otherwise(F.bround(n / F.nullif(d, F.lit(0)), places)).cast(
-        "decimal(18,4)"
+    """Exact ratio rounded half to even; zero where there is nothing to divide by.
+
+    Quotient and remainder are whole numbers, so a tie is seen as one.
+    """
+    whole = "decimal(38,0)"
+    scaled = F.abs(numerator.cast(whole)) * F.lit(10**places).cast("decimal(9,0)")
+    scaled, d = scaled.cast(whole), F.nullif(F.abs(denominator.cast(whole)), F.lit(0).cast(whole))
+    rest = (scaled % d).cast(whole)
+    quotient = ((scaled - rest).cast(whole) / d).cast("decimal(28,0)")
+    twice = (rest * 2).cast(whole)
+    up = (twice > d) | ((twice == d) & (quotient % 2 == 1))
+    negative = (numerator < 0) != (denominator < 0)
+    value = (quotient + F.when(up, 1).otherwise(0)) * F.lit("0." + "0" * (places - 1) + "1" if places else "1").cast(
+        f"decimal(9,{places})"
+    )
+    return F.coalesce(F.when(negative, -value).otherwise(value), F.lit(0)).cast(
+        f"decimal(18,{places})"
     )

@@ -101,8 +101,7 @@ select event_id as seq, concat('CH-', cast(event_id as string)) as id,
        case when cast(ts as date) < date '2024-01-08' then '2024-W01'
             when cast(ts as date) < date '2024-01-15' then '2024-W02'
             when cast(ts as date) < date '2024-01-22' then '2024-W03'
-            when cast(ts as date) < date '2024-01-29' then '2024-W04'
-            else '2024-W05' end as period
+            else '2024-W04' end as period
 from {events}
 """
 
@@ -151,6 +150,89 @@ union all
 select 'GROCER', 'SPENDING', date '2010-01-01' + cast(k % 3000 as int), base from {series_keys}
 """
 
+# Labelled benchmark rows: two annotators, adjudication, some accepted alternatives.
+_NAMES = ("LIVING_DINING,LIVING_GROCERY,LIVING_PHONE,LIVING_GYM,INCOME,TRANSFER,REFUND,"
+          "HOUSING_UTILITIES,COMMUTE_FUEL,HEALTH_PREMIUM,LIVING_TRAVEL,RELOCATION_MOVE")
+
+
+def _name(offset: str) -> str:
+    return f"split_part('{_NAMES}', ',', cast((gi + {offset}) % 12 as int) + 1)"
+
+
+DERIVED["labelled"] = f"""
+select *, coalesce(adjudicated_label, primary_label) as gold,
+       case when secondary_label is null then null else primary_label = secondary_label end as agreed,
+       case when row_no % 20 = 5 then concat(coalesce(adjudicated_label, primary_label), '|', {_name("4")}) end
+           as acceptable
+from (
+  select *, case when secondary_label <> primary_label then
+                   case when row_no % 26 = 0 then null when row_no % 2 = 1 then secondary_label else primary_label end
+                 when row_no % 101 = 0 then {_name("3")} end as adjudicated_label
+  from (
+    select *, {_name("0")} as primary_label,
+           case when row_no % 3 = 0 then null when row_no % 13 = 0 then {_name("1")} else {_name("0")} end
+               as secondary_label
+    from (
+      select event_id as row_no, user_id, concat('E-', cast(event_id as string)) as transaction_id,
+             cast(ts as date) as posted_on,
+             concat(upper(event_type), '-', cast(user_id as string)) as merchant,
+             case when event_id % 6 = 0 then concat(upper(event_type), '-', cast(user_id as string))
+                  when event_id % 35 = 0 then concat('Tfr to savings ', cast(event_id as string))
+                  else concat('SQ *', upper(event_type), '-', cast(user_id as string), ' #', cast(event_id % 100 as string))
+             end as description,
+             cast(case when event_id % 8 = 0 then 1 else -1 end * cast(value as decimal(18,2)) as decimal(18,2)) as amount,
+             'card' as account_type,
+             user_id * 5 + case when event_id % 10 = 0 then 1 else 0 end as gi
+      from {{events}}) a) b) c
+"""
+
+# Three systems' recorded answers for every labelled row.
+DERIVED["predictions"] = f"""
+select transaction_id, row_no, 'rules' as system, gold, acceptable, agreed,
+       case when row_no % 4 = 0 then 'UNKNOWN' when row_no % 7 = 0 then {_name("2")} else gold end as predicted,
+       cast(case when row_no % 4 = 0 then 0 else 0.5 + (row_no % 6) * 0.1 end as decimal(4,3)) as confidence
+from {{labelled}}
+union all
+select transaction_id, row_no, 'model', gold, acceptable, agreed,
+       case when row_no % 31 = 0 then 'UNKNOWN' when row_no % 9 = 0 then {_name("1")}
+            when row_no % 40 = 5 then {_name("4")} else gold end,
+       cast(case when row_no % 31 = 0 then 0 when row_no % 9 = 0 then (20 + row_no % 75) * 0.01
+            else (100 - row_no % 60) * 0.01 end as decimal(4,3))
+from {{labelled}}
+union all
+select transaction_id, row_no, 'hybrid', gold, acceptable, agreed,
+       case when row_no % 62 = 0 then 'UNKNOWN' when row_no % 11 = 0 then {_name("1")} else gold end,
+       cast(case when row_no % 62 = 0 then 0 when row_no % 11 = 0 then (20 + row_no % 75) * 0.01
+            else (100 - row_no % 50) * 0.01 end as decimal(4,3))
+from {{labelled}}
+"""
+
+# One row per model call.
+DERIVED["model_calls"] = """
+select transaction_id, system, 400 + (row_no * 37) % 1900 as latency_ms, 900 + row_no % 700 as input_tokens,
+       60 + row_no % 90 as output_tokens, row_no % 211 = 0 as failed, row_no % 97 = 0 as rejected
+from {predictions} where system <> 'rules'
+"""
+
+# Peer payments and other lines for masking.
+DERIVED["peer_lines"] = """
+select o_orderkey as line_id, case when o_orderkey % 3 = 0 then
+         concat(case when o_orderkey % 2 = 0 then 'Zelle payment to ' else 'ZELLE TRANSFER FROM ' end, person,
+                case when o_orderkey % 5 = 0 then concat(' REF', cast(1000 + o_orderkey % 9000 as string)) else '' end)
+         else concat('CARD PURCHASE FROM ', person) end as description, person
+from (select *, concat('Person ', split_part('Ada,Bea,Cy,Dee,Eli,Fay,Gus,Hal,Ida,Jo', ',', cast(o_custkey % 10 as int) + 1), ' ',
+        split_part('Stone,Brook,Field,Marsh,Ridge,Vale,Wood,Hill,Glen,Ford,Dale', ',', cast(o_custkey % 11 as int) + 1)) as person
+      from {orders}) x
+"""
+
+# Candidates for an evaluation subset; many merchants have one row only.
+DERIVED["subset_rows"] = """
+select account_id, concat('M', cast(order_id as string)) as merchant, amount,
+       SHA[[id]] as fingerprint, 1 as occurrence,
+       concat(cast(account_id as string), '-', substr(SHA[[id]], 1, 8), '-1') as evaluation_id
+from {txn}
+"""
+
 _EACH = re.compile(r"EACH\[\[(\w+)\]\]")
 _TOKEN = re.compile(r"SHA\[\[(.*?)\]\]", re.S)
 _NAME = re.compile(r"\{(\w+)\}")
