@@ -233,6 +233,57 @@ select account_id, concat('M', cast(order_id as string)) as merchant, amount,
 from {txn}
 """
 
+# Scenario profiles: every customer compares a current job with a candidate one.
+_CATS = ",".join(SPENDING_LABELS)
+DERIVED["profiles"] = """
+select k as pair_id, side, cast(g + case when side = 'candidate' then (k % 13 - 3) * 2500 else 0 end as decimal(18,2)) as base_salary,
+       cast(g as decimal(18,2)) as observed_gross, cast(g * 72 as decimal(18,2)) * cast(0.01 as decimal(3,2)) as observed_net,
+       cast(0.20 + (k % 8) * 0.01 as decimal(4,2)) as marginal_rate,
+       cast(case when side = 'candidate' then (k % 4) * 2500 else 0 end as decimal(18,2)) as signing_bonus,
+       (k % 3) * 6 as repayment_months,
+       cast((k % 5) * 0.02 as decimal(4,2)) as bonus_rate, cast(0.5 + (k % 5) * 0.1 as decimal(4,2)) as bonus_probability,
+       cast(case when side = 'candidate' then (k % 6) * 1000 else 0 end as decimal(18,2)) as relocation,
+       cast(0.5 + (k % 2) * 0.5 as decimal(4,2)) as match_rate, cast(0.03 + (k % 3) * 0.01 as decimal(4,2)) as match_limit,
+       cast(0.02 + (k % 5) * 0.01 as decimal(4,2)) as employee_rate, (k % 4) * 12 as match_vesting_months,
+       cast((k % 3) * 500 as decimal(18,2)) as hsa_annual, cast(120 + k % 80 as decimal(18,2)) as premium_monthly,
+       cast((k % 7) * 10000 as decimal(18,2)) as equity_total, 48 as equity_months, 12 as equity_cliff,
+       cast(0.30 + (k % 3) * 0.05 as decimal(4,2)) as withholding_rate,
+       cast(case when side = 'candidate' then (k % 11) * 0.5 else 3 end as decimal(4,1)) as onsite_days,
+       46 + k % 5 as working_weeks, cast(40 as decimal(4,1)) as weekly_hours, 15 + k % 50 as commute_minutes,
+       cast(1 + k % 4 as int) as household_size,
+       case k % 3 when 0 then 'EVEN' when 1 then 'PERCENTAGE' else 'FIXED' end as split_method,
+       cast((k % 10) * 10 + 5 as decimal(5,1)) as user_weight, cast(150 + k % 300 as decimal(18,2)) as user_fixed,
+       case when k % 3 = 0 then 'NJ' else 'AL' end as home, case when k % 4 = 0 then 'NY' else 'AL' end as work_place,
+       date '2026-01-01' as horizon_start, date '2026-04-01' as move_date
+from (select c_custkey as k, 40000 + (c_custkey * 137) % 90000 as g from {customer}) c
+cross join (select 'current' as side union all select 'candidate' as side) s
+"""
+
+DERIVED["item_keys"] = """
+select c_custkey as k, side, 8 as n from {customer}
+cross join (select 'current' as side, 0 as shift union all select 'candidate' as side, 2 as shift) s
+"""
+DERIVED["cost_items"] = f"""
+select k as pair_id, side, i as seq, category,
+       cast(20 + (k * (i + 3) * 7) % 900 as decimal(18,2)) + cast((k % 100) * 0.01 as decimal(3,2)) as amount,
+       case when category like 'RELOCATION%' or i = 7 then 'ONE_TIME' when i % 4 = 0 then 'ANNUAL' else 'MONTHLY' end as period,
+       case when category like 'RELOCATION%' or i = 7 then 'ONE_TIME_CASH' else 'RECURRING_CASH' end as flow,
+       case when side = 'current' then date '2025-06-01' when i % 3 = 0 then date '2026-01-01' else date '2026-04-01' end as effective_date,
+       case i % 3 when 0 then 'ASSUMED' when 1 then 'USER_CONFIRMED' else 'SOURCED' end as evidence,
+       i % 2 = 0 and category not like 'COMMUTE%' as is_shared
+from (select *, split_part('{_CATS}', ',', cast((k * 3 + i * 5) % 29 as int) + 1) as category
+      from (select *, EACH[[n]] as i from {{item_keys}}) x) y
+"""
+
+# Run logs of an agent that calls tools; some answers carry altered figures.
+DERIVED["agent_runs"] = """
+select o_orderkey as run_id, case when o_orderkey % 7 = 0 then 'fault' else 'plain' end as kind,
+       cast(o_totalprice as decimal(18,2)) as total, cast(o_totalprice * 2 as decimal(18,2)) as double_total,
+       case when o_orderkey % 17 = 0 then 'turn_limit' when o_orderkey % 19 = 0 then 'provider_failure' else 'finished' end as stopped_reason,
+       o_orderkey % 5 as style, o_custkey
+from {orders}
+"""
+
 _EACH = re.compile(r"EACH\[\[(\w+)\]\]")
 _TOKEN = re.compile(r"SHA\[\[(.*?)\]\]", re.S)
 _NAME = re.compile(r"\{(\w+)\}")
