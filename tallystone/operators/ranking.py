@@ -38,3 +38,24 @@ def running_total(
 
 def row_numbers(rows: DataFrame, keys: list[str], chunk: Column, order: list, name: str) -> DataFrame:
     return running_total(rows, keys, chunk, order, F.lit(1).cast("bigint"), name)
+
+
+def running_last(
+    rows: DataFrame, keys: list[str], chunk: Column, order: str, value: Column, name: str,
+    before: bool = False,
+) -> DataFrame:
+    """Last non-null ``value`` per key up to each row (or, with ``before``, above it).
+
+    Same two steps as ``running_total``: within a chunk, and one row per earlier chunk.
+    """
+    seen = F.when(F.col("_value").isNotNull(), F.struct(order, "_value"))
+    cut = rows.withColumn("_chunk", chunk).withColumn("_value", value).withColumn("_seen", seen)
+    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = cut.groupBy(*keys, "_chunk").agg(F.max("_seen").alias("_top")).select(
+        *keys, "_chunk", F.max("_top").over(earlier).alias("_before")
+    )
+    end = -1 if before else W.currentRow
+    within = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, end)
+    return cut.withColumn("_within", F.max("_seen").over(within)).join(offsets, [*keys, "_chunk"]).select(
+        *rows.columns, F.coalesce("_within", "_before")["_value"].alias(name)
+    )
