@@ -1,11 +1,11 @@
-"""Session helper for tests, the bench and notebooks; a cluster brings its own."""
+"""Sessions for tests and the bench, and shared folders for written intermediates."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int = 8, partitions: int | None = None) -> SparkSession:
@@ -25,16 +25,16 @@ def local_session(cores: int = 8, partitions: int | None = None) -> SparkSession
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder under the one the cluster names in spark.checkpoint.dir.
 
-    Only a session with no folder configured (a test) gets one of its own.
+    Executors come and go, so a cluster must name a shared folder; only a local session
+    may fall back to a temporary one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-            prefix="run-", dir=os.environ.get("TMPDIR", "/tmp")
-        )
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
