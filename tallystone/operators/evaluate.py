@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallystone.functions.ledger import half_even_ratio
+from tallystone.functions.text import strip
 from tallystone.vocab import UNKNOWN
 
 THRESHOLDS = [f"{step * 5 / 100:.2f}" for step in range(21)]
@@ -14,7 +15,7 @@ THRESHOLDS = [f"{step * 5 / 100:.2f}" for step in range(21)]
 
 def label_set(text: Column) -> Column:
     """Labels separated by a vertical bar as a sorted array; empty when none is given."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda p: strip(p))
     return F.sort_array(F.array_distinct(F.filter(parts, lambda p: p != "")))
 
 
