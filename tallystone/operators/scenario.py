@@ -244,25 +244,80 @@ def active_impacts(impacts: DataFrame, profiles: DataFrame, months: int) -> Data
     )
 
 
-def project_months(active: DataFrame) -> DataFrame:
+def cash_spans(impacts: DataFrame, profiles: DataFrame, months: int) -> DataFrame:
+    """Each impact as the month ranges [first, stop) in which it moves cash.
+
+    A recurring impact that starts later also counts in month 0, a range of its own.
+    """
+    starts = profiles.select(*SIDE, "horizon_start")
+    rows = impacts.filter("period <> 'HORIZON_CUMULATIVE' and cash <> 0").join(starts, SIDE)
+    start, once = F.col("horizon_start"), F.col("period") == "ONE_TIME"
+
+    def calendar_months(day):
+        return (F.year(day) - F.year(start)) * 12 + F.month(day) - F.month(start)
+
+    def first_at_or_after(day):
+        index = calendar_months(day)
+        return F.greatest(F.when(F.add_months(start, index) >= day, index).otherwise(index + 1), F.lit(0))
+
+    end = F.when(F.col("ends_before").isNull(), F.lit(months)).otherwise(
+        F.least(first_at_or_after(F.col("ends_before")), F.lit(months)))
+    begin = F.when(
+        once, F.when(F.col("effective_date") < start, 0).otherwise(calendar_months(F.col("effective_date")))
+    ).otherwise(first_at_or_after(F.col("effective_date")))
+    placed = rows.select(
+        *SIDE, "code", once.alias("once"), (F.col("cash") > 0).alias("positive"),
+        F.when(F.col("period") == "ANNUAL", F.col("cash")).otherwise(F.col("cash") * 12).cast(EXACT).alias("cash12"),
+        begin.alias("begin"), F.when(once, F.least(begin + 1, end)).otherwise(end).alias("stop"),
+    ).withColumn("end", F.when(F.col("once"), F.lit(0)).otherwise(F.col("stop")))
+
+    def span(first, stop):
+        return F.when(first < stop, F.struct(first.cast("int").alias("first"), stop.cast("int").alias("stop")))
+
+    spans = F.array_compact(F.array(
+        span(F.col("begin"), F.col("stop")),
+        F.when((F.col("begin") > 0) & (F.col("end") > 0), span(F.lit(0), F.lit(1))),
+    ))
+    bucket = F.when(F.col("once"), "ONE_TIME").when(F.col("positive"), "INCOME").otherwise("SPENDING")
+    return placed.select(*SIDE, "code", bucket.alias("bucket"), "cash12", F.explode(spans).alias("s")).select(
+        *SIDE, "code", "bucket", "cash12", "s.first", "s.stop")
+
+
+def project_months(impacts: DataFrame, profiles: DataFrame, months: int) -> DataFrame:
     """Monthly cash with the residual between bucketed and plain sums, and running cash.
 
-    A scenario's window holds one row per horizon month.
+    A range of months is two rows, its amount where it begins and minus that where it
+    stops; running sums turn them into months. An impact is not repeated per month, and
+    a scenario's window holds one row per horizon month.
     """
+    spans = cash_spans(impacts, profiles, months)
+    edges = F.array(
+        F.struct(F.col("first").alias("month_index"), F.col("cash12").alias("c")),
+        F.struct(F.col("stop").alias("month_index"), (-F.col("cash12")).cast(EXACT).alias("c")),
+    )
+    changes = spans.select(*SIDE, "bucket", F.explode(edges).alias("e")).select(
+        *SIDE, "e.month_index", "bucket", F.col("e.c").alias("c")).filter(F.col("month_index") < months)
+    calendar = profiles.select(
+        *SIDE, F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("month_index"),
+        F.lit("NONE").alias("bucket"), F.lit(0).cast(EXACT).alias("c"))
+
     def part(name):
-        return F.coalesce(F.sum(F.when(F.col("bucket") == name, F.col("cash12"))), F.lit(0)).cast(EXACT)
+        return F.coalesce(F.sum(F.when(F.col("bucket") == name, F.col("c"))), F.lit(0)).cast(EXACT)
 
-    monthly = active.groupBy(*SIDE, "month_index", "month_start").agg(
+    steps = changes.unionByName(calendar).groupBy(*SIDE, "month_index").agg(
         part("INCOME").alias("income12"), part("SPENDING").alias("spending12"),
-        part("ONE_TIME").alias("one_time12"), F.sum("cash12").cast(EXACT).alias("stated12"),
+        part("ONE_TIME").alias("one_time12"), F.sum("c").cast(EXACT).alias("stated12"),
     )
+    upto = W.partitionBy(*SIDE).orderBy("month_index").rowsBetween(W.unboundedPreceding, W.currentRow)
+    flows = ["income12", "spending12", "one_time12", "stated12"]
+    monthly = steps.select(*SIDE, "month_index", *[F.sum(c).over(upto).cast(EXACT).alias(c) for c in flows])
     net = F.col("income12") + F.col("spending12") + F.col("one_time12")
-    order = W.partitionBy(*SIDE).orderBy("month_index")
-    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return monthly.withColumn("net12", net.cast(EXACT)).select(
+    closed = monthly.withColumn("net12", net.cast(EXACT)).select(
         "*", F.sum("net12").over(upto).cast(EXACT).alias("closing12"),
         (F.col("net12") - F.col("stated12")).cast(EXACT).alias("residual12"),
     )
+    return closed.join(profiles.select(*SIDE, "horizon_start"), SIDE).withColumn(
+        "month_start", F.add_months("horizon_start", F.col("month_index"))).drop("horizon_start")
 
 
 def monthly_report(projected: DataFrame) -> DataFrame:
@@ -367,8 +422,8 @@ def simple_cash_tree(rows: DataFrame) -> DataFrame:
 # ---- solvers -------------------------------------------------------------------------
 
 
-def side_totals(impacts: DataFrame, projected: DataFrame) -> DataFrame:
-    """Horizon cash of each side, and the candidate's part that hangs on salary or commute."""
+def side_totals(projected: DataFrame) -> DataFrame:
+    """Horizon cash of each side, as rows per pair."""
     final = projected.groupBy(*SIDE).agg(F.max_by("closing12", "month_index").alias("closing12"))
     return final.groupBy("pair_id").agg(
         F.max(F.when(F.col("side") == "current", F.col("closing12"))).alias("target12"),
@@ -376,6 +431,13 @@ def side_totals(impacts: DataFrame, projected: DataFrame) -> DataFrame:
     )
 
 
+def commute_totals(spans: DataFrame) -> DataFrame:
+    """The part of the candidate's horizon cash that scales with onsite days."""
+    cash = F.col("cash12") * (F.col("stop") - F.col("first"))
+    return spans.filter("side = 'candidate' and code like 'commute%'").groupBy("pair_id").agg(
+        F.sum(cash).cast(EXACT).alias("commute12"))
+
+
 def _salary_cash12(salary: Column, months: int) -> Column:
     """Twelve times the horizon cash that depends on base salary."""
     return (net_pay(salary) + expected_bonus(salary)) * months

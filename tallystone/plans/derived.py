@@ -12,6 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallystone.session import spread
 from tallystone.vocab import SPENDING_LABELS
 
 TABLES = [
@@ -293,8 +294,13 @@ def _inputs(text: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(text)))
 
 
+# Tables that grow with the scale; the others are small dimensions.
+FACTS = {"lineitem", "orders", "events", "documents", "customer"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(frame) if name in FACTS else frame
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

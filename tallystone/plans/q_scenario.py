@@ -125,21 +125,16 @@ def _active(spark, sf):
 
 
 def _projected(spark, sf):
-    return scenario.project_months(_active(spark, sf))
+    return scenario.project_months(_impacts(spark, sf), _profiles(spark, sf), MONTHS)
 
 
 def _pairs(spark, sf):
     """Candidate profiles with both sides' horizon cash and the commute's part of it."""
-    impacts = _impacts(spark, sf)
-    active = scenario.active_impacts(impacts, _profiles(spark, sf), MONTHS)
-    totals = scenario.side_totals(impacts, scenario.project_months(active))
-    commute = active.filter("side = 'candidate' and code like 'commute%'").groupBy("pair_id").agg(
-        F.sum("cash12").cast(scenario.EXACT).alias("commute12")
-    )
-    candidate = _profiles(spark, sf).filter("side = 'candidate'")
-    return candidate.join(totals, "pair_id").join(commute, "pair_id", "left").withColumn(
-        "commute12", F.coalesce("commute12", F.lit(0).cast(scenario.EXACT))
-    )
+    impacts, profiles = _impacts(spark, sf), _profiles(spark, sf)
+    totals = scenario.side_totals(scenario.project_months(impacts, profiles, MONTHS))
+    commute = scenario.commute_totals(scenario.cash_spans(impacts, profiles, MONTHS))
+    return profiles.filter("side = 'candidate'").join(totals, "pair_id").join(commute, "pair_id", "left").withColumn(
+        "commute12", F.coalesce("commute12", F.lit(0).cast(scenario.EXACT)))
 
 
 @query("k1_cost_impacts", _d("profiles cost_items", "select * exclude (wealth, hours) from costs", _BASE))
@@ -285,9 +280,7 @@ from d c join (select pair_id, {_cents(f"sum(w * ({_YEAR}))")} as annualised_cas
    {_cents("sum(w * hours)")} as hours_delta from (select *, case when side = 'candidate' then 1 else -1 end as w from impacts) group by pair_id) i using (pair_id)
 where c.month_index = {MONTHS - 1}""", dict(_FULL, d=_DELTA)))
 def k10(spark, sf):
-    impacts = _impacts(spark, sf)
-    active = scenario.active_impacts(impacts, _profiles(spark, sf), MONTHS)
-    return scenario.comparison(impacts, scenario.project_months(active))
+    return scenario.comparison(_impacts(spark, sf), _projected(spark, sf))
 
 
 @query("k10_cumulative_delta", _d("profiles cost_items", f"""
