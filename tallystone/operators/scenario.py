@@ -291,33 +291,38 @@ def project_months(impacts: DataFrame, profiles: DataFrame, months: int) -> Data
     a scenario's window holds one row per horizon month.
     """
     spans = cash_spans(impacts, profiles, months)
+    # whole millionths: sums and windows over long integers are exact and far cheaper
+    units = (F.col("cash12") * 1000000).cast("bigint")
     edges = F.array(
-        F.struct(F.col("first").alias("month_index"), F.col("cash12").alias("c")),
-        F.struct(F.col("stop").alias("month_index"), (-F.col("cash12")).cast(EXACT).alias("c")),
+        F.struct(F.col("first").alias("month_index"), F.col("u").alias("c")),
+        F.struct(F.col("stop").alias("month_index"), (-F.col("u")).alias("c")),
     )
-    changes = spans.select(*SIDE, "bucket", F.explode(edges).alias("e")).select(
+    changes = spans.withColumn("u", units).select(*SIDE, "bucket", F.explode(edges).alias("e")).select(
         *SIDE, "e.month_index", "bucket", F.col("e.c").alias("c")).filter(F.col("month_index") < months)
     calendar = profiles.select(
         *SIDE, F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("month_index"),
-        F.lit("NONE").alias("bucket"), F.lit(0).cast(EXACT).alias("c"))
+        F.lit("NONE").alias("bucket"), F.lit(0).cast("bigint").alias("c"))
 
     def part(name):
-        return F.coalesce(F.sum(F.when(F.col("bucket") == name, F.col("c"))), F.lit(0)).cast(EXACT)
+        return F.sum(F.when(F.col("bucket") == name, F.col("c")).otherwise(0))
 
     steps = changes.unionByName(calendar).groupBy(*SIDE, "month_index").agg(
-        part("INCOME").alias("income12"), part("SPENDING").alias("spending12"),
-        part("ONE_TIME").alias("one_time12"), F.sum("c").cast(EXACT).alias("stated12"),
+        part("INCOME").alias("income"), part("SPENDING").alias("spending"),
+        part("ONE_TIME").alias("one_time"), F.sum("c").alias("stated"),
     )
     upto = W.partitionBy(*SIDE).orderBy("month_index").rowsBetween(W.unboundedPreceding, W.currentRow)
-    flows = ["income12", "spending12", "one_time12", "stated12"]
-    monthly = steps.select(*SIDE, "month_index", *[F.sum(c).over(upto).cast(EXACT).alias(c) for c in flows])
-    net = F.col("income12") + F.col("spending12") + F.col("one_time12")
-    closed = monthly.withColumn("net12", net.cast(EXACT)).select(
-        "*", F.sum("net12").over(upto).cast(EXACT).alias("closing12"),
-        (F.col("net12") - F.col("stated12")).cast(EXACT).alias("residual12"),
-    )
-    return closed.join(profiles.select(*SIDE, "horizon_start"), SIDE).withColumn(
-        "month_start", F.add_months("horizon_start", F.col("month_index"))).drop("horizon_start")
+    flows = ["income", "spending", "one_time", "stated"]
+    monthly = steps.select(*SIDE, "month_index", *[F.sum(c).over(upto).alias(c) for c in flows])
+    net = F.col("income") + F.col("spending") + F.col("one_time")
+    closed = monthly.withColumn("net", net).select(
+        "*", F.sum("net").over(upto).alias("closing"), (F.col("net") - F.col("stated")).alias("residual"))
+
+    def money(name):
+        return (F.col(name).cast("decimal(19,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast(EXACT).alias(f"{name}12")
+
+    return closed.join(profiles.select(*SIDE, "horizon_start"), SIDE).select(
+        *SIDE, "month_index", F.add_months("horizon_start", F.col("month_index")).alias("month_start"),
+        *[money(n) for n in (*flows, "net", "closing", "residual")])
 
 
 def monthly_report(projected: DataFrame) -> DataFrame:

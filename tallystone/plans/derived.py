@@ -303,14 +303,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(frame) if name in FACTS else frame
 
 
+_VIEWS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given or derived table as a DataFrame."""
-    if name not in DERIVED:
-        return table(spark, sf_dir, name)
-    text = _TOKEN.sub(r"sha2(\1, 256)", DERIVED[name])
-    text = _EACH.sub(r"explode(sequence(0, \1 - 1))", text)
-    inputs = {used: view(spark, sf_dir, used) for used in _inputs(text)}
-    return spark.sql(text, **inputs)
+    """A given or derived table as a DataFrame; analysed once per session, never cached."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _VIEWS:
+        if name not in DERIVED:
+            _VIEWS[key] = table(spark, sf_dir, name)
+        else:
+            text = _TOKEN.sub(r"sha2(\1, 256)", DERIVED[name])
+            text = _EACH.sub(r"explode(sequence(0, \1 - 1))", text)
+            inputs = {used: view(spark, sf_dir, used) for used in _inputs(text)}
+            _VIEWS[key] = spark.sql(text, **inputs)
+    return _VIEWS[key]
 
 
 def duck(names: str | list[str], body: str, **extra: str) -> str:
