@@ -144,7 +144,7 @@ def number_occurrences(rows: DataFrame, tie: str = "line") -> DataFrame:
     keyed = rows.withColumn("amount", cents(F.col("amount")))
     return row_numbers(
         keyed, ["account_id", "file_id", "posted_on", "merchant", "amount"],
-        F.floor(F.col("line") / CHUNK_LINES), ["l.line", f"l.{tie}"], "occurrence",
+        F.floor(F.col("line") / CHUNK_LINES), ["line", tie], "occurrence",
     )
 
 
@@ -274,7 +274,7 @@ def enter_manually(entries: DataFrame, stored: DataFrame) -> DataFrame:
     stores = F.col("repeat") | (F.col("highest").isNull() & (F.col("seq") == F.col("first_seq")))
     flagged = known.withColumn("stored", stores)
     counted = running_total(
-        flagged, mark, F.floor(F.col("seq") / CHUNK_LINES), ["l.seq"],
+        flagged, mark, F.floor(F.col("seq") / CHUNK_LINES), ["seq"],
         F.col("stored").cast("bigint"), "so_far",
     )
     return counted.select(

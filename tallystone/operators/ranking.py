@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def _with_offsets(rows: DataFrame, offsets: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Left join of per-chunk ``offsets``; null keys are one group here as in groupBy.
+
+    Only chunks that have something before them are in ``offsets``, so where keys fit
+    one chunk, the usual case, the join finds an empty side at run time.
+    """
+    left, right = rows.alias("l"), offsets.alias("r")
+    on = F.col("l._chunk").eqNullSafe(F.col("r._chunk"))
+    for key in keys:
+        on = on & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+    return left.join(right, on, "left").select("l.*", f"r.{name}")
+
+
 def running_total(
     rows: DataFrame, keys: list[str], chunk: Column, order: list, value: Column, name: str
 ) -> DataFrame:
@@ -17,22 +30,17 @@ def running_total(
     a third of all rows spreads over as many tasks as it has chunks.
     """
     cut = rows.withColumn("_chunk", chunk).withColumn("_value", value)
-    per_chunk = cut.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_sum"))
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_chunk.select(
-        *keys, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")
-    )
-    # groupBy treats null keys as one group, so the join back must too
-    left, right = cut.alias("l"), offsets.alias("r")
-    on = F.col("l._chunk").eqNullSafe(F.col("r._chunk"))
-    for key in keys:
-        on = on & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    within = W.partitionBy(*[f"l.{k}" for k in keys], "l._chunk").orderBy(*order).rowsBetween(
+    offsets = cut.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_sum")).select(
+        *keys, "_chunk", F.sum("_sum").over(earlier).alias("_before")
+    ).filter("_before <> 0")
+    within = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
-    return left.join(right, on).select(
-        *[F.col(f"l.{c}") for c in rows.columns],
-        (F.sum("l._value").over(within) + F.col("r._before")).cast("bigint").alias(name),
+    summed = cut.withColumn("_within", F.sum("_value").over(within))
+    return _with_offsets(summed, offsets, keys, "_before").select(
+        *rows.columns,
+        (F.col("_within") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(name),
     )
 
 
@@ -48,14 +56,16 @@ def running_last(
 
     Same two steps as ``running_total``: within a chunk, and one row per earlier chunk.
     """
-    seen = F.when(F.col("_value").isNotNull(), F.struct(order, "_value"))
-    cut = rows.withColumn("_chunk", chunk).withColumn("_value", value).withColumn("_seen", seen)
+    cut = rows.withColumn("_chunk", chunk).withColumn("_value", value).withColumn(
+        "_seen", F.when(F.col("_value").isNotNull(), F.struct(order, "_value"))
+    )
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = cut.groupBy(*keys, "_chunk").agg(F.max("_seen").alias("_top")).select(
         *keys, "_chunk", F.max("_top").over(earlier).alias("_before")
-    )
+    ).filter("_before is not null")
     end = -1 if before else W.currentRow
     within = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, end)
-    return cut.withColumn("_within", F.max("_seen").over(within)).join(offsets, [*keys, "_chunk"]).select(
+    seen = cut.withColumn("_within", F.max("_seen").over(within))
+    return _with_offsets(seen, offsets, keys, "_before").select(
         *rows.columns, F.coalesce("_within", "_before")["_value"].alias(name)
     )

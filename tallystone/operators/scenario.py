@@ -114,7 +114,7 @@ def cost_impacts(items: DataFrame, profiles: DataFrame) -> DataFrame:
     shares = profiles.select(*SIDE, "household_size", "split_method", "user_weight", "user_fixed")
     owned = items.withColumn("produced_by", F.substring_index("category", "_", 1))
     place = F.struct("is_inherited", F.floor(F.col("seq") / 65536))
-    numbered = row_numbers(owned, [*SIDE, "produced_by"], place, ["l.is_inherited", "l.seq"], "place")
+    numbered = row_numbers(owned, [*SIDE, "produced_by"], place, ["is_inherited", "seq"], "place")
     borne = F.when(F.col("is_shared"), household_share(F.col("amount"))).otherwise(F.col("amount"))
     index = (F.col("place") - 1).cast("string")
     return numbered.join(shares, SIDE).select(

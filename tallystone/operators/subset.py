@@ -21,7 +21,7 @@ def numbered_aliases(lines: DataFrame) -> DataFrame:
         lines.select(counterparty(F.col("description")).alias("person")).filter("person is not null")
         .distinct().withColumn("digest", F.sha2("person", 256)).withColumn("everyone", F.lit(0))
     )
-    ranked = row_numbers(names, ["everyone"], F.substring("digest", 1, 3), ["l.digest"], "number")
+    ranked = row_numbers(names, ["everyone"], F.substring("digest", 1, 3), ["digest"], "number")
     digits = F.col("number").cast("string")
     padded = F.when(F.length(digits) >= 3, digits).otherwise(F.lpad(digits, 3, "0"))
     return ranked.select("person", F.concat(F.lit("PERSON_"), padded).alias("alias"))
@@ -61,9 +61,9 @@ def amount_bands(pool: DataFrame) -> DataFrame:
     rows = pool.withColumn("size", F.abs("amount")).withColumn("everyone", F.lit(0))
     sizes = rows.groupBy("everyone", "size").agg(F.count("*").alias("n"))
     below = running_total(
-        sizes, ["everyone"], F.floor(F.col("size") / 100), ["l.size"], F.col("n"), "upto"
+        sizes, ["everyone"], F.floor(F.col("size") / 100), ["size"], F.col("n"), "upto"
     ).select("size", (F.col("upto") - F.col("n")).alias("below"))
-    ranked = row_numbers(rows, ["size"], F.substring("merchant", 1, 4), ["l.merchant"], "within")
+    ranked = row_numbers(rows, ["size"], F.substring("merchant", 1, 4), ["merchant"], "within")
     total = pool.agg(F.count("*").alias("pool")).withColumn("everyone", F.lit(0))
     position = F.col("below") + F.col("within") - 1
     return ranked.join(below, "size").join(total, "everyone").withColumn(
@@ -87,7 +87,7 @@ def draw_singletons(pool: DataFrame, repeated: DataFrame, target: int, seed: str
             W.partitionBy("everyone"))
     ).select("band", F.when(F.col("band") < BANDS - 1, share).otherwise(wanted - F.col("early")).alias("quota"))
     numbered = row_numbers(
-        banded, ["band"], F.substring("draw", 1, 3), ["l.draw", "l.evaluation_id"], "drawn"
+        banded, ["band"], F.substring("draw", 1, 3), ["draw", "evaluation_id"], "drawn"
     )
     return numbered.join(quotas, "band").filter(F.col("drawn") <= F.col("quota")).drop("draw", "drawn", "quota")
 

@@ -256,13 +256,14 @@ select k as pair_id, side, cast(g + case when side = 'candidate' then (k % 13 -
        cast((k % 10) * 10 + 5 as decimal(5,1)) as user_weight, cast(150 + k % 300 as decimal(18,2)) as user_fixed,
        case when k % 3 = 0 then 'NJ' else 'AL' end as home, case when k % 4 = 0 then 'NY' else 'AL' end as work_place,
        date '2026-01-01' as horizon_start, date '2026-04-01' as move_date
-from (select c_custkey as k, 40000 + (c_custkey * 137) % 90000 as g from {customer}) c
-cross join (select 'current' as side union all select 'candidate' as side) s
+from (select k, g, case when s = 0 then 'current' else 'candidate' end as side
+      from (select c_custkey as k, 40000 + (c_custkey * 137) % 90000 as g, EACH[[sides]] as s
+            from (select *, 2 as sides from {customer}) b) c) d
 """
 
 DERIVED["item_keys"] = """
-select c_custkey as k, side, 8 as n from {customer}
-cross join (select 'current' as side, 0 as shift union all select 'candidate' as side, 2 as shift) s
+select k, case when s = 0 then 'current' else 'candidate' end as side, 8 as n
+from (select c_custkey as k, EACH[[sides]] as s from (select *, 2 as sides from {customer}) b) c
 """
 DERIVED["cost_items"] = f"""
 select k as pair_id, side, i as seq, category,

@@ -537,7 +537,7 @@ def _numbered(rows):
 
     # chunks by the first two characters follow the string order of the ids
     cut = rows.withColumn("all_rows", F.lit(0))
-    return row_numbers(cut, ["all_rows"], F.rpad(F.substring("id", 1, 3), 3, " "), ["l.id"], "seq").drop("all_rows")
+    return row_numbers(cut, ["all_rows"], F.rpad(F.substring("id", 1, 3), 3, " "), ["id"], "seq").drop("all_rows")
 
 
 @query("n7_fingerprint_recomputes", duck("stored_rows", f"""

@@ -26,7 +26,7 @@ def _lines(spark, sf):
         F.expr(_HEIGHT).alias("height"), F.expr(_BLANK).alias("blank"),
     )
     placed = running_total(
-        rows, ["file_id"], F.floor(F.col("line") / 65536), ["l.line", "l.id"],
+        rows, ["file_id"], F.floor(F.col("line") / 65536), ["line", "id"],
         (F.col("height") + F.col("blank")).cast("bigint"), "upto",
     ).withColumn("start", F.lit(2) + F.col("upto") - F.col("height") - F.col("blank"))
     quoted = F.concat(F.lit('"'), F.replace("said", F.lit('"'), F.lit('""')), F.lit('"'))

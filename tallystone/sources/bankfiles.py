@@ -36,7 +36,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("at"),
         F.regexp_replace("value", "^﻿", "").alias("text"),
     )
-    numbered = row_numbers(raw, ["file_id"], F.col("block"), ["l.at"], "line_no")
+    numbered = row_numbers(raw, ["file_id"], F.col("block"), ["at"], "line_no")
     return numbered.select("file_id", "line_no", "text")
 
 
@@ -61,7 +61,7 @@ def mark_record_starts(lines: DataFrame) -> DataFrame:
     judged = lines.withColumn("_o", from_outside).withColumn("_i", from_inside)
     chunk = F.floor(F.col("line_no") / CHUNK_LINES)
     turns = (F.col("_o") & ~F.col("_i")).cast("bigint")
-    counted = running_total(judged, ["file_id"], chunk, ["l.line_no"], turns, "_turns")
+    counted = running_total(judged, ["file_id"], chunk, ["line_no"], turns, "_turns")
     settled = F.when(
         F.col("_o") == F.col("_i"), F.struct(F.col("_o").alias("open"), F.col("_turns").alias("turns"))
     )
@@ -83,7 +83,7 @@ def records_from_lines(lines: DataFrame) -> DataFrame:
     """(file_id, record_no, line, cells); blank lines count as lines and yield nothing."""
     marked = mark_record_starts(lines)
     numbered = running_total(
-        marked, ["file_id"], F.floor(F.col("line_no") / CHUNK_LINES), ["l.line_no"],
+        marked, ["file_id"], F.floor(F.col("line_no") / CHUNK_LINES), ["line_no"],
         F.col("starts").cast("bigint"), "record_no",
     )
     # a group is one record: the lines its quoted fields span

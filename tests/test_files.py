@@ -171,9 +171,9 @@ def test_manual_entry_needs_a_repeat_flag(spark):
 
 def test_row_numbers_do_not_depend_on_chunks_or_partitions(spark):
     rows = spark.range(2000).select((F.col("id") % 3).alias("k"), F.col("id").alias("line"))
-    plain = {(r["k"], r["line"]): r["n"] for r in row_numbers(rows, ["k"], F.lit(0), ["l.line"], "n").collect()}
+    plain = {(r["k"], r["line"]): r["n"] for r in row_numbers(rows, ["k"], F.lit(0), ["line"], "n").collect()}
     cut = {(r["k"], r["line"]): r["n"] for r in
-           row_numbers(rows.repartition(13), ["k"], F.floor(F.col("line") / 7), ["l.line"], "n").collect()}
+           row_numbers(rows.repartition(13), ["k"], F.floor(F.col("line") / 7), ["line"], "n").collect()}
     assert plain == cut and plain[(0, 3)] == 2
 
 
@@ -187,7 +187,7 @@ def test_running_last_crosses_chunks(spark):
 
 
 def test_labelled_file_defaults_and_errors(spark, tmp_path):
-    (tmp_path / "l.csv").write_text(
+    (tmp_path / "csv").write_text(
         "transaction_id,description,amount,annotator_a_label,annotator_b_label,final_label,acceptable_labels,ambiguity_note\n"
         't1,SQ *SHOP #12,-4.50,LIVING_DINING,,,"LIVING_GROCERY | LIVING_DINING",either\nt2,,1,INCOME,,,,\n')
     rows = {r["transaction_id"]: r for r in annotated.read_labelled(spark, str(tmp_path)).collect()}
