@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import mixing, packing, recipes, tokencounts
+from tallystone.llm import (
+    minhash, mixing, packing, pagetext, pii, projections, quality, recipes, tokencounts, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op2_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.drop("nearest")
+
+
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -33,13 +56,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op6_best_fit_packing, op7_source_mixing, op8_exact_dedup, op10_token_counts,
+        op1_weak_label_quality, op2_nearest_toxicity, op3_pii_spans, op4_main_text, op5_minhash_dedup,
+        op6_best_fit_packing, op7_source_mixing, op8_exact_dedup, op9_embedding_dedup, op10_token_counts,
     )
 }
 
