@@ -10,7 +10,9 @@ what a solution with one sequence less could waste.
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,13 @@ CAPACITY = 4096
 END = 1
 GROUP = 16_384  # pieces packed together; whole groups are spread over tasks
 FILLINGS = 6  # fillings of one sequence that the search keeps to choose from
-EFFORT = 12  # completed sequences that the search may try for each sequence of a group
+LOOSEST = 256  # sequences of the best-fit solution that the search packs anew, most waste first
+EFFORT = 12  # completed sequences that the search may try for each of these
 SLICE_CHARS = 1 << 20
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 MARK = "<|endoftext|>"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_SMALL = re.compile(f"[{_LETTERS}]+").fullmatch
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -42,14 +47,32 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(MARK)
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+        self.direct = self._model_ids([_LETTERS, "straße", "a"]) == [
+            np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in (_LETTERS, "straße", "a")]
+
+    def _model_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of small letters, which the steps before the merges leave as they are."""
+        model, letters = self.tokenizer.model, self.letters
+        return [array("I", [token.id for token in model.tokenize(word.translate(letters))]).tobytes() for word in words]
 
     def _encode(self, words: list[str]) -> list[bytes]:
+        if not self.direct:
+            return self._tokenizer_ids(words)
+        other = [word for word in words if not _SMALL(word)]
+        found = dict(zip(other, self._tokenizer_ids(other)))
+        small = [word for word in words if word not in found]
+        found.update(zip(small, self._model_ids(small)))
+        return [found[word] for word in words]
+
+    def _tokenizer_ids(self, words: list[str]) -> list[bytes]:
         """Many words in one text, with a special token between them."""
         out = []
         for at in range(0, len(words), 512):
@@ -204,17 +227,30 @@ def fillings(space: int, counts: list[int], available: int) -> list[tuple[int, .
 def bin_completion(counts: list[int], capacity: int = CAPACITY, effort: int = EFFORT) -> list[list[int]]:
     """Sequences as lists of lengths, as few as the search finds.
 
-    ``effort`` bounds completed sequences tried, per sequence of the best-fit solution;
-    beyond it the best solution so far stands. All pieces are always packed.
+    Where best fit meets the bound of the total length, it is the answer. Otherwise its
+    loosest sequences, whose waste is what can be saved, are packed anew by branch and
+    bound. ``effort`` bounds that; beyond it the best solution so far stands. All pieces
+    are always packed.
     """
-    best = best_fit(counts, capacity)
+    first = best_fit(counts, capacity)
+    total = sum(size * n for size, n in enumerate(counts))
+    if len(first) <= math.ceil(total / capacity):
+        return first
+    first.sort(key=sum)
+    loose, kept = first[:LOOSEST], first[LOOSEST:]
+    again = [0] * (capacity + 1)
+    for sizes in loose:
+        for size in sizes:
+            again[size] += 1
+    return kept + _branch_and_bound(again, loose, capacity, effort * len(loose))
+
+
+def _branch_and_bound(counts: list[int], best: list[list[int]], capacity: int, tries: int) -> list[list[int]]:
     total = sum(size * n for size, n in enumerate(counts))
     least = math.ceil(total / capacity)
-    if len(best) <= least:
-        return best
     left, available, remaining = list(counts), sum(1 << s for s, n in enumerate(counts) if n and s), sum(counts)
     stack: list[list] = []  # chosen sequence, fillings not yet tried
-    wasted, tries = 0, effort * len(best)
+    wasted = 0
 
     def take(sizes: list[int]) -> None:
         nonlocal available, remaining, wasted
@@ -233,7 +269,7 @@ def bin_completion(counts: list[int], capacity: int = CAPACITY, effort: int = EF
         remaining += len(sizes)
         wasted -= capacity - sum(sizes)
 
-    while tries > 0:
+    while tries > 0 and len(best) > least:
         bound = (len(best) - 1) * capacity - total
         if remaining and wasted <= bound:
             largest = available.bit_length() - 1
@@ -246,8 +282,6 @@ def bin_completion(counts: list[int], capacity: int = CAPACITY, effort: int = EF
             stack.append([None, [[largest, *f] for f in reversed(options)]])
         elif not remaining and len(stack) < len(best):
             best = [list(frame[0]) for frame in stack]
-            if len(best) <= least:
-                break
         while stack:  # the next filling of the deepest sequence that has one
             frame = stack[-1]
             if frame[0] is not None:
@@ -290,7 +324,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFr
     groups = max(1, math.ceil(cut.count() / group))
     dealt = cut.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("int"))
     fields = ", ".join(f"{name} {kind}" for name, kind in cut.dtypes)
-    return dealt.groupBy("pack").applyInPandas(
+    # as many partitions as groups: their rows are few bytes but work for a whole task
+    return dealt.repartition(groups, "pack").groupBy("pack").applyInPandas(
         lambda rows: _pack_group(rows, capacity), f"{fields}, sequence_id bigint, offset bigint")
 
 
