@@ -227,7 +227,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one document of each component."""
+    """The rows of ``docs`` that stay, with all their columns: one document of each component.
+
+    A doc_id stays if one of its rows does; rows without doc_id cannot be named and stay.
+    """
     gone = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(
-        "doc_id is not null and not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+        "doc_id is not null and not kept").alias("g")
+    return docs.alias("d").join(gone, F.col("d.doc_id").cast("bigint") == F.col("g.doc_id"), "left_anti")

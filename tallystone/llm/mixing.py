@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallystone.llm.store import written
+from tallystone.llm.store import own_columns, unused, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LIMIT = 3
 BLOCK_WORDS = 4096
 MOST_BLOCKS = 1 << 16  # blocks of all sources together; beyond it blocks grow, not their number
-SHARD_WORDS = 1 << 24
+SHARD_WORDS = 1 << 20
 EDGE = -1  # the round of blocks that belong to a target's rest
 EDGE_BLOCKS = 8
 SEED = 20240
@@ -141,7 +141,7 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int
         "source_no", F.row_number().over(W.orderBy(F.col("source").isNull(), "source")).cast("int")), "targets")
     words, rows = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
     per_block = max(block_words, math.ceil((words + rows) / MOST_BLOCKS))
-    levels = max(1, min(12, math.ceil(math.log2(max(2, words / shard_words)))))
+    levels = max(1, min(16, math.ceil(math.log2(max(2, words / shard_words)))))
     targets = targets.withColumn("n_blocks", F.ceil((F.col("source_size") + F.col("n_docs")) / per_block))
     whole = targets.withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(
         F.round(F.col("target") / F.col("source_size"), 9))).otherwise(0).cast("bigint")).withColumn(
@@ -228,18 +228,27 @@ def mix_report(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix itself: all columns of ``docs``, a row as often as it is taken."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    copies = mixed(written(sized, "sizes"), **parameters)
-    distinct = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_n"))
-    taken = copies.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_copies")).alias("t").join(
-        distinct.alias("n"), F.col("t.doc_id").eqNullSafe(F.col("n.doc_id")) & F.col("t.source").eqNullSafe(F.col("n.source")) & (
-            F.col("t.size") == F.col("n.size"))).select("t.*", "n._n")
-    marked = docs.withColumn("_size", word_count(F.col("text")))
-    joined = marked.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col(
-        "d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size")))
-    nth = F.when(F.col("t._n") == 1, F.lit(1)).otherwise(F.row_number().over(
-        W.partitionBy("d.doc_id", "d.source", "d._size").orderBy("d.doc_id")))
-    own = joined.withColumn("_nth", nth).withColumn("_own", F.floor((F.col("_copies") + F.col("_nth") - 1) / F.col("_n")).cast("bigint"))
-    return own.filter("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_own"))).select(
-        *[F.col(f"d.`{c}`") for c in docs.columns])
+    """The mix itself: all columns of ``docs``, a row as often as it is taken.
+
+    Rows lie shard by shard, each shard in the order of its local shuffle. Rows that repeat
+    a doc_id, source and size share evenly what these are taken. Defined as ``mix_report``
+    for nulls, empty texts and empty tables.
+    """
+    size, nth, shard, place = (unused(docs, name) for name in ("size", "nth", "shard", "place"))
+    marked = docs.withColumn(size, word_count(F.col("text")))
+    key = ["doc_id", "source", size]
+    marked = marked.withColumn(nth, F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1))) - 1)
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    rows = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    copies = mixed(sized, **parameters).withColumn("turn", F.row_number().over(
+        W.partitionBy("doc_id", "source", "size").orderBy("place", "round")))
+
+    def same(a: str, b: str, size: str) -> Column:
+        return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.source").eqNullSafe(
+            F.col(f"{b}.source")) & (F.col(f"{a}.{size}") == F.col(f"{b}.size"))
+
+    picks = copies.alias("c").join(rows.alias("r"), same("c", "r", "size")).select(
+        "c.doc_id", "c.source", "c.size", "c.shard", "c.place", (F.pmod("c.turn", "r.n")).cast("int").alias("nth"))
+    found = marked.alias("d").join(picks.alias("p"), same("d", "p", size) & (F.col(f"d.{nth}") == F.col("p.nth")))
+    placed = found.select(*own_columns(docs, "d"), F.col("p.shard").alias(shard), F.col("p.place").alias(place))
+    return placed.repartition(shard).sortWithinPartitions(shard, place).drop(shard, place)

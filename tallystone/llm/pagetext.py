@@ -48,9 +48,11 @@ FURNITURE_WORDS = frozenset(
     "pagination copyright toolbar skip".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 
+# Quantifiers that give nothing back, and no "<" outside quotes, keep the scan linear.
+_ATTRIBUTES = r"""(?:"[^"]*+"|'[^']*+'|[^'"<>])*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW_TAGS)})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.I | re.S)
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW_TAGS)})\b{_ATTRIBUTES}>.*?(?:</\1\s*+>|\Z)"
+    rf"|<(/?)([a-z][^\s/<>]*+)({_ATTRIBUTES})>|<[!?/][^<>]*+>", re.I | re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 

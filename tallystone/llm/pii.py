@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tallystone.llm.store import map_rows
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -275,11 +277,10 @@ def masked(docs: DataFrame) -> DataFrame:
             at = max(at, end)
         return "".join(parts) + text[at:]
 
-    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("text")
-            texts = [hide(text, spans) for text, _, spans in batch_spans(column)]
-            hidden = pa.array([t if known else None for t, known in zip(texts, column.is_valid().to_pylist())], pa.string())
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", hidden)
+    def replace(batch: pa.RecordBatch, text: int) -> pa.RecordBatch:
+        column = batch.column(text)
+        texts = [hide(value, spans) for value, _, spans in batch_spans(column)]
+        hidden = pa.array([t if known else None for t, known in zip(texts, column.is_valid().to_pylist())], pa.string())
+        return batch.set_column(text, batch.schema.field(text), hidden)
 
-    return docs.mapInArrow(replace, docs.schema)
+    return map_rows(docs, replace)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallystone.llm.store import written
+from tallystone.llm.store import unused, written
 
 BOUNDARY = r"(?s).{256,4096}?(?:[.!?]\s|\n)|.{1,4096}"
 SALTS = 16
@@ -81,12 +81,15 @@ def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows are found again by doc_id and digest; of repeated rows one is kept.
+    Rows are found again by doc_id and digest; of rows that repeat both one is kept.
     """
-    own = F.sha2(normalised(F.col("text")), 256)
-    stay = exact_groups(docs).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    found = docs.withColumn("_own", own).join(stay, same, "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id", "_own").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]))
-    return found.withColumn("_first", first).filter("_first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    digest, first = unused(docs, "digest"), unused(docs, "first")
+    stay = exact_groups(docs).filter("kept").select("doc_id", "text_sha256").distinct()
+    marked = docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256))
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{digest}") == F.col("s.text_sha256"))
+    found = marked.alias("d").join(stay.alias("s"), same, "left_semi")
+    sortable = [f.name for f in docs.schema.fields if f.dataType.typeName() in (
+        "string", "long", "integer", "double", "float", "boolean", "date", "timestamp", "decimal", "short", "byte") and f.name not in ("doc_id", "text")]
+    order = [F.col(f"`{name.replace('`', '``')}`") for name in sortable] or [F.col("doc_id")]
+    ranked = found.withColumn(first, F.row_number().over(W.partitionBy("doc_id", digest).orderBy(*order)))
+    return ranked.filter(F.col(first) == 1).drop(first, digest)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.store import written
+from tallystone.llm.store import map_rows, written
 
 EXAMPLES = 20_000  # labelled documents the index holds, chosen by hash; the expected number
 TERMS = 2048  # terms of the space, the most telling first
@@ -282,12 +282,11 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     space, index, _ = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((space, index))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batch: pa.RecordBatch, text: int) -> pa.RecordBatch:
         terms_of, model = shared.value
         seen: dict = {}
-        for batch in batches:
-            found = [sorted(terms_of.counts(text).items()) for text in batch.column("text").to_pylist()]
-            scores = [_scored(model, seen, [t for t, _ in f], [n for _, n in f])[0] for f in found]
-            yield batch.filter(pa.array([s < THRESHOLD for s in scores], pa.bool_()))
+        found = [sorted(terms_of.counts(value).items()) for value in batch.column(text).to_pylist()]
+        scores = [_scored(model, seen, [t for t, _ in f], [n for _, n in f])[0] for f in found]
+        return batch.filter(pa.array([s < THRESHOLD for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_rows(docs, keep)
