@@ -450,7 +450,7 @@ _STORED = f"""select *, {_FP} as fingerprint, row_number() over (partition by ac
 _RUN = f"""select *, {_FP} as fingerprint, row_number() over (partition by account_id, delivery,
   posted_on, merchant, amount order by line, id) as occurrence
  from (select *, 1 as delivery from bank_rows where part_id % 2 = 0
-       union all select *, 2 from bank_rows where part_id % 4 <> 1)"""
+       union all select *, 2 from bank_rows where part_id % 4 <> 0)"""
 
 
 def _stored(spark, sf):
@@ -461,7 +461,7 @@ def _stored(spark, sf):
 def _run(spark, sf):
     rows = view(spark, sf, "bank_rows")
     both = rows.filter("part_id % 2 = 0").withColumn("file_order", F.lit(1)).unionByName(
-        rows.filter("part_id % 4 <> 1").withColumn("file_order", F.lit(2))
+        rows.filter("part_id % 4 <> 0").withColumn("file_order", F.lit(2))
     )
     both = both.withColumn("file_id", F.concat_ws("/", "file_id", "file_order"))
     return importing.number_occurrences(importing.with_fingerprint(both), "id")

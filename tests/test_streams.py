@@ -32,6 +32,22 @@ def test_incremental_import_survives_restarts(spark, tmp_path):
     assert run() == [("T1", 1), ("T2", 2), ("T3", 4)]
 
 
+def test_a_new_checkpoint_keeps_the_ledger(spark, tmp_path):
+    source, ledger = str(tmp_path / "in"), str(tmp_path / "ledger")
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        flows.import_deliveries(stream, ledger, str(tmp_path / checkpoint)).awaitTermination()
+        rows = spark.read.schema(flows.STORED).parquet(ledger).collect()
+        return sorted(r["external_id"] for r in rows)
+
+    delivery(spark, source, "f1", ["T1", "T2"])
+    assert run("first") == ["T1", "T2"]
+    delivery(spark, source, "f2", ["T9", "T2"])
+    assert run("second") == ["T1", "T2", "T9"]
+    assert run("first") == ["T1", "T2", "T9"]
+
+
 def test_late_charges_are_counted(spark, tmp_path):
     source = str(tmp_path / "in")
     kind = "seq bigint, posted_on date, minute_of_day int, merchant string, amount decimal(18,2)"
