@@ -17,9 +17,8 @@ JSON_INTEGER = r"(?<![\w.+\-])(-?\d+)(?![\w.])"
 
 
 def canonical_arguments(arguments: Column) -> Column:
-    """Call arguments as text with sorted keys."""
-    pairs = F.array_sort(F.map_entries(arguments))
-    return F.array_join(F.transform(pairs, lambda p: F.concat_ws("=", p["key"], p["value"])), chr(31))
+    """Call arguments as entries sorted by key; compared as they are, never as joined text."""
+    return F.array_sort(F.map_entries(arguments))
 
 
 def trace_scores(calls: DataFrame, gold: DataFrame) -> DataFrame:
@@ -55,25 +54,40 @@ def perfect_when_empty(numerator: Column, denominator: Column) -> Column:
     ).otherwise(half_even_ratio(numerator, denominator))
 
 
+def number_key(number: Column) -> Column:
+    """What two numbers share when they are equal, of any length.
+
+    The value as a decimal where it fits, else the digits without what adds nothing.
+    """
+    digits = F.translate(number, ",", "")
+    bare = F.regexp_replace(F.regexp_replace(digits, r"^(-?)0+(?=\d)", "$1"), r"(\.\d*?)0+$", "$1")
+    return F.coalesce(digits.try_cast(VALUE).cast("string"), F.regexp_replace(bare, r"\.$", ""))
+
+
 def numeric_tokens(rows: DataFrame, text: Column, keys: list[str]) -> DataFrame:
-    """Every number of a text with its raw form, value and decimal places."""
+    """Every number of a text with its raw form, value, key and decimal places.
+
+    A number too long for a decimal has no value; its key still says which number it is.
+    """
     found = F.arrays_zip(number_texts(text).alias("number"), number_raws(text).alias("raw"))
     return rows.select(*keys, F.posexplode(found).alias("position", "t")).select(
         *keys, "position", F.col("t.raw").alias("raw"),
         F.translate(F.col("t.number"), ",", "").try_cast(VALUE).alias("value"),
-        decimal_places(F.col("t.number")).alias("places"),
+        number_key(F.col("t.number")).alias("key"), decimal_places(F.col("t.number")).alias("places"),
     )
 
 
 def payload_numbers(payload: Column) -> Column:
     """Numbers a JSON payload holds at any depth: text is scanned, whole numbers taken.
 
-    Keys go first, so that only values are read; true, false and fractions that are not
-    text are left out.
+    Keys go first, so that only values are read; texts are decoded before they are scanned,
+    so an escaped line end is no letter; true, false and fractions that are not text are
+    left out.
     """
     values = F.regexp_replace(payload, JSON_KEY, " ")
-    strings = F.regexp_extract_all(values, F.lit(JSON_STRING), F.lit(1))
-    scanned = F.flatten(F.transform(strings, number_texts))
+    strings = F.regexp_extract_all(values, F.lit(JSON_STRING), F.lit(0))
+    decoded = F.from_json(F.concat(F.lit("["), F.array_join(strings, ","), F.lit("]")), "array<string>")
+    scanned = F.flatten(F.transform(decoded, number_texts))
     bare = F.regexp_replace(values, JSON_STRING, " ")
     return F.concat(scanned, F.regexp_extract_all(bare, F.lit(JSON_INTEGER), F.lit(1)))
 
@@ -83,7 +97,7 @@ def source_numbers(runs: DataFrame, calls: DataFrame) -> DataFrame:
     asked = runs.select("run_id", F.explode(number_texts(F.col("question"))).alias("number"))
     told = calls.filter("ok").select("run_id", F.explode(payload_numbers(F.col("payload"))).alias("number"))
     return asked.unionByName(told).select(
-        "run_id", F.translate("number", ",", "").try_cast(VALUE).alias("value")
+        "run_id", F.translate("number", ",", "").try_cast(VALUE).alias("value"), number_key(F.col("number")).alias("key")
     ).distinct()
 
 
@@ -98,14 +112,16 @@ def grounding(runs: DataFrame, calls: DataFrame) -> DataFrame:
     """Each number of each answer, and whether a source rounds to it.
 
     Sources are rounded once per precision the run's answer uses and matched by equality,
-    so answers and sources of a run never meet pairwise.
+    so answers and sources of a run never meet pairwise. A number too long for a decimal
+    is matched by its digits, unrounded.
     """
     answers = numeric_tokens(runs, F.col("final_text"), ["run_id"])
     needed = answers.select("run_id", "places").distinct()
+    rounded = round_to(F.col("value"), F.col("places")).cast("string")
     offered = source_numbers(runs, calls).join(needed, "run_id").select(
-        "run_id", "places", round_to(F.col("value"), F.col("places")).alias("value")
+        "run_id", "places", F.coalesce(rounded, "key").alias("key")
     ).distinct().withColumn("grounded", F.lit(True))
-    return answers.join(offered, ["run_id", "places", "value"], "left").select(
+    return answers.join(offered, ["run_id", "places", "key"], "left").select(
         "run_id", "position", "raw", "value", "places", F.coalesce("grounded", F.lit(False)).alias("grounded")
     )
 

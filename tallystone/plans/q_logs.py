@@ -33,7 +33,7 @@ def _calls(spark, sf):
     run = F.col("run_id").cast("string")
     found = F.concat(
         F.lit('{"order": '), run, F.lit(', "total 99": "$'), F.format_number("total", 2),
-        F.lit('", "paid": true, "share": 0.25, "lines": [4, {"qty 5": 7, "note": "about 12% off"}]}'))
+        F.lit('", "paid": true, "share": 0.25, "lines": [4, {"qty 5": 7, "note": "about\\n12% off\\tsaid \\"ok\\" \\u0041"}]}'))
     ok = F.col("kind") != "fault"
     summed = F.when(ok, F.concat(F.lit('{"double": "'), F.col("double_total").cast("string"), F.lit('"}'))).otherwise(
         F.lit('{"error": "no answer after 30 seconds"}'))
@@ -110,10 +110,9 @@ def c13(spark, sf):
 
 @query("c25_payload_numbers", duck("agent_runs", """
 select run_id, n::decimal(28,2) as value, count(*) as times from (
-  select run_id, unnest([run_id::decimal(28,2), total, 4, 7, 12]) as n, unnest(case when run_id % 6 = 0 then [1, 2] else [1] end) as t from agent_runs
-  union all select run_id, case when kind = 'fault' then 30 else double_total end, 1 from agent_runs) group by all"""
-    .replace("select run_id, unnest([run_id::decimal(28,2), total, 4, 7, 12]) as n, unnest(case when run_id % 6 = 0 then [1, 2] else [1] end) as t from agent_runs",
-             "select run_id, unnest([run_id::decimal(28,2), total, 4, 7, 12]) as n, c from (select *, unnest(range(0, case when run_id % 6 = 0 then 2 else 1 end)) as c from agent_runs)")))
+  select run_id, unnest([run_id::decimal(28,2), total, 4, 7, 12]) as n
+  from (select *, unnest(range(0, case when run_id % 6 = 0 then 2 else 1 end)) as c from agent_runs)
+  union all select run_id, case when kind = 'fault' then 30 else double_total end from agent_runs) group by all"""))
 def c25(spark, sf):
     numbers = F.explode(agentlogs.payload_numbers(F.col("payload")))
     return _calls(spark, sf).select("run_id", numbers.alias("n")).select(

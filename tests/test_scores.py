@@ -115,3 +115,27 @@ def test_trace_counts_each_call_once(spark):
 
     row = agentlogs.trace_scores(calls([("a", {"x": "1"}), ("b", {})]), calls([("a", {"x": "2"}), ("c", {})])).first()
     assert (row["correctly_selected"], row["exact_arguments"], row["expected_calls"], row["actual_calls"]) == (1, 0, 2, 2)
+
+
+def test_payload_numbers_behind_escapes(spark):
+    payload = '{"a 9": "Total:\\n4300", "b": "x\\t4,300.50", "c": ["\\"7\\"", {"d": 25}], "e": "\\u0031\\u0032", "f": 1234567890123456789012345}'
+    frame = spark.createDataFrame([(payload,)], "payload string")
+    numbers = frame.select(agentlogs.payload_numbers(F.col("payload")).alias("n")).first()["n"]
+    assert numbers == ["4300", "4,300.50", "7", "12", "25", "1234567890123456789012345"]
+
+
+def test_long_numbers_are_grounded_by_their_digits(spark):
+    runs = spark.createDataFrame([(1, "q", "it is 1234567890123456789012345 or 1234567890123456789012346")], "run_id int, question string, final_text string")
+    calls = spark.createDataFrame([(1, True, '{"n": 1234567890123456789012345}')], "run_id int, ok boolean, payload string")
+    found = agentlogs.grounding(runs, calls).orderBy("position").collect()
+    assert [r["grounded"] for r in found] == [True, False]
+
+
+def test_arguments_are_not_compared_as_text(spark):
+    def side(arguments):
+        return spark.createDataFrame([(1, "search", arguments)], "run_id int, name string, arguments map<string,string>")
+
+    exact = lambda a, b: agentlogs.trace_scores(side(a), side(b)).first()["exact_arguments"]
+    assert exact({"a": "b=c"}, {"a=b": "c"}) == 0
+    assert exact({"a": None}, {}) == 0
+    assert exact({"a": "1", "b": "2"}, {"b": "2", "a": "1"}) == 1
