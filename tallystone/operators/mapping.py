@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tallystone.functions import dates
 from tallystone.functions.text import parse_amount, strip
 from tallystone.vocab import HEADER_ALIASES
 
-SAMPLE_ROWS = 200  # fixed value: rows inspected per file
 FIELDS = ["date", "description", "merchant", "external_id", "amount", "debit", "credit"]
 
 
@@ -47,20 +45,13 @@ def looks_like_reference(text: Column) -> Column:
     )
 
 
-def sample_rows(records: DataFrame) -> DataFrame:
-    """First rows of each file; the limit is applied before the shuffle."""
-    order = W.partitionBy("file_id").orderBy("line")
-    return (
-        records.withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= SAMPLE_ROWS)
-        .drop("_n")
-    )
-
-
 def column_evidence(headers: DataFrame, records: DataFrame) -> DataFrame:
-    """What the sampled values of each column say: dates, money, date order."""
+    """What the values of each column say, over all rows: dates, money, date order.
+
+    One aggregation with sums per task, so a file of any length is no one task's work.
+    """
     cells = (
-        sample_rows(records).select("file_id", "cells").join(headers, "file_id")
+        records.select("file_id", "cells").join(headers, "file_id")
         .select("file_id", "cells", F.posexplode("header").alias("position", "column"))
         .select("file_id", "position", "column",
                 strip(F.coalesce(F.get("cells", F.col("position")), F.lit(""))).alias("value"))
@@ -148,7 +139,7 @@ def detect_mapping(headers: DataFrame, records: DataFrame) -> DataFrame:
             F.size(f"c_{field}") > 1,
             F.concat(F.lit(f"{field}: chose '"), chosen(field)["column"], F.lit("' over "),
                      F.array_join(
-                         F.transform(F.slice(f"c_{field}", 2, 1 << 20), lambda c: c["column"]), ", ")),
+                         F.transform(F.slice(f"c_{field}", F.lit(2), F.size(f"c_{field}")), lambda c: c["column"]), ", ")),
         )
         for field in HEADER_ALIASES
     ]

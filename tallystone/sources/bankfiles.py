@@ -2,18 +2,13 @@
 
 Files are read by blocks, never whole: lines are numbered from per-block counts, and
 whether a line starts inside a quoted field follows from the lines above it, which
-combine like any running total. Only the split of one record into cells is Python.
+combine like any running total.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallystone.operators.ranking import row_numbers, running_last, running_total
 
@@ -21,6 +16,9 @@ CHUNK_LINES = 1 << 16
 # A whole line that ends outside quotes, begun outside or inside them.
 _QUOTED_REST = r'[^"]*+(?:""[^"]*+)*+"(?!")[^,]*+'
 _FIELD = rf'(?:"{_QUOTED_REST}|[^",][^,]*+|)'
+# A cell with the comma before it, and a quoted cell in its two parts.
+_CELL = rf'(?s),({_FIELD[:-2]}|"[^"]*+(?:""[^"]*+)*+\z|))'
+_QUOTED_CELL = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)$'
 ENDS_OUTSIDE = rf"(?s)^{_FIELD}(?:,{_FIELD})*+$"
 CLOSES_AND_ENDS_OUTSIDE = rf"(?s)^{_QUOTED_REST}(?:,{_FIELD})*+$"
 
@@ -71,12 +69,20 @@ def mark_record_starts(lines: DataFrame) -> DataFrame:
     return above.select("file_id", "line_no", "text", (~open_above).alias("starts"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_cells(record: pd.Series) -> pd.Series:
-    def cells(text):
-        return next(csv.reader(io.StringIO(text, newline="")), [])
+def split_cells(record: Column) -> Column:
+    """The cells of one record, of any length.
+
+    A cell that begins with a quote runs to the quote that closes it, doubled ones being
+    quotes, and on to the next comma; a quote elsewhere is a character; a quote never
+    closed takes the rest of the record.
+    """
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_CELL), F.lit(1))
+
+    def plain(cell: Column) -> Column:
+        inside = F.replace(F.regexp_extract(cell, _QUOTED_CELL, 1), F.lit('""'), F.lit('"'))
+        return F.when(cell.startswith('"'), F.concat(inside, F.regexp_extract(cell, _QUOTED_CELL, 2))).otherwise(cell)
 
-    return record.map(cells)
+    return F.when(record == "", F.array().cast("array<string>")).otherwise(F.transform(raw, plain))
 
 
 def records_from_lines(lines: DataFrame) -> DataFrame:
@@ -95,7 +101,7 @@ def records_from_lines(lines: DataFrame) -> DataFrame:
         F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"),
     )
     return records.filter("text <> '' or record_no = 1").select(
-        "file_id", "record_no", "line", split_cells("text").alias("cells")
+        "file_id", "record_no", "line", split_cells(F.col("text")).alias("cells")
     )
 
 

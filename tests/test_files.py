@@ -235,3 +235,34 @@ def test_run_log_is_append_only(spark, tmp_path):
     assert [r["run_id"] for r in saved.collect()] == ["r1"]
     assert spark.read.parquet(f"{tmp_path}/components").count() == 1
     assert stores.accepted_runs(runs, months.limit(0), saved).count() == 1
+
+
+def test_a_late_row_decides_the_date_order(spark, tmp_path):
+    body = "Date,Description,Amount\n" + "".join(f"0{k % 9 + 1}/05/2026,SHOP,-1.00\n" for k in range(205)) + "25/05/2026,SHOP,-1.00\n"
+    (tmp_path / "bank.csv").write_text(body)
+    found, _ = preview(spark, tmp_path)
+    assert [r["date_order"] for r in found.collect()] == ["DAY_FIRST"]
+
+
+def test_a_cell_of_any_length_is_a_cell(spark):
+    long = "x" * 200_000
+    frame = spark.createDataFrame([(f'"{long}, ""y""",b',)], "text string")
+    assert frame.select(bankfiles.split_cells(F.col("text")).alias("c")).first()["c"] == [f'{long}, "y"', "b"]
+
+
+def test_charge_file_with_another_header_is_refused(spark, tmp_path):
+    (tmp_path / "good.csv").write_text(",".join(annotated.CHARGE_COLUMNS) + "\nA,2026-01-02,10:00,M,C,1.00000000001,true\nB,2026-01-02,10:00,M,C,1.50,true\n")
+    (tmp_path / "other.csv").write_text("id,when\nA,2026-01-02\n")
+    judged = annotated.read_charges(spark, str(tmp_path)).collect()
+    assert sorted((r["file_id"].rsplit("/", 1)[1], r["id"], r["reason"]) for r in judged if r["reason"]) == [
+        ("good.csv", "A", "invalid amount"), ("other.csv", None, "wrong header")]
+
+
+def test_annotation_file_without_a_column_is_refused(spark, tmp_path):
+    columns = [c for c in annotated.REQUIRED if c != "final_label"]
+    (tmp_path / "a.csv").write_text(",".join(columns) + "\n" + ",".join(["T1", "SHOP", "1.00", "OTHER", "", "", ""]) + "\n")
+    (tmp_path / "b.csv").write_text(",".join(annotated.REQUIRED) + "\n")
+    assert [r["error"] for r in annotated.read_labelled(spark, str(tmp_path)).collect()] == ["required column missing: final_label"]
+    headers, rows = bankfiles.split_header(bankfiles.records_from_lines(bankfiles.read_lines(spark, str(tmp_path))))
+    refused = {r["file_id"].rsplit("/", 1)[1]: r["reason"] for r in annotated.refused_labelled_files(headers, rows).collect()}
+    assert refused == {"a.csv": "required column missing: final_label", "b.csv": "no rows"}

@@ -27,6 +27,11 @@ def test_amounts(spark):
     assert got == [None if amount is None else Decimal(amount) for _, amount in AMOUNTS]
 
 
+def test_amounts_beyond_six_decimals_are_refused_not_rounded(spark):
+    assert values(spark, ["1.23456789", "0.0049999999", "1.5000000000", "1.234567"], text.parse_amount) == [
+        None, None, Decimal("1.500000"), Decimal("1.234567")]
+
+
 def test_amount_with_decimal_comma(spark):
     got = values(spark, ["1.234,56", "-1.234", "1,5"], lambda c: text.parse_amount(c, decimal_comma=True))
     assert got == [Decimal("1234.56"), Decimal("-1234"), Decimal("1.5")]
