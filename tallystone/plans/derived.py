@@ -344,11 +344,12 @@ def duck(names: str | list[str], body: str, **extra: str) -> str:
 
 
 def ratio4(numerator: str, denominator: str) -> str:
-    """DuckDB: numerator / denominator to four places, halves to even, from integers."""
-    n, d = f"(({numerator})::hugeint * 10000)", f"(({denominator})::hugeint)"
+    """DuckDB: numerator / denominator to four places, halves to even, from integers of any sign."""
+    n, d = f"(abs({numerator})::hugeint * 10000)", f"(abs({denominator})::hugeint)"
     up = f"(({n} % {d}) * 2 > {d} or (({n} % {d}) * 2 = {d} and ({n} // {d}) % 2 = 1))"
+    sign = f"(case when (({numerator}) < 0) <> (({denominator}) < 0) then -1 else 1 end)"
     return (
         f"(case when {d} = 0 then 0.0000::decimal(18,4) else "
-        f"(({n} // {d} + case when {up} then 1 else 0 end)::decimal(28,0)"
+        f"(({sign} * ({n} // {d} + case when {up} then 1 else 0 end))::decimal(28,0)"
         f" * 0.0001::decimal(9,4))::decimal(18,4) end)"
     )

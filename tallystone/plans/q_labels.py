@@ -129,7 +129,7 @@ def f11(spark, sf):
 
 
 def _kappa(rows: str, a: str, b: str) -> str:
-    # both figures are positive on these tables
+    # agreement below chance makes kappa negative
     return f"""
 select n as double_annotated, agreed, {ratio4("agreed", "n")} as raw_agreement,
   case when n * n <> e then {ratio4("n * agreed - e", "n * n - e")} end as kappa

@@ -3,7 +3,8 @@
 import pytest
 from compare import compare, duck_connection
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tallystone.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,14 +15,14 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_gives_rows(spark):
     assert entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    problems = compare(queries()[name](spark, SF), con, oracle_sql()[name])
+    problems = compare(QUERIES[name](spark, SF), con, ORACLES[name])
     assert [p for p in problems if p != "no rows at all"] == []
