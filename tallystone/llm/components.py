@@ -16,8 +16,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    tied = both.filter("v > u").join(least, "u").select("v", F.least("u", "m").alias("m"))
-    return _edges(tied.select(F.col("v").alias("a"), F.col("m").alias("b")))
+    tied = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return tied.filter("u <> v")  # what repeats here goes with the small star
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
