@@ -2,7 +2,7 @@
 
 Terms are words and the first four or five letters of longer words. Those that occur in
 toxic examples more often than chance explains, by a likelihood ratio test against all
-terms tried, span the space. Weights are TF-IDF with document counts over all documents.
+terms tried, and seldom in clean ones, span the space. Weights are TF-IDF with document counts over all documents.
 The nearest examples of a document are found exactly: examples lie in blocks, a posting
 list per term knows its largest weight in each block, and blocks are visited from the
 highest upper bound down until none can hold a nearer example. Votes weighted by distance
@@ -30,6 +30,8 @@ NEAREST = 25
 THRESHOLD = 0.7
 PRIOR = 0.5  # weight of the rate among examples without terms in each vote
 MINIMUM = 3  # toxic examples that a term must be in
+SURE = 20  # one over the chance that any term is taken that tells nothing
+TELLING = 2  # toxic examples with a term for each clean one with it, at least
 
 _WORD = re.compile(r"\w+")
 _PREFIXES = (4, 5)
@@ -116,7 +118,8 @@ class Index:
         return rows, scores
 
     def _vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
-        weight = 1 / (1.05 - np.minimum(scores, 1.0))
+        near = np.minimum(scores, 1.0)
+        weight = near * near / (1.05 - near)  # what is hardly alike says little against the prior
         return float((weight @ self.toxic[rows] + PRIOR * self.rate) / (weight.sum() + PRIOR))
 
     def _calibrate(self, filled: list) -> None:
@@ -173,7 +176,10 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def telling_terms(docs: DataFrame, examples: DataFrame) -> list[str]:
-    """Terms that toxic examples hold more often than chance explains."""
+    """Terms that toxic examples hold more often than chance explains, and clean ones seldom.
+
+    Long texts hold more of all terms, so a term must also tell by itself.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -203,8 +209,8 @@ def telling_terms(docs: DataFrame, examples: DataFrame) -> list[str]:
     present, absent = t + c, n - t - c
     ratio = 2 * (part(t, present * toxic / n) + part(c, present * clean / n)
                  + part(toxic - t, absent * toxic / n) + part(clean - c, absent * clean / n))
-    best = counts.filter((F.col("t") >= MINIMUM) & (t * clean > c * toxic)).withColumn("ratio", ratio).filter(
-        F.col("ratio") > 2 * math.log(max(2, n_terms)))
+    best = counts.filter((F.col("t") >= MINIMUM) & (t * clean > c * toxic) & (t >= TELLING * c)).withColumn("ratio", ratio).filter(
+        F.col("ratio") > 2 * math.log(max(2, n_terms) * SURE))
     return [row.term for row in best.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()]
 
 
