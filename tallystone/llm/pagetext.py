@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.words import word_hashes
 
-SAMPLE = 240  # pages the labeller is trained on, the first by hash
+SAMPLE = 240  # pages the labeller is trained on, by hash
 SAMPLE_CHARS = 1 << 15  # longer pages are not trained on
 PATH, WORDS, PLAIN = 128, 48, 6
 WORD_SCALE = 0.3
@@ -354,9 +354,15 @@ def trained(pages: list[str]) -> Labeller:
 
 
 def fit(pages: DataFrame) -> Labeller:
-    """The labeller trained on ``SAMPLE`` pages of at most ``SAMPLE_CHARS`` characters."""
+    """The labeller trained on at most ``SAMPLE`` pages of at most ``SAMPLE_CHARS`` characters.
+
+    A share of the hashes that holds about four times as many pages is ranked, so tasks
+    send the driver few rows however many tasks there are.
+    """
     order = F.xxhash64(F.col("page_id"), F.lit(SEED))
-    short = pages.filter(F.length("html") <= SAMPLE_CHARS)
+    share = min(1.0, 4 * SAMPLE / max(1, pages.count()))
+    near = pages.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
+    short = near.filter(F.length("html") <= SAMPLE_CHARS)
     sample = short.select("html", order.alias("_order")).orderBy("_order", "html").limit(SAMPLE).collect()
     return trained([row.html for row in sample])
 
