@@ -30,7 +30,7 @@ FILLINGS = 6  # fillings of one sequence that the search keeps to choose from
 LOOSEST = 256  # sequences of the best-fit solution that the search packs anew, most waste first
 EFFORT = 12  # completed sequences that the search may try for each of these
 SLICE_CHARS = 1 << 20
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 MARK = "<|endoftext|>"
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _SMALL = re.compile(f"[{_LETTERS}]+").fullmatch

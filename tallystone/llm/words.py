@@ -113,8 +113,19 @@ _PLACES = constants(7, SHINGLE)
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct hashes of the five-word shingles of each text.
 
-    Fewer words give one shingle of the whole sequence, no words the empty set.
+    Fewer words give one shingle of the whole sequence, no words the empty set. Texts go
+    through in runs of about SLICE bytes, so what is held beside the sets stays small.
     """
+    offsets = text_bytes(texts)[1]
+    sets, at = [], 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        sets += _shingle_sets(texts.slice(at, end - at))
+        at = end
+    return sets
+
+
+def _shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     words, offsets = word_hashes(texts)
     n = max(0, len(words) - SHINGLE + 1)
     runs = np.zeros(n, np.uint64)
