@@ -1,37 +1,40 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and the first four or five letters of longer words. Those that occur in
-toxic examples more often than chance explains, by a likelihood ratio test against all
-terms tried, and seldom in clean ones, span the space. Weights are TF-IDF with document counts over all documents.
-The nearest examples of a document are found exactly: examples lie in blocks, a posting
-list per term knows its largest weight in each block, and blocks are visited from the
-highest upper bound down until none can hold a nearer example. Votes weighted by distance
-are calibrated on the examples themselves, each left out of its own vote.
+Terms are words and the first four or five letters of longer words, all those of the
+examples. Weights are TF-IDF with document counts over all documents, and norms are taken
+over the whole text, words that no example holds included. Terms whose rate among toxic
+examples is higher than chance explains, by a likelihood ratio test against all terms
+tried, weigh more by what the ratio exceeds chance; no term is left out.
+The nearest examples of a document are found exactly: a matrix holds the common terms,
+posting lists the others, and what may be among the nearest is summed again in full
+precision. Votes weighted by distance are calibrated on the examples themselves, each left
+out of its own vote, in tasks that share the index.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm.store import map_rows, written
 
 EXAMPLES = 20_000  # labelled documents the index holds, chosen by hash; the expected number
-TERMS = 2048  # terms of the space, the most telling first
-BLOCK = 64
+COMMON = 1 / 16  # share of the examples from which on a term is a row of the matrix
+SLICE = 64  # texts compared at once
 NEAREST = 25
 THRESHOLD = 0.7
 PRIOR = 0.5  # weight of the rate among examples without terms in each vote
-MINIMUM = 3  # toxic examples that a term must be in
-SURE = 20  # one over the chance that any term is taken that tells nothing
-TELLING = 2  # toxic examples with a term for each clean one with it, at least
+SURE = 20  # one over the chance that any term is raised that tells nothing
+REMEMBERED = 20_000  # texts whose score a task remembers
 
 _WORD = re.compile(r"\w+")
 _PREFIXES = (4, 5)
@@ -42,129 +45,177 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def term_set(text: str) -> set[str]:
-    words = set(_WORD.findall(text.lower()))
-    terms = set(words)
+def term_counts(text: str | None) -> dict[str, int]:
+    """How often each term occurs in a whole text."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    heads: dict[str, int] = defaultdict(int)
     for n in _PREFIXES:
-        terms.update({word[:n] + "*" for word in words if len(word) > n})
-    return terms
-
-
-def term_counts(text: str, space: dict[str, int], heads: dict[int, set[str]], whole: set[str]) -> dict[int, int]:
-    """How often the terms of the space occur in a whole text."""
-    words = _WORD.findall(text.lower())
-    distinct = set(words)
-    found = whole.intersection(distinct)
-    prefixes = {n: {word[:n] for word in distinct}.intersection(known) for n, known in heads.items()}
-    if not found and not any(prefixes.values()):
-        return {}
-    counts: Counter = Counter()
-    for word in words:
-        if word in found:
-            counts[space[word]] += 1
-        for n, some in prefixes.items():
-            if len(word) > n and word[:n] in some:
-                counts[space[word[:n] + "*"]] += 1
-    return counts
+        for word, times in words.items():
+            if len(word) > n:
+                heads[word[:n] + "*"] += times
+    return words | heads
 
 
 class Index:
-    """Inverted lists over examples in blocks, each list with its largest weight per block."""
-
-    def __init__(self, examples: list[tuple], idf: np.ndarray) -> None:
-        self.idf = idf
-        weighed = [(self.vector(terms, counts), toxic, doc_id) for doc_id, toxic, terms, counts in examples]
-        empty = [toxic for (terms, _), toxic, _ in weighed if not len(terms)]
-        self.rate = (sum(empty) + 0.5 * (sum(t for _, t, _ in weighed) + 1) / (len(weighed) + 2)) / (len(empty) + 0.5)
-        filled = [w for w in weighed if len(w[0][0])]
-        filled.sort(key=lambda w: (w[0][0][np.argmax(w[0][1])], w[0][0].tolist(), w[2] is not None, w[2]))
-        self.toxic = np.array([w[1] for w in filled], float)
-        self.ids = [w[2] for w in filled]
-        blocks = max(1, math.ceil(len(filled) / BLOCK))
-        postings: list[list] = [[] for _ in idf]
-        for k, ((terms, weights), _, _) in enumerate(filled):
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                postings[t].append((k, w))
-        self.members = [np.array([k for k, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p], float) for p in postings]
-        self.most = np.zeros((len(postings), blocks))
-        self.starts = np.zeros((len(postings), blocks + 1), np.int64)
-        for t, (rows, weights) in enumerate(zip(self.members, self.weights)):
-            np.maximum.at(self.most[t], rows // BLOCK, weights)
-            self.starts[t] = np.searchsorted(rows, np.arange(blocks + 1) * BLOCK)
-        self.slope, self.shift = 1.0, 0.0
-        self._calibrate(filled)
-
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Examples by their weighted terms, with exact search for the nearest."""
+
+    def __init__(self, examples: list[tuple], idf: np.ndarray, unknown: float = 0.0) -> None:
+        self.idf, self.unknown = np.asarray(idf, float), unknown
+        empty = [toxic for _, toxic, terms, _ in examples if not len(terms)]
+        n_toxic = sum(toxic for _, toxic, _, _ in examples)
+        self.rate = (sum(empty) + 0.5 * (n_toxic + 1) / (len(examples) + 2)) / (len(empty) + 0.5)
+        filled = [e for e in examples if len(e[2])]
+        self.ids = [e[0] for e in filled]
+        self.toxic = np.array([e[1] for e in filled], float)
+        self.first = np.cumsum([0, *(len(e[2]) for e in filled)])
+        none = [np.zeros(0, np.int32)]
+        self.terms = np.concatenate([np.asarray(e[2], np.int32) for e in filled] or none)
+        self.counts = np.concatenate([np.asarray(e[3], np.int32) for e in filled] or none)
+        ends = zip(self.first, self.first[1:])
+        self.norms = np.array([np.sqrt((self._weights(self.terms[a:b], self.counts[a:b]) ** 2).sum()) for a, b in ends])
+        self._lists: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_lists": None}  # made again where they are used
+
+    def _weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts)) * self.idf[terms]
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray, others: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights under the norm of the whole text; ``others`` is the sum of the squares of
+        1 + log(count) over its terms that no example holds."""
         terms, counts = np.asarray(terms, np.int64), np.asarray(counts, float)
-        weights = (1 + np.log(counts)) * self.idf[terms] if len(terms) else counts
-        return terms, weights / np.sqrt((weights * weights).sum()) if len(terms) else weights
+        if not len(terms):
+            return terms, counts
+        weights = self._weights(terms, counts)
+        return terms, weights / np.sqrt((weights * weights).sum() + others * self.unknown**2)
+
+    def example(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.first[row], self.first[row + 1]
+        return self.vector(self.terms[a:b], self.counts[a:b])
+
+    def lists(self) -> tuple:
+        """Place of each term in the matrix or -1, the matrix, then starts, rows and weights of posting lists."""
+        if self._lists is None:
+            held = np.bincount(self.terms, minlength=len(self.idf))
+            common = np.flatnonzero(held > COMMON * len(self.ids))
+            place = np.full(len(held), -1, np.int32)
+            place[common] = np.arange(len(common))
+            matrix = np.zeros((len(common), len(self.ids)), np.float32)
+            starts = np.cumsum([0, *np.where(place < 0, held, 0)])
+            members, listed = np.zeros(starts[-1], np.int32), np.zeros(starts[-1], np.float32)
+            free = starts[:-1].copy()
+            for row in range(len(self.ids)):
+                terms, weights = self.example(row)
+                at = place[terms]
+                matrix[at[at >= 0], row] = weights[at >= 0]
+                rare = terms[at < 0]
+                members[free[rare]], listed[free[rare]] = row, weights[at < 0]
+                free[rare] += 1
+            self._lists = place, matrix, starts, members, listed
+        return self._lists
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` nearest examples that share a term, nearest first; ties to the lower number."""
-        bounds = weights @ self.most[terms] if len(terms) else np.zeros(self.most.shape[1])
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(rows) == k and bounds[block] < scores[-1] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                a, b = self.starts[t, block], self.starts[t, block + 1]
-                sums[self.members[t][a:b] - block * BLOCK] += w * self.weights[t][a:b]
-            hit = np.flatnonzero(sums)
-            rows, scores = np.concatenate([rows, hit + block * BLOCK]), np.concatenate([scores, sums[hit]])
+        return self.nearest_all([(terms, weights)], k)[0]
+
+    def nearest_all(self, vectors: list[tuple], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        place, matrix, starts, members, listed = self.lists()
+        wanted = np.zeros((len(vectors), len(matrix)), np.float32)
+        for row, (terms, weights) in enumerate(vectors):
+            at = place[terms]
+            wanted[row, at[at >= 0]] = weights[at >= 0]
+        n, found = len(self.ids), []
+        full = np.zeros(len(self.idf))
+        for rough, (terms, weights) in zip(wanted @ matrix, vectors):
+            begin = starts[terms]
+            long = starts[terms + 1] - begin
+            at = np.repeat(begin - np.cumsum(long) + long, long) + np.arange(long.sum())
+            rough = rough + np.bincount(members[at], listed[at] * np.repeat(weights, long), n)
+            # no weight is negative, so the rounding of single precision is a small share of a sum
+            least = np.partition(rough, n - k)[n - k] * (1 - 1e-3) if n > k else 0.0
+            rows = np.flatnonzero((rough >= least) & (rough > 0))
+            full[terms] = weights
+            scores = np.zeros(len(rows))
+            for a in range(0, len(rows), 256):
+                some = rows[a : a + 256]
+                size = self.first[some + 1] - self.first[some]
+                ends = np.cumsum(size)
+                at = np.repeat(self.first[some] - ends + size, size) + np.arange(ends[-1])
+                sums = full[self.terms[at]] * self._weights(self.terms[at], self.counts[at])
+                scores[a : a + 256] = np.add.reduceat(sums, ends - size) / self.norms[some]
+            full[terms] = 0
             order = np.lexsort([rows, -np.round(scores, 12)])[:k]
-            rows, scores = rows[order], scores[order]
-        return rows, scores
+            found.append((rows[order], scores[order]))
+        return found
 
     def _vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
         near = np.minimum(scores, 1.0)
         weight = near * near / (1.05 - near)  # what is hardly alike says little against the prior
         return float((weight @ self.toxic[rows] + PRIOR * self.rate) / (weight.sum() + PRIOR))
 
-    def _calibrate(self, filled: list) -> None:
+    def own_votes(self, rows: list[int]) -> list[float]:
+        """Votes of examples, each without itself."""
+        votes = []
+        for at in range(0, len(rows), SLICE):
+            some = rows[at : at + SLICE]
+            for k, (near, scores) in zip(some, self.nearest_all([self.example(k) for k in some], NEAREST + 1)):
+                other = near != k
+                votes.append(self._vote(near[other][:NEAREST], scores[other][:NEAREST]))
+        return votes
+
+    def calibrated(self, votes: np.ndarray) -> tuple[float, float]:
         """Shift and slope of the logit of a vote, held near 0 and 1 by a prior."""
-        votes, seen = np.zeros(len(filled)), {}
-        for k, ((terms, weights), _, _) in enumerate(filled):
-            key = (terms.tobytes(), weights.tobytes())
-            if key not in seen:
-                seen[key] = self.nearest(terms, weights, NEAREST + 1)
-            rows, scores = seen[key]
-            other = rows != k
-            votes[k] = self._vote(rows[other][:NEAREST], scores[other][:NEAREST])
+        shift, slope = 0.0, 1.0
         x = np.log(votes / (1 - votes)) if len(votes) else votes
         for _ in range(25):
-            p = 1 / (1 + np.exp(-(self.shift + self.slope * x)))
+            p = 1 / (1 + np.exp(-(shift + slope * x)))
             error, spread = p - self.toxic, np.maximum(p * (1 - p), 1e-9)
-            gradient = np.array([error.sum() + self.shift, (error * x).sum() + 4 * (self.slope - 1)])
+            gradient = np.array([error.sum() + shift, (error * x).sum() + 4 * (slope - 1)])
             curve = np.array([[spread.sum() + 1, (spread * x).sum()], [(spread * x).sum(), (spread * x * x).sum() + 4]])
             step = np.linalg.solve(curve, gradient)
-            self.shift, self.slope = self.shift - step[0], max(0.1, self.slope - step[1])
+            shift, slope = shift - step[0], max(0.1, slope - step[1])
             if abs(step).max() < 1e-9:
                 break
+        return float(shift), float(slope)
 
-    def score(self, terms, counts) -> tuple[float, list[int], list[float]]:
-        """Calibrated score, and the examples it rests on with their similarity."""
-        if not len(terms):
-            return self.rate, [], []
-        rows, scores = self.nearest(*self.vector(terms, counts), NEAREST)
-        vote = self._vote(rows, scores)
-        value = 1 / (1 + math.exp(-(self.shift + self.slope * math.log(vote / (1 - vote)))))
-        return value, rows.tolist(), scores.tolist()
+    def scores(self, texts: list[tuple], line: tuple[float, float]) -> list[tuple[float, list[int], list[float]]]:
+        """For terms, counts and others of each text its calibrated score, and the examples it rests on with their similarity."""
+        known = [k for k, (terms, _, _) in enumerate(texts) if len(terms)]
+        out: list = [(self.rate, [], [])] * len(texts)
+        for k, (rows, near) in zip(known, self.nearest_all([self.vector(*texts[k]) for k in known], NEAREST)):
+            vote = self._vote(rows, near)
+            value = 1 / (1 + math.exp(-(line[0] + line[1] * math.log(vote / (1 - vote)))))
+            out[k] = value, rows.tolist(), near.tolist()
+        return out
 
 
 class Space:
-    """The terms and what finds them in a text."""
+    """The terms of the examples and what finds them in a text."""
 
-    def __init__(self, terms: list[str]) -> None:
-        self.terms = terms
-        self.number = {term: k for k, term in enumerate(terms)}
-        self.whole = {term for term in terms if not term.endswith("*")}
-        self.heads = {n: {t[:-1] for t in terms if t.endswith("*") and len(t) == n + 1} for n in _PREFIXES}
-        self.heads = {n: some for n, some in self.heads.items() if some}
+    def __init__(self, terms: list[str], telling: np.ndarray) -> None:
+        self.terms, self.telling = terms, telling
+        self._number: dict[str, int] | None = None
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        return term_counts(text or "", self.number, self.heads, self.whole) if self.terms else {}
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_number": None}
+
+    def number(self) -> dict[str, int]:
+        if self._number is None:
+            self._number = {term: k for k, term in enumerate(self.terms)}
+        return self._number
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Terms of the space in a whole text, how often each occurs, and what ``Index.vector`` needs of the others."""
+        if not self.terms:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0
+        found = term_counts(text)
+        number = self.number()
+        terms = np.array([number.get(term, -1) for term in found], np.int64)
+        times = np.fromiter(found.values(), np.int64, len(found))
+        others = ((1 + np.log(times[terms < 0])) ** 2).sum()
+        order = np.argsort(terms, kind="stable")[(terms < 0).sum() :]
+        return terms[order], times[order], float(others)
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -175,109 +226,135 @@ def labelled(labels: DataFrame) -> DataFrame:
     return usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def telling_terms(docs: DataFrame, examples: DataFrame) -> list[str]:
-    """Terms that toxic examples hold more often than chance explains, and clean ones seldom.
+def example_terms(chosen: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples in order, and what each one's likelihood ratio exceeds chance by.
 
-    Long texts hold more of all terms, so a term must also tell by itself.
+    The ratio holds the share of a term's examples that are toxic against the share that
+    toxic examples have of all terms: both are rates of their class, and long texts, which
+    hold more of all terms, make no term tell. Only higher toxic rates count.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: tuple[Counter, Counter] = Counter(), Counter()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                seen[toxic].update(term_set(text or ""))
+                seen[toxic].update(term_counts(text).keys())
             terms = list(set(seen[0]) | set(seen[1]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(terms, pa.string()), *(pa.array([s[t] for t in terms], pa.int64()) for s in seen)],
                 names=["term", "clean", "toxic"])
 
-    # the sample is bounded by EXAMPLES, so it may be sent to every task
-    chosen = docs.select("doc_id", "text").join(F.broadcast(examples), "doc_id")
-    counts = chosen.select("text", "toxic").mapInArrow(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(
-        F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    counts = written(counts, "terms")
-    n_terms = counts.count()
     sides = dict(chosen.groupBy("toxic").count().collect())
-    clean, toxic = float(sides.get(0, 0)), float(sides.get(1, 0))
-    n = clean + toxic
-    if not clean or not toxic:
-        return []
-
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
-
-    t, c = F.col("t").cast("double"), F.col("c").cast("double")
-    present, absent = t + c, n - t - c
-    ratio = 2 * (part(t, present * toxic / n) + part(c, present * clean / n)
-                 + part(toxic - t, absent * toxic / n) + part(clean - c, absent * clean / n))
-    best = counts.filter((F.col("t") >= MINIMUM) & (t * clean > c * toxic) & (t >= TELLING * c)).withColumn("ratio", ratio).filter(
-        F.col("ratio") > 2 * math.log(max(2, n_terms) * SURE))
-    return [row.term for row in best.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()]
-
+    if not sides.get(0) or not sides.get(1):
+        return [], np.zeros(0)
+    counts = chosen.select("text", "toxic").mapInArrow(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(
+        F.sum("clean").alias("c"), F.sum("toxic").alias("t")).toArrow().sort_by("term")  # bounded as the examples are
+    c, t = (counts.column(name).to_numpy().astype(float) for name in ("c", "t"))
+    if not c.sum() or not t.sum():
+        return [], np.zeros(0)
+    share = t.sum() / (t.sum() + c.sum())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(t > 0, t * np.log(t / ((t + c) * share)), 0) + np.where(c > 0, c * np.log(c / ((t + c) * (1 - share))), 0))
+    above = np.where(t > (t + c) * share, ratio - 2 * math.log(max(2, len(t)) * SURE), 0)
+    return counts.column("term").to_pylist(), np.maximum(above, 0)
+
+
+def held_by(docs: DataFrame, shared: Broadcast) -> np.ndarray:
+    """In how many documents each term of the space is."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = shared.value
+        seen = np.zeros(len(space.terms), np.int64)
+        number = space.number()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                at = np.array([number.get(term, -1) for term in term_counts(text)], np.int64)
+                seen[at[at >= 0]] += 1
+        terms = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(seen[terms], pa.int64())], names=["term", "n"])
+
+    held = np.zeros(len(shared.value.terms))
+    if len(held):
+        found = docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        held[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return held
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Broadcast, tuple[float, float]]:
+    """The space and the index of examples at every task, sent once, and what calibrates votes."""
+    context = docs.sparkSession.sparkContext
+    examples = written(labelled(labels), "labels")
+    # the sample is bounded by EXAMPLES, so it may be sent to every task
+    chosen = written(docs.select("doc_id", "text").join(F.broadcast(examples), "doc_id"), "examples")
+    terms, above = example_terms(chosen)
+    space = context.broadcast(Space(terms, above > 0))
 
-def vectors(docs: DataFrame, space: Space) -> DataFrame:
-    """doc_id with the terms of the space in its whole text and how often each occurs."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(space.counts(text).items()) for text in batch.column("text").to_pylist()]
+            found = [space.value.counts(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())),
-                pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
+                batch.column("doc_id"), batch.column("toxic"), pa.array([f[0] for f in found], pa.list_(pa.int32())),
+                pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, terms array<int>, counts array<int>")
-
+    known = chosen.mapInArrow(find, f"doc_id {kind}, toxic int, terms array<int>, counts array<int>").toArrow()  # bounded by EXAMPLES
+    rows = [
+        (doc_id, toxic, t.values.to_numpy(), n.values.to_numpy())
+        for doc_id, toxic, t, n in zip(known.column("doc_id").to_pylist(), known.column("toxic").to_pylist(), known.column("terms"), known.column("counts"))]
+    rows.sort(key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
+    n = docs.count()
+    idf = (np.log((1 + n) / (1 + held_by(docs, space))) + 1) * (1 + above)
+    index = Index(rows, idf, math.log((1 + n) / 2) + 1)
+    shared = context.broadcast(index)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = shared.value.own_votes(batch.column("id").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.float64())], names=["id", "vote"])
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Space, Index, DataFrame]:
-    """The space, the index of examples, and the vectors of all documents."""
-    examples = written(labelled(labels), "labels")
-    space = Space(telling_terms(docs, examples))
-    found = written(vectors(docs, space), "vectors")
-    held = dict(found.select(F.explode("terms").alias("term")).groupBy("term").count().collect())  # a row per term
-    n = found.count()
-    idf = np.array([math.log((1 + n) / (1 + held.get(k, 0))) + 1 for k in range(len(space.terms))])
-    known = found.join(F.broadcast(examples), "doc_id").select("doc_id", "toxic", "terms", "counts")
-    rows = sorted((tuple(r) for r in known.collect()), key=lambda r: (r[0], r[2], r[3]))  # bounded by EXAMPLES
-    return space, Index(rows, idf), found
+    if not index.ids:
+        return space, shared, (0.0, 1.0)
+    tasks = math.ceil(len(index.ids) / 512)
+    votes = docs.sparkSession.range(0, len(index.ids), 1, tasks).mapInArrow(vote, "id bigint, vote double").toArrow().sort_by("id")
+    return space, shared, index.calibrated(votes.column("vote").to_numpy())
 
 
-def _scored(index: Index, seen: dict, terms, counts) -> tuple[float, list[int], list[float]]:
-    key = (tuple(terms), tuple(counts))
-    if key not in seen:
-        if len(seen) > 50_000:
-            seen.clear()
-        seen[key] = index.score(terms, counts)
-    return seen[key]
+def _scored(space: Space, index: Index, line: tuple[float, float], seen: dict, texts: list[str | None]) -> list[tuple]:
+    """Score, telling terms, nearest examples and their similarity of each text; equal texts are scored once while remembered."""
+    keys = [hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for text in texts]
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    new = {key: text for key, text in zip(keys, texts) if key not in seen}
+    found = [space.counts(text) for text in new.values()]
+    for key, (terms, _, _), result in zip(new, found, index.scores(found, line)):
+        seen[key] = (result[0], " ".join(space.terms[t] for t in terms[space.telling[terms]]), result[1][:3], result[2][:3])
+    return [seen[key] for key in keys]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, then evidence: terms and nearest examples.
 
     Every row of ``docs`` gets a score from its whole text. A null or empty text, or one
-    without telling terms, gets the toxic rate of such examples. Labels come from rows of
+    without a term of any example, gets the toxic rate of such examples. Evidence names the
+    terms that tell by themselves; the score rests on all. Labels come from rows of
     ``labels`` outside the held-out fold; a doc_id labelled twice is toxic if one label
     says so; null labels are left out. Without labels of both kinds no term tells and all
     scores are one low prior rate. Other columns are ignored; no rows give no rows.
     """
-    space, index, found = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((space.terms, index))
+    space, index, line = fit(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms_of, model = shared.value
-        seen: dict = {}
-        for batch in batches:
-            values, words, near = [], [], []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                value, rows, alike = _scored(model, seen, terms, counts)
-                values.append(value)
-                words.append(" ".join(terms_of[t] for t in terms))
-                near.append([{"doc_id": model.ids[r], "similarity": s} for r, s in zip(rows[:3], alike)])
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(values, pa.float64()), pa.array(words, pa.string()),
-                pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))),
-            ], names=["doc_id", "score", "evidence", "nearest"])
+        model, seen = index.value, {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                values, words, rows, alike = zip(*_scored(space.value, model, line, seen, batch.column("text").to_pylist()))
+                near = [[{"doc_id": model.ids[r], "similarity": s} for r, s in zip(*some)] for some in zip(rows, alike)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id"), pa.array(values, pa.float64()), pa.array(words, pa.string()),
+                    pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))),
+                ], names=["doc_id", "score", "evidence", "nearest"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    scored = found.mapInArrow(
+    scored = docs.select("doc_id", "text").mapInArrow(
         score, f"doc_id {kind}, score double, evidence string, nearest array<struct<doc_id:bigint,similarity:double>>")
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence", "nearest")
@@ -285,14 +362,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score stays below the threshold, with all their columns."""
-    space, index, _ = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((space, index))
+    space, index, line = fit(docs, labels)
 
     def keep(batch: pa.RecordBatch, text: int) -> pa.RecordBatch:
-        terms_of, model = shared.value
         seen: dict = {}
-        found = [sorted(terms_of.counts(value).items()) for value in batch.column(text).to_pylist()]
-        scores = [_scored(model, seen, [t for t, _ in f], [n for _, n in f])[0] for f in found]
-        return batch.filter(pa.array([s < THRESHOLD for s in scores], pa.bool_()))
+        kept: list[bool] = []
+        for at in range(0, batch.num_rows, SLICE):
+            kept += [found[0] < THRESHOLD for found in _scored(space.value, index.value, line, seen, batch.column(text).slice(at, SLICE).to_pylist())]
+        return batch.filter(pa.array(kept, pa.bool_()))
 
     return map_rows(docs, keep)

@@ -116,6 +116,29 @@ def test_block_max_search_is_exact():
         assert np.allclose(scores, exact[rows])
 
 
+def test_toxicity_of_a_rare_class_rests_on_rates_and_on_the_whole_text(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(400)]
+    rows, labels = [], []
+    for k in range(1500):
+        toxic = k % 50 == 0
+        words = [rng.choice(vocabulary) for _ in range(12)]
+        # clean texts hold each of the two words about as often as toxic ones in number, but never both
+        words += ["zork", "vex"] if toxic else [["zork"], ["vex"], *[[]] * 38][rng.randrange(40)]
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), "s"))
+        labels.append((k, int(toxic), int(toxic)))
+    labelled = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    held = [r for r in toxicity.toxicity(documents(spark, rows), labelled).collect() if r.held_out]
+    assert np.mean([r.predicted for r in held if r.doc_id % 50 == 0]) > 0.9
+    assert np.mean([r.predicted for r in held if r.doc_id % 50]) < 0.02
+    # a long clean text with one telling word is not what a short toxic one is
+    space = toxicity.Space(["common", "zork"], np.array([False, True]))
+    index = toxicity.Index([(1, 1, [1], [1]), (2, 0, [0], [3])], np.array([1.0, 5.0]), 4.0)
+    assert index.nearest(*index.vector(*space.counts("zork")), 1)[1][0] == 1
+    assert index.nearest(*index.vector(*space.counts("zork " + " ".join(vocabulary))), 1)[1][0] < 0.2
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
