@@ -135,7 +135,8 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int
 
     ``sized`` has doc_id, source and size. A draw has ``most`` where it takes its block
     only in part: what the source still lacks after its last whole block. The edge
-    documents fill that, out of the block and those behind it in the permutation.
+    documents fill that, out of the block and those behind it in the permutation. A document
+    larger than a block that no longer fits is left out, and the blocks behind it still count.
     """
     targets = written(source_targets(sized, weights, limit).withColumn(
         "source_no", F.row_number().over(W.orderBy(F.col("source").isNull(), "source")).cast("int")), "targets")
@@ -149,28 +150,67 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int
     known = whole.select("source", "source_no", "n_blocks", "rounds", "rest")
     blocked = sized.alias("d").join(known.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
         "d.doc_id", "d.source", "d.size", "t.source_no", "t.rounds", "t.rest",
-        F.pmod(F.xxhash64("d.doc_id", F.lit(SEED)), "t.n_blocks").cast("bigint").alias("block"))
+        F.pmod(F.xxhash64("d.doc_id", F.lit(SEED)), "t.n_blocks").cast("bigint").alias("block"),
+        (F.col("d.size") > per_block).alias("long"))
+    # words / per_block bounds the number of long documents, as it does that of blocks
+    long = F.when(F.col("long"), F.struct("size", F.xxhash64("doc_id", F.lit(SEED + 3)).alias("draw"), "doc_id", "source", "block"))
     sums = blocked.groupBy("source_no", "block").agg(
-        F.sum("size").alias("words"), F.first("rounds").alias("rounds"), F.first("rest").alias("rest"))
+        F.sum("size").alias("words"), F.first("rounds").alias("rounds"), F.first("rest").alias("rest"),
+        F.sum(F.when(F.col("long"), 0).otherwise(F.col("size"))).alias("short"), F.sort_array(F.collect_list(long), asc=False).alias("held"))
     permuted = W.partitionBy("source_no").orderBy(F.xxhash64("source_no", "block", F.lit(SEED + 1)), "block")
     through = F.sum("words").over(permuted.rowsBetween(W.unboundedPreceding, W.currentRow))
     ranked = sums.withColumn("through", through).withColumn("rank", F.row_number().over(permuted))
     crossing = F.min(F.when(F.col("through") > F.col("rest"), F.struct("rank", (F.col("rest") - F.col("through") + F.col(
         "words")).alias("room")))).over(W.partitionBy("source_no"))
     partly = written(ranked.withColumn("crossing", crossing).select(
-        "source_no", "block", "rounds", "rank", "crossing.room", F.col("crossing.rank").alias("edge")), "blocks")
-    rest = partly.filter("rank < edge or (rank = edge and room > 0)").select(
-        "source_no", "block", F.lit(EDGE).cast("bigint").alias("round"), F.when(F.col("rank") == F.col("edge"), F.col("room")).alias("most"))
+        "source_no", "block", "rounds", "rank", "short", "held", "crossing.room", F.col("crossing.rank").alias("edge")), "blocks")
+    ends = written(_walked(partly.filter("rank >= edge")), "ends")
+    passed = partly.join(ends, "source_no", "left")
+    last = F.col("rank") == F.col("stop")
+    rest = passed.filter((F.col("rank") < F.col("edge")) | (F.col("rank") < F.coalesce("stop", F.col("rank") + 1)) & F.col("edge").isNotNull() | last & (
+        (F.col("left") > 0) | F.exists("took", lambda x: x["block"] == F.col("block")))).select(
+        "source_no", "block", F.lit(EDGE).cast("bigint").alias("round"), F.when(last, F.col("left")).alias("most"),
+        (F.col("rank") >= F.col("edge")).alias("behind"))
     rounds = partly.filter("rounds > 0").select(
-        "source_no", "block", F.explode(F.sequence(F.lit(1).cast("bigint"), "rounds")).alias("round"), F.lit(None).cast("double").alias("most"))
+        "source_no", "block", F.explode(F.sequence(F.lit(1).cast("bigint"), "rounds")).alias("round"), F.lit(None).cast("double").alias("most"),
+        F.lit(False).alias("behind"))
     draws = written(rounds.union(rest), "draws")
     quotas = shard_quotas(draws.groupBy("source_no").agg(F.count("*").alias("blocks")), levels)
     numbered = draws.withColumn("n", F.row_number().over(W.partitionBy("source_no").orderBy(
         F.xxhash64("source_no", "block", "round", F.lit(SEED + 2)), "block", "round")) - 1)
     placed = numbered.join(quotas, "source_no").filter("n >= first and n < first + quota").select(
-        "source_no", "block", "round", "most", "shard")
-    edge = partly.filter(F.col("rank").between(F.col("edge"), F.col("edge") + EDGE_BLOCKS - 1)).select("source_no", "block")
-    return targets, blocked, placed, _filled(blocked.join(edge, ["source_no", "block"]), placed.filter("most is not null"))
+        "source_no", "block", "round", "most", "behind", "shard")
+    edge = passed.filter(F.col("rank").between(F.col("stop"), F.col("stop") + EDGE_BLOCKS - 1)).select("source_no", "block", last.alias("last"))
+    near = blocked.join(edge, ["source_no", "block"]).filter("not (last and long)")
+    took = ends.select("source_no", F.explode("took").alias("x")).select("source_no", "x.block", "x.doc_id", "x.source", "x.size")
+    long_taken = took.join(placed.filter(F.col("round") == EDGE), ["source_no", "block"]).select("doc_id", "source", "size", "round", "shard")
+    return targets, blocked, placed, _filled(near, placed.filter("most is not null")).union(long_taken)
+
+
+def _walked(behind: DataFrame) -> DataFrame:
+    """Of each source: the long documents taken behind its first block that does not fit whole,
+    the first block whose other documents don't all fit, and what is then left to fill.
+
+    Blocks come in the order of the permutation; a long document is taken where it fits.
+    """
+    ordered = behind.groupBy("source_no").agg(
+        F.sort_array(F.collect_list(F.struct("rank", F.col("short").cast("double").alias("short"), "held"))).alias("blocks"), F.first("room").alias("room"))
+
+    def take(state: Column, x: Column) -> Column:
+        fits = x["size"] <= state["left"]
+        return F.struct((state["left"] - F.when(fits, x["size"]).otherwise(0)).alias("left"), state["stop"].alias("stop"),
+                        F.when(fits, F.concat(state["took"], F.array(x))).otherwise(state["took"]).alias("took"))
+
+    def walk(state: Column, block: Column) -> Column:
+        after = F.aggregate(block["held"], state, take)
+        fits = block["short"] <= after["left"]
+        return F.when(state["stop"].isNotNull(), state).otherwise(F.struct(
+            (after["left"] - F.when(fits, block["short"]).otherwise(0.0)).alias("left"),
+            F.when(~fits, block["rank"]).alias("stop"), after["took"].alias("took")))
+
+    none = F.filter(F.col("blocks")[0]["held"], lambda x: F.lit(False))
+    start = F.struct(F.col("room").alias("left"), F.lit(None).cast("int").alias("stop"), none.alias("took"))
+    return ordered.select("source_no", F.aggregate("blocks", start, walk).alias("end")).select("source_no", "end.left", "end.stop", "end.took")
 
 
 def mixed(sized: DataFrame, **parameters) -> DataFrame:
@@ -203,7 +243,7 @@ def _filled(near: DataFrame, partial: DataFrame) -> DataFrame:
 
 
 def _copies(blocked: DataFrame, placed: DataFrame, edge: DataFrame) -> DataFrame:
-    whole = blocked.join(placed.filter("most is null").drop("most"), ["source_no", "block"])
+    whole = blocked.join(placed.filter("most is null").drop("most"), ["source_no", "block"]).filter("not (behind and long)")
     return whole.select("doc_id", "source", "size", "round", "shard").union(edge).withColumn(
         "place", F.xxhash64("doc_id", "round", "shard", F.lit(SEED + 4)))
 

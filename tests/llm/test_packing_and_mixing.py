@@ -155,6 +155,23 @@ def test_mix_report_meets_its_targets(spark):
     assert mixing.mix_report(docs.limit(0)).count() == 0
 
 
+def test_a_very_long_document_leaves_no_target_unfilled(spark):
+    names = "abcdefgh"
+    rows = [(1000 * n + k, "w " * (4000 if k == 400 else 10), s) for n, s in enumerate(names) for k in range(401)]
+    docs = documents(spark, rows)
+    source, taken, target = {i: s for i, _, s in rows}, Counter(), {}
+    for r in mixing.mix_report(docs, weights=(3.0, 1.0), block_words=128, shard_words=2048).collect():
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert sorted(set(target.values())) == [4000, 12000]
+    assert all(0 <= target[s] - taken[s] <= 10 for s in names)
+    mix = mixing.mixed_documents(docs, weights=(3.0, 1.0), block_words=128, shard_words=2048)
+    words = Counter()
+    for r in mix.collect():
+        words[r.source] += len(r.text.split())
+    assert words == taken
+
+
 def test_mixed_documents_are_the_rows_of_the_report(spark):
     rows = mix_rows()
     docs = documents(spark, rows)
