@@ -10,7 +10,9 @@ other furniture and other names for the article teach what the sample lacks.
 
 from __future__ import annotations
 
+import hashlib
 import html
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from tallystone.llm.words import word_hashes
 
 SAMPLE = 240  # pages the labeller is trained on, by hash
-SAMPLE_CHARS = 1 << 15  # longer pages are not trained on
+SAMPLE_CHARS = 1 << 15  # of longer pages a window of leaf blocks is trained on
 PATH, WORDS, PLAIN = 128, 48, 6
 WORD_SCALE = 0.3
 HIDDEN = 16
@@ -339,32 +341,68 @@ def variant(page: list[Block], labels: np.ndarray, texts: list[str], rng: np.ran
     return [b for b, _ in made], np.array([label for _, label in made])
 
 
-def trained(pages: list[str]) -> Labeller:
-    """A labeller for pages like these; the same pages in any order train the same one."""
+def window(page: str) -> tuple[list[Block], np.ndarray] | None:
+    """The blocks of a page and what the structure of the whole page says of them.
+
+    Of a page longer than ``SAMPLE_CHARS`` a run of blocks of about as many characters: its
+    beginning, its end or one from anywhere, by a hash of the page. None if there is no block.
+    """
+    found = blocks(page)
+    if not found:
+        return None
+    labels = weak_labels(found)
+    if len(page) <= SAMPLE_CHARS:
+        return found, labels
+    found = [(path, text[:SAMPLE_CHARS], min(links, SAMPLE_CHARS)) for path, text, links in found]
+    ends = np.cumsum([len(text) + 1 for _, text, _ in found])
+    draw = zlib.crc32(page.encode("utf-8", "surrogatepass"))
+    spare = max(0, int(ends[-1]) - SAMPLE_CHARS)
+    start = (0, spare, draw // 3 % (spare + 1))[draw % 3]
+    begins = np.concatenate([[0], ends[:-1]])
+    a = min(int(np.searchsorted(begins, start)), len(found) - 1)
+    b = max(a + 1, int(np.searchsorted(ends, begins[a] + SAMPLE_CHARS, "right")))
+    return found[a:b], labels[a:b]
+
+
+def trained(pages: list[tuple[list[Block], np.ndarray]]) -> Labeller:
+    """A labeller for pages like these windows."""
     rng = np.random.default_rng(SEED + 2)
-    parsed = [p for p in (blocks(page) for page in sorted(pages)) if p] or [[((("p", ()),), "text", 0)]]
-    labels = [weak_labels(p) for p in parsed]
-    texts = [text for page in parsed for _, text, _ in page]
-    examples = list(zip(parsed, labels))
-    for page, label in zip(parsed, labels):
-        examples += [variant(page, label, texts, rng) for _ in range(3)]
+    examples = list(pages) or [([((("p", ()),), "text", 0)], np.zeros(1))]  # without any block there is nothing to label
+    texts = [text for page, _ in examples for _, text, _ in page]
+    for page, labels in list(examples):
+        examples += [variant(page, labels, texts, rng) for _ in range(3)]
     labeller = Labeller()
     labeller.train(features([p for p, _ in examples]), [label for _, label in examples])
     return labeller
 
 
 def fit(pages: DataFrame) -> Labeller:
-    """The labeller trained on at most ``SAMPLE`` pages of at most ``SAMPLE_CHARS`` characters.
+    """The labeller trained on ``SAMPLE`` pages that have text, by hash and of any length, or on all if there are fewer.
 
     A share of the hashes that holds about four times as many pages is ranked, so tasks
-    send the driver few rows however many tasks there are.
+    send the driver few rows however many tasks there are; it grows while too few have text.
     """
-    order = F.xxhash64(F.col("page_id"), F.lit(SEED))
-    share = min(1.0, 4 * SAMPLE / max(1, pages.count()))
-    near = pages.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
-    short = near.filter(F.length("html") <= SAMPLE_CHARS)
-    sample = short.select("html", order.alias("_order")).orderBy("_order", "html").limit(SAMPLE).collect()
-    return trained([row.html for row in sample])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(order, page, found) for order, page in zip(batch.column("_order").to_pylist(), batch.column("html").to_pylist())
+                    if (found := window(page))]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([order for order, _, _ in rows], pa.int64()), pa.array([page[:SAMPLE_CHARS] for _, page, _ in rows], pa.string()),
+                pa.array([hashlib.sha256(page.encode("utf-8", "surrogatepass")).digest() for _, page, _ in rows], pa.binary()),
+                pa.array([pickle.dumps(found) for _, _, found in rows], pa.binary())], names=["_order", "head", "digest", "found"])
+
+    filled = pages.filter("html is not null")
+    order = F.when(F.col("page_id").isNull(), F.xxhash64("html", F.lit(SEED))).otherwise(F.xxhash64("page_id", F.lit(SEED)))
+    share = min(1.0, 4 * SAMPLE / max(1, filled.count()))
+    while True:
+        near = filled.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).select("html", order.alias("_order"))
+        sample = near.mapInArrow(cut, "_order bigint, head string, digest binary, found binary").orderBy(
+            "_order", "head", "digest").limit(SAMPLE).collect()
+        if len(sample) == SAMPLE or share == 1:
+            break
+        share = min(1.0, 8 * share)
+    sample.sort(key=lambda row: (row.head, bytes(row.digest)))
+    return trained([pickle.loads(row.found) for row in sample])
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -220,6 +220,23 @@ def test_main_text_of_given_pages(spark):
     assert all(r.n_chars == len(r.text) for r in found)
 
 
+def test_long_pages_are_trained_on(spark):
+    rng = random.Random(11)
+
+    def page():
+        article = [prose(rng, 60) for _ in range(130)]
+        nav = "".join(f"<li><a href=x>{prose(rng, 2)}</a></li>" for _ in range(12))
+        return f"<html><body><nav><ul>{nav}</ul></nav><article>{''.join(f'<p>{p}</p>' for p in article)}</article><footer><p>{prose(rng, 6)}</p></footer></body></html>", article
+
+    made = [page() for _ in range(40)]
+    assert all(len(html) > pagetext.SAMPLE_CHARS for html, _ in made)
+    assert all(sum(len(t) for _, t, _ in pagetext.window(html)[0]) <= pagetext.SAMPLE_CHARS for html, _ in made)
+    pages = spark.createDataFrame([(k, "u", html) for k, (html, _) in enumerate(made)], "page_id bigint, url string, html string")
+    for r in pagetext.main_text(pages).collect():
+        expected = [" ".join(p.split()) for p in made[r.page_id][1]]
+        assert len(set(r.text.split("\n")) ^ set(expected)) <= 0.02 * len(expected)
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<script>x"), (None, "u", "<article><p>Some words of the article that are long enough to be one.</p></article>"), (3, None, "<p" * 50_000)]
     pages = spark.createDataFrame([(*r, 5) for r in rows], "page_id bigint, url string, html string, n_chars int")
