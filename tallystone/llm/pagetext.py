@@ -10,6 +10,7 @@ other furniture and other names for the article teach what the sample lacks.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import pickle
@@ -39,8 +40,9 @@ BLOCK_TAGS = frozenset(
     "option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
 # Elements without content.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements whose content is no text of the page.
-RAW_TAGS = ("script", "style", "title", "template", "svg", "math", "iframe", "noscript", "textarea", "select", "object", "canvas", "noframes")
+# Elements whose content is no text of the page; the first run to its end where they are not closed.
+RAW_TAGS = ("script", "style", "title", "textarea")
+SKIPPED_TAGS = frozenset("template svg annotation annotation-xml iframe noscript select object canvas noframes".split())
 # Elements, and words of class and id, that stand for page furniture.
 FURNITURE_TAGS = frozenset("nav header footer aside form button dialog menu search".split())
 FURNITURE_WORDS = frozenset(
@@ -53,8 +55,9 @@ ARTICLE_TAGS = frozenset(("article", "main"))
 # Quantifiers that give nothing back, and no "<" outside quotes, keep the scan linear.
 _ATTRIBUTES = r"""(?:"[^"]*+"|'[^']*+'|[^'"<>])*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW_TAGS)})\b{_ATTRIBUTES}>.*?(?:</\1\s*+>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW_TAGS)})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*+>|\Z)"
     rf"|<(/?)([a-z][^\s/<>]*+)({_ATTRIBUTES})>|<[!?/][^<>]*+>", re.I | re.S)
+_CLOSED = re.compile(rf"</({'|'.join(sorted(SKIPPED_TAGS, key=len, reverse=True))})\s*+>", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
@@ -74,6 +77,7 @@ def blocks(page: str) -> list[Block]:
 
     Inline elements belong to the block around them; a line break is white space. A
     paragraph ends where the next block begins, and all that is open ends with the page.
+    A skipped element that is closed by its own tag or nowhere hides nothing behind it.
     """
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -96,13 +100,23 @@ def blocks(page: str) -> list[Block]:
         if depth:
             links += len(text.strip())
 
-    for token in _TOKEN.finditer(page):
+    ends: dict[str, list[int]] = {}
+    for closed in _CLOSED.finditer(page):
+        ends.setdefault(closed[1].lower(), []).append(closed.end())
+    while token := _TOKEN.search(page, at):
         if token.start() > at:
             add(page[at : token.start()])
         at = token.end()
         tag = (token[3] or "").lower()
         if not tag:
             continue
+        if tag in SKIPPED_TAGS and not token[2]:
+            if tag == "svg" and token[4].endswith("/"):
+                continue
+            k = bisect.bisect_right(ends.get(tag, ()), at)
+            if k < len(ends.get(tag, ())):
+                at = ends[tag][k]
+                continue
         if tag == "br":
             runs.append("\n")
         elif tag == "a":

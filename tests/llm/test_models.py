@@ -251,6 +251,18 @@ def test_blocks_close_paragraphs_and_decode_references():
     assert found[0][0] == (("body", ()), ("article", ()), ("p", ()))
 
 
+def test_elements_that_are_not_closed_hide_nothing():
+    def texts(page):
+        return [text for _, text, _ in pagetext.blocks(page)]
+
+    assert texts("<p>one <svg class=i/> two</p><p>three</p>") == ["one two", "three"]
+    assert texts("<p>one <svg><text>no</text></svg> two</p><object data=x><p>three</p><canvas>") == ["one two", "three"]
+    assert texts("<p>a <math><mi>x</mi><annotation>no</annotation></math> b</p>") == ["a x b"]
+    assert texts("<title-bar>one</title-bar><object-view>two</object-view><p>three</p>") == ["onetwo", "three"]
+    assert texts("<p>one</p><title>no</title><script>no") == ["one"]
+    assert texts("<p>one" + "<svg>" * 50_000 + "two</p>") == ["onetwo"]
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(1)
     labeller = pagetext.Labeller(inputs=7, hidden=3)
