@@ -197,9 +197,11 @@ def at_and_dot(text: str) -> Edits:
 # What a text must hold for the chain to change it, as a linear-time engine can tell.
 TRIGGER = "(?i)" + "|".join((
     _STRANGE.pattern.replace("\\x00-\\x7f", r"\x{0}-\x{7f}"), _RUN, r"\b(?:dot|punkt|point|punto)\b",
-    r"[\[({<_*-]\s{0,3}(?:at|arroba|dot|@|\.)\s{0,3}[\])}>_*-]", r"\w\s{1,3}(?:at|@)\s{1,3}[A-Za-z0-9-]+\.[A-Za-z]",
-    r"\s@", r"@\s", r"[0-9]\s\.", r"\.\s[0-9]",
+    r"[\[({<_*-]\s{0,3}(?:at|arroba|dot|@|\.)\s{0,3}[\])}>_*-]", rf"[A-Za-z0-9._%+-]\s{{1,3}}at\s{{1,3}}{_LABEL}\.[A-Za-z0-9]",
+    r"\s@", r"@\s", r"[0-9]\s{1,3}\.", r"\.\s{1,3}[0-9]",
 ))
+# the engine's white space lacks some of Python's; what is not ASCII is found as strange
+TRIGGER = TRIGGER.replace(r"[\s", "[<blank>").replace(r"\s", "[<blank>]").replace("<blank>", r"\s\x0b\x1c-\x1f")
 CHAIN: tuple[Callable[[str], Edits], ...] = (homoglyphs, spelled_digits, at_and_dot)
 
 

@@ -263,6 +263,17 @@ def test_elements_that_are_not_closed_hide_nothing():
     assert texts("<p>one" + "<svg>" * 50_000 + "two</p>") == ["onetwo"]
 
 
+def test_the_trigger_finds_whatever_the_chain_changes():
+    rng = random.Random(17)
+    made = ["10 . 20 . 30 . 40", "10.  20.  30.  40", "j.doe at mail.3com.org", "j.doe- at mail.com", "10\x1c.20\x1c.30\x1c.40"]
+    parts = ["j.doe", "a1", "-", "_", "mail", "3com", "org", "com", ".", "at", "@", "dot", "[", "]", "(", ")", "one", "two", "three", "10", "7", ",", "*"]
+    for _ in range(20_000):
+        made.append("".join(rng.choice(parts) + rng.choice(["", "", " ", "  ", "   ", "\x0b", "\x1f", "\n"]) for _ in range(rng.randint(3, 14))))
+    found = list(pii.batch_spans(pa.array(made)))
+    assert [(t, *pii.all_spans(t)) for t in made] == found
+    assert [spans[0][0] for _, _, spans in found[:5]] == ["ip", "ip", "email", "email", "ip"]
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(1)
     labeller = pagetext.Labeller(inputs=7, hidden=3)
