@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallystone.llm import (
-    minhash, mixing, packing, pagetext, pii, projections, quality, recipes, tokencounts, toxicity,
+    agenda, alignment, minhash, mixing, packing, pagetext, pii, projections, quality, ranked, recipes, tokencounts, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,10 +64,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agenda.piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_weak_label_quality, op2_nearest_toxicity, op3_pii_spans, op4_main_text, op5_minhash_dedup,
         op6_best_fit_packing, op7_source_mixing, op8_exact_dedup, op9_embedding_dedup, op10_token_counts,
+        op11_token_alignment, op12_ranked_search, op13_piece_codec,
     )
 }
 
