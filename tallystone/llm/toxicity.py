@@ -1,14 +1,25 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and the first four or five letters of longer words, all those of the
-examples. Weights are TF-IDF with document counts over all documents, and norms are taken
-over the whole text, words that no example holds included. Terms whose rate among toxic
-examples is higher than chance explains, by a likelihood ratio test against all terms
-tried, weigh more by what the ratio exceeds chance; no term is left out.
-The nearest examples of a document are found exactly: a matrix holds the common terms,
-posting lists the others, and what may be among the nearest is summed again in full
-precision. Votes weighted by distance are calibrated on the examples themselves, each left
-out of its own vote, in tasks that share the index.
+Terms are words cut behind their fifth letter, so that the forms of a word are one term.
+Weights are TF-IDF, one plus the logarithm of the count times the logarithm of how rare a
+term is over all documents, and norms are taken over the whole text, terms that no example
+holds included.
+
+The nearest examples by cosine are found exactly with a block-max inverted index: postings
+lie in the order of the examples, cut into blocks of 64, each with the greatest weight that
+a term has in it. Blocks are visited by the bound that the terms of a text give them, until
+no block left can hold an example as near as the last of the nearest so far. In the blocks
+visited, terms come in the order of their own bounds; those whose bounds together could not
+bring an example that far are only looked up for examples that other terms have brought
+near enough.
+
+Labels count in the vote alone: the nearest examples, and those whose part of the cosine
+that rests on telling terms is greatest, weigh by the fourth power of that part, against what the
+whole cosine of the nearest would weigh at one part in fifty. A
+term tells if its rate among toxic examples is higher than chance explains, where those in
+which it follows the same word count as one, as copies of a text do. Votes are calibrated on
+the examples themselves, each left out of its own vote, in tasks that share
+the index.
 """
 
 from __future__ import annotations
@@ -16,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +38,19 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.store import map_rows, written
 
-EXAMPLES = 20_000  # labelled documents the index holds, chosen by hash; the expected number
-COMMON = 1 / 16  # share of the examples from which on a term is a row of the matrix
-SLICE = 64  # texts compared at once
-NEAREST = 25
+EXAMPLES = 3_500  # labelled documents the index holds, chosen by hash; the expected number
+BLOCK = 64  # examples of a block
+ROUND = 8  # blocks visited first; each further round visits three times as many
+SLICE = 64  # texts scored at once
+NEAREST = 64
 THRESHOLD = 0.7
-PRIOR = 0.5  # weight of the rate among examples without terms in each vote
-SURE = 20  # one over the chance that any term is raised that tells nothing
+UNTOLD = 0.02  # what similarity that tells nothing weighs
+POWER = 4  # of the similarity that tells: how fast votes fall with distance
+PRIOR = 1e-12  # weight of the rate among examples without terms in each vote
+SURE = 20  # one over the chance that any term is called telling that tells nothing
 REMEMBERED = 20_000  # texts whose score a task remembers
 
-_WORD = re.compile(r"\w+")
-_PREFIXES = (4, 5)
+_WORD = re.compile(r"(\w{1,5})\w*")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -47,37 +60,44 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def term_counts(text: str | None) -> dict[str, int]:
     """How often each term occurs in a whole text."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    heads: dict[str, int] = defaultdict(int)
-    for n in _PREFIXES:
-        for word, times in words.items():
-            if len(word) > n:
-                heads[word[:n] + "*"] += times
-    return words | heads
+    return Counter(_WORD.findall((text or "").lower()))
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places from each ``first`` on, as many as ``size`` says, one range after the other."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 class Index:
     """Examples by their weighted terms, with exact search for the nearest."""
 
-    def __init__(self, examples: list[tuple], idf: np.ndarray, unknown: float = 0.0) -> None:
+    def __init__(self, examples: list[tuple], idf: np.ndarray, unknown: float = 0.0, telling: np.ndarray | None = None) -> None:
         self.idf, self.unknown = np.asarray(idf, float), unknown
+        self.telling = np.zeros(len(self.idf), bool) if telling is None else telling
         empty = [toxic for _, toxic, terms, _ in examples if not len(terms)]
         n_toxic = sum(toxic for _, toxic, _, _ in examples)
         self.rate = (sum(empty) + 0.5 * (n_toxic + 1) / (len(examples) + 2)) / (len(empty) + 0.5)
-        filled = [e for e in examples if len(e[2])]
+        filled = self._ordered([e for e in examples if len(e[2])])
         self.ids = [e[0] for e in filled]
         self.toxic = np.array([e[1] for e in filled], float)
         self.first = np.cumsum([0, *(len(e[2]) for e in filled)])
         none = [np.zeros(0, np.int32)]
         self.terms = np.concatenate([np.asarray(e[2], np.int32) for e in filled] or none)
-        self.counts = np.concatenate([np.asarray(e[3], np.int32) for e in filled] or none)
-        ends = zip(self.first, self.first[1:])
-        self.norms = np.array([np.sqrt((self._weights(self.terms[a:b], self.counts[a:b]) ** 2).sum()) for a, b in ends])
+        weights = self._weights(self.terms, np.concatenate([np.asarray(e[3], np.int32) for e in filled] or none))
+        sums = np.add.reduceat(weights * weights, self.first[:-1]) if len(filled) else np.zeros(0)
+        self.weights = weights / np.sqrt(np.where(sums > 0, sums, 1.0)).repeat(np.diff(self.first))
+        self.visited = [0, 0]  # blocks that were visited, and all of them
         self._lists: tuple | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_lists": None}  # made again where they are used
 
+    def _ordered(self, examples: list[tuple]) -> list[tuple]:
+        """Examples that hold the same common terms side by side, so that blocks differ."""
+        held = np.bincount(np.concatenate([np.asarray(e[2], np.int64) for e in examples]), minlength=len(self.idf)) if examples else np.zeros(0)
+        common = np.argsort(-held, kind="stable")[:24]
+        return [e for _, _, e in sorted((np.isin(common, e[2], invert=True).tolist(), k, e) for k, e in enumerate(examples))]
+
     def _weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (1 + np.log(counts)) * self.idf[terms]
 
@@ -88,112 +108,184 @@ class Index:
         if not len(terms):
             return terms, counts
         weights = self._weights(terms, counts)
-        return terms, weights / np.sqrt((weights * weights).sum() + others * self.unknown**2)
+        return terms, weights / np.sqrt(max((weights * weights).sum() + others * self.unknown**2, 1e-300))
 
     def example(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.first[row], self.first[row + 1]
-        return self.vector(self.terms[a:b], self.counts[a:b])
+        return self.terms[a:b], self.weights[a:b]
 
     def lists(self) -> tuple:
-        """Place of each term in the matrix or -1, the matrix, then starts, rows and weights of posting lists."""
+        """Postings by term: example and weight. Their blocks by term: number, greatest weight, first posting, postings.
+        Then where the blocks of each term begin, and the greatest weight of each term."""
         if self._lists is None:
-            held = np.bincount(self.terms, minlength=len(self.idf))
-            common = np.flatnonzero(held > COMMON * len(self.ids))
-            place = np.full(len(held), -1, np.int32)
-            place[common] = np.arange(len(common))
-            matrix = np.zeros((len(common), len(self.ids)), np.float32)
-            starts = np.cumsum([0, *np.where(place < 0, held, 0)])
-            members, listed = np.zeros(starts[-1], np.int32), np.zeros(starts[-1], np.float32)
-            free = starts[:-1].copy()
-            for row in range(len(self.ids)):
-                terms, weights = self.example(row)
-                at = place[terms]
-                matrix[at[at >= 0], row] = weights[at >= 0]
-                rare = terms[at < 0]
-                members[free[rare]], listed[free[rare]] = row, weights[at < 0]
-                free[rare] += 1
-            self._lists = place, matrix, starts, members, listed
+            order = np.argsort(self.terms, kind="stable")
+            terms, weights = self.terms[order], self.weights[order]
+            members = np.repeat(np.arange(len(self.ids)), np.diff(self.first))[order]
+            block = members // BLOCK
+            new = np.ones(len(terms), bool)
+            new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(terms)))
+            most = np.maximum.reduceat(weights, first) if len(first) else np.zeros(0)
+            begin = np.searchsorted(terms[first], np.arange(len(self.idf) + 1))
+            greatest = np.zeros(len(self.idf))
+            np.maximum.at(greatest, terms[first], most)
+            self._lists = members, weights, block[first], most, first, size, begin, greatest
         return self._lists
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` nearest examples that share a term, nearest first; ties to the lower number."""
-        return self.nearest_all([(terms, weights)], k)[0]
-
-    def nearest_all(self, vectors: list[tuple], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        place, matrix, starts, members, listed = self.lists()
-        wanted = np.zeros((len(vectors), len(matrix)), np.float32)
-        for row, (terms, weights) in enumerate(vectors):
-            at = place[terms]
-            wanted[row, at[at >= 0]] = weights[at >= 0]
-        n, found = len(self.ids), []
+        return self.search(terms, weights, k)[:2]
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``nearest``, and what of the similarity with every example rests on telling terms."""
+        members, listed, block, most, first, size, begin, greatest = self.lists()
+        n, n_blocks = len(self.ids), math.ceil(len(self.ids) / BLOCK)
+        long = begin[terms + 1] - begin[terms]
+        entry = _ranges(begin[terms], long)
+        owner, weight = np.repeat(np.arange(len(terms)), long), np.repeat(weights, long)
+        in_block, bound = block[entry], most[entry] * weight
+        bounds = np.bincount(in_block, bound, n_blocks)
+        by_bound = np.argsort(-bounds, kind="stable")
+        by_bound = by_bound[bounds[by_bound] > 0]
+        # terms in order of their bounds, the least first, and how far they come together
+        limits = greatest[terms] * weights
+        rising = np.argsort(limits, kind="stable")
+        together = np.cumsum(limits[rising]) * (1 + 1e-9)
+        found, scores, least, at, turn = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, ROUND
+        while at < len(by_bound):
+            now = by_bound[at : at + turn]
+            now = now[bounds[now] * (1 + 1e-9) >= least]  # sums in another order differ by rounding
+            if not len(now):
+                break
+            at, turn = at + turn, turn * 3
+            self.visited[0] += len(now)
+            visit = np.zeros(n_blocks, bool)
+            visit[now] = True
+            slight = np.zeros(len(terms), bool)
+            slight[rising[together < least]] = True
+            here, light = visit[in_block], slight[owner]
+            chosen = here & ~light
+            postings = _ranges(first[entry[chosen]], size[entry[chosen]])
+            sums = np.bincount(members[postings], listed[postings] * np.repeat(weight[chosen], size[entry[chosen]]), n)
+            rows = np.flatnonzero(sums)
+            if light.any():
+                rest = here & light
+                left = np.bincount(in_block[rest], bound[rest], n_blocks)
+                rows = rows[(sums[rows] + left[rows // BLOCK]) * (1 + 1e-9) >= least]
+                if (self.first[rows + 1] - self.first[rows]).sum() < size[entry[rest]].sum():
+                    own = self._products(terms, weights, rows)
+                else:
+                    postings = _ranges(first[entry[rest]], size[entry[rest]])
+                    own = (sums + np.bincount(members[postings], listed[postings] * np.repeat(weight[rest], size[entry[rest]]), n))[rows]
+            else:
+                own = sums[rows]
+            found, scores = np.concatenate([found, rows]), np.concatenate([scores, own])
+            if len(scores) >= k:
+                least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k] * (1 - 1e-9))
+                found, scores = found[scores >= least], scores[scores >= least]
+        self.visited[1] += len(by_bound)
+        order = np.lexsort([found, -np.round(scores, 12)])[:k]
+        chosen = self.telling[terms[owner]]
+        postings = _ranges(first[entry[chosen]], size[entry[chosen]])
+        told = np.bincount(members[postings], listed[postings] * np.repeat(weight[chosen], size[entry[chosen]]), n)
+        return found[order], scores[order], told
+
+    def _products(self, terms: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Similarity of examples, from all their terms."""
+        if not len(rows):
+            return np.zeros(0)
         full = np.zeros(len(self.idf))
-        for rough, (terms, weights) in zip(wanted @ matrix, vectors):
-            begin = starts[terms]
-            long = starts[terms + 1] - begin
-            at = np.repeat(begin - np.cumsum(long) + long, long) + np.arange(long.sum())
-            rough = rough + np.bincount(members[at], listed[at] * np.repeat(weights, long), n)
-            # no weight is negative, so the rounding of single precision is a small share of a sum
-            least = np.partition(rough, n - k)[n - k] * (1 - 1e-3) if n > k else 0.0
-            rows = np.flatnonzero((rough >= least) & (rough > 0))
-            full[terms] = weights
-            scores = np.zeros(len(rows))
-            for a in range(0, len(rows), 256):
-                some = rows[a : a + 256]
-                size = self.first[some + 1] - self.first[some]
-                ends = np.cumsum(size)
-                at = np.repeat(self.first[some] - ends + size, size) + np.arange(ends[-1])
-                sums = full[self.terms[at]] * self._weights(self.terms[at], self.counts[at])
-                scores[a : a + 256] = np.add.reduceat(sums, ends - size) / self.norms[some]
-            full[terms] = 0
-            order = np.lexsort([rows, -np.round(scores, 12)])[:k]
-            found.append((rows[order], scores[order]))
-        return found
-
-    def _vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
-        near = np.minimum(scores, 1.0)
-        weight = near * near / (1.05 - near)  # what is hardly alike says little against the prior
-        return float((weight @ self.toxic[rows] + PRIOR * self.rate) / (weight.sum() + PRIOR))
+        full[terms] = weights
+        size = self.first[rows + 1] - self.first[rows]
+        at = _ranges(self.first[rows], size)
+        begin = np.cumsum(size) - size
+        return np.add.reduceat(full[self.terms[at]] * self.weights[at], begin)
+
+    def _voters(self, rows: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """The nearest examples and as many with most told similarity, most told first; ties to the lower number."""
+        least = np.partition(told, len(told) - NEAREST)[len(told) - NEAREST] if len(told) > NEAREST else 0.0
+        some = np.flatnonzero((told >= least) & (told > 0))
+        some = some[np.lexsort([some, -told[some]])[:NEAREST]]
+        return np.concatenate([some, rows[~np.isin(rows, some)]])
+
+    def _vote(self, rows: np.ndarray, scores: np.ndarray, told: np.ndarray) -> float:
+        voters = self._voters(rows, told)
+        weight = told[voters] ** POWER
+        untold = ((UNTOLD * scores) ** POWER).sum()
+        vote = (weight @ self.toxic[voters] + PRIOR * self.rate) / (weight.sum() + untold + PRIOR)
+        return float(np.clip(vote, 1e-9, 1 - 1e-9))
+
+    def told_by(self, contexts: np.ndarray) -> np.ndarray:
+        """Which terms tell, by a likelihood ratio test against all terms tried.
+
+        The ratio holds the share of a term's examples that are toxic against the share that
+        toxic examples have of all terms: both are rates of their class, and long texts, which
+        hold more of all terms, make no term tell. Only higher toxic rates count. A term has
+        no more toxic examples than ``contexts``, the words that it follows in them.
+        """
+        t, c = (np.bincount(self.terms, np.repeat(side, np.diff(self.first)), len(self.idf)) for side in (self.toxic, 1 - self.toxic))
+        if not t.sum() or not c.sum():
+            return np.zeros(len(self.idf), bool)
+        share = t.sum() / (t.sum() + c.sum())
+        t = np.minimum(t, contexts)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = 2 * (np.where(t > 0, t * np.log(t / ((t + c) * share)), 0) + np.where(c > 0, c * np.log(c / ((t + c) * (1 - share))), 0))
+        return (t > (t + c) * share) & (ratio > 2 * math.log(max(2, len(t)) * SURE))
 
     def own_votes(self, rows: list[int]) -> list[float]:
         """Votes of examples, each without itself."""
         votes = []
-        for at in range(0, len(rows), SLICE):
-            some = rows[at : at + SLICE]
-            for k, (near, scores) in zip(some, self.nearest_all([self.example(k) for k in some], NEAREST + 1)):
-                other = near != k
-                votes.append(self._vote(near[other][:NEAREST], scores[other][:NEAREST]))
+        for k in rows:
+            near, scores, told = self.search(*self.example(k), NEAREST + 1)
+            other, told[k] = near != k, 0.0
+            votes.append(self._vote(near[other][:NEAREST], scores[other][:NEAREST], told))
         return votes
 
     def calibrated(self, votes: np.ndarray) -> tuple[float, float]:
-        """Shift and slope of the logit of a vote, held near 0 and 1 by a prior."""
-        shift, slope = 0.0, 1.0
+        """Shift and slope of the logit of a vote, held near 0 and 1 by a prior: the least of a convex loss."""
         x = np.log(votes / (1 - votes)) if len(votes) else votes
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-(shift + slope * x)))
-            error, spread = p - self.toxic, np.maximum(p * (1 - p), 1e-9)
-            gradient = np.array([error.sum() + shift, (error * x).sum() + 4 * (slope - 1)])
-            curve = np.array([[spread.sum() + 1, (spread * x).sum()], [(spread * x).sum(), (spread * x * x).sum() + 4]])
+        prior = np.array([1.0, 4.0])
+
+        def loss(at: np.ndarray) -> float:
+            line = at[0] + at[1] * x
+            return float((np.logaddexp(0, line) - self.toxic * line).sum() + (prior * (at - [0, 1]) ** 2).sum() / 2)
+
+        at = np.array([0.0, 1.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(at[0] + at[1] * x, -500, 500)))
+            error, spread = p - self.toxic, p * (1 - p)
+            gradient = np.array([error.sum(), (error * x).sum()]) + prior * (at - [0, 1])
+            curve = np.array([[spread.sum(), (spread * x).sum()], [(spread * x).sum(), (spread * x * x).sum()]]) + np.diag(prior)
             step = np.linalg.solve(curve, gradient)
-            shift, slope = shift - step[0], max(0.1, slope - step[1])
+            now = loss(at)
+            while loss(at - step) > now and abs(step).max() > 1e-12:
+                step = step / 2
+            at = at - step
             if abs(step).max() < 1e-9:
                 break
-        return float(shift), float(slope)
+        return float(at[0]), float(max(0.1, at[1]))
 
     def scores(self, texts: list[tuple], line: tuple[float, float]) -> list[tuple[float, list[int], list[float]]]:
         """For terms, counts and others of each text its calibrated score, and the examples it rests on with their similarity."""
-        known = [k for k, (terms, _, _) in enumerate(texts) if len(terms)]
-        out: list = [(self.rate, [], [])] * len(texts)
-        for k, (rows, near) in zip(known, self.nearest_all([self.vector(*texts[k]) for k in known], NEAREST)):
-            vote = self._vote(rows, near)
-            value = 1 / (1 + math.exp(-(line[0] + line[1] * math.log(vote / (1 - vote)))))
-            out[k] = value, rows.tolist(), near.tolist()
+        out: list = []
+        for text in texts:
+            if not len(text[0]):
+                out.append((self.rate, [], []))
+                continue
+            vector = self.vector(*text)
+            rows, near, told = self.search(*vector, NEAREST)
+            vote = self._vote(rows, near, told)
+            value = 1 / (1 + math.exp(-max(-500.0, line[0] + line[1] * math.log(vote / (1 - vote)))))
+            most = self._voters(rows, told)[:3]  # evidence: what the vote rests on most
+            out.append((value, most.tolist(), self._products(*vector, most).tolist()))
         return out
 
 
 class Space:
     """The terms of the examples and what finds them in a text."""
 
-    def __init__(self, terms: list[str], telling: np.ndarray) -> None:
+    def __init__(self, terms: list[str], telling: np.ndarray | None = None) -> None:
         self.terms, self.telling = terms, telling
         self._number: dict[str, int] | None = None
 
@@ -226,36 +318,31 @@ def labelled(labels: DataFrame) -> DataFrame:
     return usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def example_terms(chosen: DataFrame) -> tuple[list[str], np.ndarray]:
-    """All terms of the examples in order, and what each one's likelihood ratio exceeds chance by.
+def term_contexts(text: str | None) -> set[tuple[str, str]]:
+    """Each term of a text with the words it follows."""
+    words = _WORD.findall((text or "").lower())
+    return set(zip(words, ["", *words]))
 
-    The ratio holds the share of a term's examples that are toxic against the share that
-    toxic examples have of all terms: both are rates of their class, and long texts, which
-    hold more of all terms, make no term tell. Only higher toxic rates count.
-    """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def example_terms(chosen: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples in order, and how many words each follows in toxic ones; none without examples of both kinds."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: tuple[Counter, Counter] = Counter(), Counter()
+            terms: set = set()
+            pairs: set = set()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                seen[toxic].update(term_counts(text).keys())
-            terms = list(set(seen[0]) | set(seen[1]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), *(pa.array([s[t] for t in terms], pa.int64()) for s in seen)],
-                names=["term", "clean", "toxic"])
-
-    sides = dict(chosen.groupBy("toxic").count().collect())
-    if not sides.get(0) or not sides.get(1):
-        return [], np.zeros(0)
-    counts = chosen.select("text", "toxic").mapInArrow(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(
-        F.sum("clean").alias("c"), F.sum("toxic").alias("t")).toArrow().sort_by("term")  # bounded as the examples are
-    c, t = (counts.column(name).to_numpy().astype(float) for name in ("c", "t"))
-    if not c.sum() or not t.sum():
+                terms.update(term_counts(text))
+                if toxic:
+                    pairs |= term_contexts(text)
+            rows = [*((term, None) for term in terms), *pairs]
+            columns = zip(*rows) if rows else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["term", "before"])
+
+    if chosen.select("toxic").distinct().count() < 2:
         return [], np.zeros(0)
-    share = t.sum() / (t.sum() + c.sum())
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(t > 0, t * np.log(t / ((t + c) * share)), 0) + np.where(c > 0, c * np.log(c / ((t + c) * (1 - share))), 0))
-    above = np.where(t > (t + c) * share, ratio - 2 * math.log(max(2, len(t)) * SURE), 0)
-    return counts.column("term").to_pylist(), np.maximum(above, 0)
+    seen = chosen.select("text", "toxic").mapInArrow(split, "term string, before string").distinct()
+    counts = seen.groupBy("term").agg(F.count("before").alias("n")).toArrow().sort_by("term")  # bounded as the examples are
+    return counts.column("term").to_pylist(), counts.column("n").to_numpy().astype(float)
 
 
 def held_by(docs: DataFrame, shared: Broadcast) -> np.ndarray:
@@ -278,14 +365,16 @@ def held_by(docs: DataFrame, shared: Broadcast) -> np.ndarray:
     return held
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Broadcast, tuple[float, float]]:
-    """The space and the index of examples at every task, sent once, and what calibrates votes."""
-    context = docs.sparkSession.sparkContext
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Broadcast, np.ndarray, tuple[float, float]]:
+    """The space and the index of examples at every task, sent once, which terms tell, and what calibrates votes."""
+    spark = docs.sparkSession
     examples = written(labelled(labels), "labels")
-    # the sample is bounded by EXAMPLES, so it may be sent to every task
-    chosen = written(docs.select("doc_id", "text").join(F.broadcast(examples), "doc_id"), "examples")
-    terms, above = example_terms(chosen)
-    space = context.broadcast(Space(terms, above > 0))
+    # the sample is bounded by EXAMPLES, so it may be sent to every task; a doc_id on many rows gives one text
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(examples), "doc_id")
+    chosen = written(found.groupBy("doc_id", "toxic").agg(F.max(F.struct(F.xxhash64("text").alias("draw"), "text")).alias("t")).select(
+        "doc_id", "toxic", "t.text"), "examples")
+    terms, contexts = example_terms(chosen)
+    space = spark.sparkContext.broadcast(Space(terms))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,27 +383,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Broadcast, tuple
                 batch.column("doc_id"), batch.column("toxic"), pa.array([f[0] for f in found], pa.list_(pa.int32())),
                 pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
     known = chosen.mapInArrow(find, f"doc_id {kind}, toxic int, terms array<int>, counts array<int>").toArrow()  # bounded by EXAMPLES
     rows = [
         (doc_id, toxic, t.values.to_numpy(), n.values.to_numpy())
         for doc_id, toxic, t, n in zip(known.column("doc_id").to_pylist(), known.column("toxic").to_pylist(), known.column("terms"), known.column("counts"))]
     rows.sort(key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
     n = docs.count()
-    idf = (np.log((1 + n) / (1 + held_by(docs, space))) + 1) * (1 + above)
-    index = Index(rows, idf, math.log((1 + n) / 2) + 1)
-    shared = context.broadcast(index)
+    index = Index(rows, np.log((1 + n) / (1 + held_by(docs, space))), math.log((1 + n) / 2))
+    if not index.ids:
+        return space, spark.sparkContext.broadcast(index), index.telling, (0.0, 1.0)
+    shared, n_examples = spark.sparkContext.broadcast(index), len(index.ids)
+
+    telling = index.told_by(contexts)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        model.telling = telling
         for batch in batches:
-            own = shared.value.own_votes(batch.column("id").to_pylist())
+            own = model.own_votes(batch.column("id").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.float64())], names=["id", "vote"])
 
-    if not index.ids:
-        return space, shared, (0.0, 1.0)
-    tasks = math.ceil(len(index.ids) / 512)
-    votes = docs.sparkSession.range(0, len(index.ids), 1, tasks).mapInArrow(vote, "id bigint, vote double").toArrow().sort_by("id")
-    return space, shared, index.calibrated(votes.column("vote").to_numpy())
+    votes = spark.range(0, n_examples, 1, math.ceil(n_examples / 256)).mapInArrow(vote, "id bigint, vote double").toArrow().sort_by("id")
+    return space, shared, telling, index.calibrated(votes.column("vote").to_numpy())
 
 
 def _scored(space: Space, index: Index, line: tuple[float, float], seen: dict, texts: list[str | None]) -> list[tuple]:
@@ -325,7 +416,7 @@ def _scored(space: Space, index: Index, line: tuple[float, float], seen: dict, t
     new = {key: text for key, text in zip(keys, texts) if key not in seen}
     found = [space.counts(text) for text in new.values()]
     for key, (terms, _, _), result in zip(new, found, index.scores(found, line)):
-        seen[key] = (result[0], " ".join(space.terms[t] for t in terms[space.telling[terms]]), result[1][:3], result[2][:3])
+        seen[key] = (result[0], " ".join(space.terms[t] for t in terms[index.telling[terms]]), *result[1:])
     return [seen[key] for key in keys]
 
 
@@ -337,38 +428,49 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     terms that tell by themselves; the score rests on all. Labels come from rows of
     ``labels`` outside the held-out fold; a doc_id labelled twice is toxic if one label
     says so; null labels are left out. Without labels of both kinds no term tells and all
-    scores are one low prior rate. Other columns are ignored; no rows give no rows.
+    scores are one low prior rate. Of rows that repeat a labelled doc_id with several texts
+    one text is learned from. Similarities that are equal take the neighbour that comes
+    first in the index. Other columns are ignored; no rows give no rows. A very long text is
+    read whole; its terms and counts are what memory holds of it.
     """
-    space, index, line = fit(docs, labels)
+    space, index, telling, line = fit(docs, labels)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = index.value, {}
+        model.telling = telling
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
+                id_type = batch.schema.field("doc_id").type
                 values, words, rows, alike = zip(*_scored(space.value, model, line, seen, batch.column("text").to_pylist()))
                 near = [[{"doc_id": model.ids[r], "similarity": s} for r, s in zip(*some)] for some in zip(rows, alike)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array(values, pa.float64()), pa.array(words, pa.string()),
-                    pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))),
+                    pa.array(near, pa.list_(pa.struct([("doc_id", id_type), ("similarity", pa.float64())]))),
                 ], names=["doc_id", "score", "evidence", "nearest"])
 
-    kind = dict(docs.dtypes)["doc_id"]
     scored = docs.select("doc_id", "text").mapInArrow(
-        score, f"doc_id {kind}, score double, evidence string, nearest array<struct<doc_id:bigint,similarity:double>>")
+        score, f"doc_id {kind}, score double, evidence string, nearest array<struct<doc_id:{kind},similarity:double>>")
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence", "nearest")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score stays below the threshold, with all their columns."""
-    space, index, line = fit(docs, labels)
+    """The rows of ``docs`` whose score stays below the threshold, with all their columns.
+
+    Scores are those of ``toxicity``: null and empty texts get the prior rate and stay,
+    repeated rows stay or go together, no rows give no rows, without labels all stay.
+    """
+    space, index, telling, line = fit(docs, labels)
 
     def keep(batch: pa.RecordBatch, text: int) -> pa.RecordBatch:
         seen: dict = {}
         kept: list[bool] = []
+        model = index.value
+        model.telling = telling
         for at in range(0, batch.num_rows, SLICE):
-            kept += [found[0] < THRESHOLD for found in _scored(space.value, index.value, line, seen, batch.column(text).slice(at, SLICE).to_pylist())]
+            kept += [found[0] < THRESHOLD for found in _scored(space.value, model, line, seen, batch.column(text).slice(at, SLICE).to_pylist())]
         return batch.filter(pa.array(kept, pa.bool_()))
 
     return map_rows(docs, keep)
