@@ -10,9 +10,8 @@ from tallystone.functions.text import decimal_places, number_raws, number_texts
 
 VALUE = "decimal(38,18)"
 PLACES = 18
-# Shapes of JSON keys, strings and whole numbers.
-JSON_KEY = r'"(?:[^"\\]|\\.)*+"\s*:'
-JSON_STRING = r'"((?:[^"\\]|\\.)*+)"'
+# Shapes of JSON strings, with the colon behind those that are keys, and whole numbers.
+JSON_STRING = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?'
 JSON_INTEGER = r"(?<![\w.+\-])(-?\d+)(?![\w.])"
 
 
@@ -80,15 +79,15 @@ def numeric_tokens(rows: DataFrame, text: Column, keys: list[str]) -> DataFrame:
 def payload_numbers(payload: Column) -> Column:
     """Numbers a JSON payload holds at any depth: text is scanned, whole numbers taken.
 
-    Keys go first, so that only values are read; texts are decoded before they are scanned,
-    so an escaped line end is no letter; true, false and fractions that are not text are
-    left out.
+    Whole strings are matched one behind the other, so that none begins at the closing quote
+    of the one before; those with a colon behind them are keys and left out. Texts are
+    decoded before they are scanned, so an escaped line end is no letter; true, false and
+    fractions that are not text are left out.
     """
-    values = F.regexp_replace(payload, JSON_KEY, " ")
-    strings = F.regexp_extract_all(values, F.lit(JSON_STRING), F.lit(0))
+    strings = F.filter(F.regexp_extract_all(payload, F.lit(JSON_STRING), F.lit(0)), lambda s: ~s.endswith(":"))
     decoded = F.from_json(F.concat(F.lit("["), F.array_join(strings, ","), F.lit("]")), "array<string>")
     scanned = F.flatten(F.transform(decoded, number_texts))
-    bare = F.regexp_replace(values, JSON_STRING, " ")
+    bare = F.regexp_replace(payload, JSON_STRING, " ")
     return F.concat(scanned, F.regexp_extract_all(bare, F.lit(JSON_INTEGER), F.lit(1)))
 
 

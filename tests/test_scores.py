@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tallystone.operators import agentlogs, evaluate, labelling, scenario
@@ -117,6 +118,16 @@ def test_trace_counts_each_call_once(spark):
     assert (row["correctly_selected"], row["exact_arguments"], row["expected_calls"], row["actual_calls"]) == (1, 0, 2, 2)
 
 
+@pytest.mark.parametrize("payload, numbers", [
+    ('{"a":["total",": $43.50"]}', ["43.50"]), ('{"k 1":":7","b":[":",":8 9"]}', ["7", "8", "9"]),
+    ('{"a \\"5\\" b":"6","c":{":3":4}}', ["6", "4"]), ('{"a" : ["x:","1"], "b":":"}', ["1"]), ('["1",": 2",3]', ["1", "2", "3"]),
+    ('{"a":"ends with \\\\","b":": 5"}', ["5"]), ('{}', []),
+])
+def test_payload_texts_that_begin_with_a_colon(spark, payload, numbers):
+    found = spark.createDataFrame([(payload,)], "payload string").select(agentlogs.payload_numbers(F.col("payload")).alias("n")).first()["n"]
+    assert found == numbers
+
+
 def test_payload_numbers_behind_escapes(spark):
     payload = '{"a 9": "Total:\\n4300", "b": "x\\t4,300.50", "c": ["\\"7\\"", {"d": 25}], "e": "\\u0031\\u0032", "f": 1234567890123456789012345}'
     frame = spark.createDataFrame([(payload,)], "payload string")
