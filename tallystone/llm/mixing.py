@@ -272,23 +272,20 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 
     Rows lie shard by shard, each shard in the order of its local shuffle. Rows that repeat
     a doc_id, source and size share evenly what these are taken. Defined as ``mix_report``
-    for nulls, empty texts and empty tables.
+    for nulls, empty texts and empty tables. Rows are numbered as they are written to the
+    shared folder, so a lost executor changes no choice; texts are moved twice, to the rows
+    that are taken and to their shards.
     """
-    size, nth, shard, place = (unused(docs, name) for name in ("size", "nth", "shard", "place"))
-    marked = docs.withColumn(size, word_count(F.col("text")))
-    key = ["doc_id", "source", size]
-    marked = marked.withColumn(nth, F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1))) - 1)
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    rows = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
-    copies = mixed(sized, **parameters).withColumn("turn", F.row_number().over(
-        W.partitionBy("doc_id", "source", "size").orderBy("place", "round")))
-
-    def same(a: str, b: str, size: str) -> Column:
-        return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.source").eqNullSafe(
-            F.col(f"{b}.source")) & (F.col(f"{a}.{size}") == F.col(f"{b}.size"))
-
-    picks = copies.alias("c").join(rows.alias("r"), same("c", "r", "size")).select(
-        "c.doc_id", "c.source", "c.size", "c.shard", "c.place", (F.pmod("c.turn", "r.n")).cast("int").alias("nth"))
-    found = marked.alias("d").join(picks.alias("p"), same("d", "p", size) & (F.col(f"d.{nth}") == F.col("p.nth")))
-    placed = found.select(*own_columns(docs, "d"), F.col("p.shard").alias(shard), F.col("p.place").alias(place))
-    return placed.repartition(shard).sortWithinPartitions(shard, place).drop(shard, place)
+    row_no, shard, place = (unused(docs, name) for name in ("row_no", "shard", "place"))
+    numbered = written(docs.withColumn(row_no, F.monotonically_increasing_id()), "numbered")
+    sized = written(numbered.select(F.col(row_no).alias("row_no"), "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    key = ["doc_id", "source", "size"]
+    repeated = W.partitionBy(*key)
+    rows = sized.withColumn("nth", F.row_number().over(repeated.orderBy("row_no")) - 1).withColumn("n", F.count("*").over(repeated))
+    copies = mixed(sized.drop("row_no"), **parameters).withColumn("turn", F.row_number().over(repeated.orderBy("place", "round")))
+
+    same = F.col("c.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("c.source").eqNullSafe(F.col("r.source")) & (F.col("c.size") == F.col("r.size"))
+    picks = copies.alias("c").join(rows.alias("r"), same & (F.pmod("c.turn", "r.n") == F.col("r.nth"))).select(
+        F.col("r.row_no").alias(row_no), F.col("c.shard").alias(shard), F.col("c.place").alias(place))
+    placed = numbered.join(picks, row_no)
+    return placed.repartition(shard).sortWithinPartitions(shard, place).select(*own_columns(docs))

@@ -26,9 +26,10 @@ def unused(frame: DataFrame, name: str) -> str:
     return name
 
 
-def own_columns(frame: DataFrame, alias: str) -> list[Column]:
-    """The columns of ``frame`` as they are called under ``alias``, whatever their names hold."""
-    return [F.col(f"{alias}.`{name.replace('`', '``')}`") for name in frame.columns]
+def own_columns(frame: DataFrame, alias: str | None = None) -> list[Column]:
+    """The columns of ``frame`` as they are called, under ``alias`` if there is one, whatever their names hold."""
+    names = [f"`{name.replace('`', '``')}`" for name in frame.columns]
+    return [F.col(f"{alias}.{name}" if alias else name) for name in names]
 
 
 def map_rows(frame: DataFrame, change: Callable[[pa.RecordBatch, int], pa.RecordBatch]) -> DataFrame:
