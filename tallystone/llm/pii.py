@@ -103,10 +103,14 @@ _DOT = rf"\s{{0,3}}{_SIGN % (_DOT_WORDS, 'dot')}\s{{0,3}}"
 _DOT_BARE = rf"(?:{_DOT}|\s{{1,3}}(?:dot|punkt|point|punto)\s{{1,3}})"
 _BRACKET_AT = re.compile(_AT, re.I)
 _ANY_DOT = re.compile(_DOT, re.I)
-_BARE_EMAIL = re.compile(
-    rf"(?<![\w.])[A-Za-z0-9._%+-]+(?P<at>\s{{1,3}}(?:at|arroba|@)\s{{1,3}}|{_AT}|@)"
-    rf"(?P<domain>{_LABEL}(?:\.{_LABEL})*(?:{_DOT_BARE}{_LABEL}(?:\.{_LABEL})*)+)", re.I)
-_PLAIN_AT = re.compile(rf"(?<![\w.])(?=[A-Za-z._%+-]*[0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s{{1,3}}at\s{{1,3}}|\s{{1,3}}@\s{{0,3}}|@\s{{1,3}}){_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,24}}\b", re.I)
+# A disguised address has the greatest lengths of mail: 64 characters before the sign, labels of 63. So
+# each sign is tried for a bounded number of steps. Addresses in plain sight have no such bound.
+USER_CHARS = 64
+_LABELS = rf"{_LABEL}(?:\.{_LABEL}){{0,8}}"
+_ANY_AT = re.compile(rf"\s{{1,3}}(?:at|arroba|@)\s{{1,3}}|{_AT}|@", re.I)
+_DOTTED = re.compile(rf"{_LABELS}(?:{_DOT_BARE}{_LABELS}){{1,8}}", re.I)
+_WORD_AT = re.compile(r"\s{1,3}at\s{1,3}|\s{1,3}@\s{0,3}|@\s{1,3}", re.I)
+_PLAIN = re.compile(rf"{_LABELS}\.[A-Za-z]{{2,24}}\b", re.I)
 _DOT_WORD = re.compile(_DOT_BARE, re.I)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])(?:{_DOT_BARE}|\s{{0,3}}\.\s{{0,3}})(?=[0-9])", re.I)
 _SPELL = "|".join(sorted(_SPELLED, key=len, reverse=True))
@@ -176,17 +180,39 @@ def spelled_digits(text: str) -> Edits:
     return edits
 
 
+def _user(text: str, done: int, at: int) -> str:
+    """The longest user name before a sign that begins no earlier than ``done`` and not inside a word."""
+    first = None
+    start = at
+    while start > max(done, at - USER_CHARS) and text[start - 1] in _LOCAL:
+        start -= 1
+        before = text[start - 1 : start]
+        if not (before.isalnum() or before in ("_", ".")) or not before:
+            first = start
+    return "" if first is None else text[first:at]
+
+
+def _addresses(text: str, sign: re.Pattern, domain: re.Pattern, odd: bool = False) -> Iterator[tuple[re.Match, re.Match]]:
+    """Signs between a user name and a domain; the name holds more than letters if ``odd``."""
+    done = 0
+    for at in sign.finditer(text):
+        if at.start() >= done and (user := _user(text, done, at.start())) and not (odd and user.isalpha()):
+            found = domain.match(text, at.end())
+            if found:
+                done = found.end()
+                yield at, found
+
+
 def at_and_dot(text: str) -> Edits:
     """Bracketed signs, and bare words where a whole address stands around them."""
     edits = [(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(text)]
     edits += [(m.start(), m.end(), ".") for m in _ANY_DOT.finditer(text)]
     edits += [(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(text) if m[0] != "."]
-    for m in _BARE_EMAIL.finditer(text):
-        if m["at"] != "@":
-            edits.append((*m.span("at"), "@"))
-        shift = m.start("domain")
-        edits += [(shift + d.start(), shift + d.end(), ".") for d in _DOT_WORD.finditer(m["domain"])]
-    edits += [(*m.span("at"), "@") for m in _PLAIN_AT.finditer(text)]
+    for at, domain in _addresses(text, _ANY_AT, _DOTTED):
+        if at[0] != "@":
+            edits.append((*at.span(), "@"))
+        edits += [(domain.start() + d.start(), domain.start() + d.end(), ".") for d in _DOT_WORD.finditer(domain[0])]
+    edits += [(*at.span(), "@") for at, _ in _addresses(text, _WORD_AT, _PLAIN, odd=True)]
     kept: Edits = []
     for edit in sorted(set(edits), key=lambda e: (e[0], -e[1])):
         if not kept or edit[0] >= kept[-1][1]:
