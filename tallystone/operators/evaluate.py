@@ -35,6 +35,11 @@ def is_correct(predicted: Column, gold: Column, acceptable: Column) -> Column:
     ).otherwise(predicted == gold)
 
 
+def label_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Labels, each once per key, that ``left`` has and ``right`` lacks."""
+    return left.select(*keys, "label").distinct().join(right.select(*keys, "label"), [*keys, "label"], "left_anti")
+
+
 def strata(row: DataFrame) -> DataFrame:
     """Each row once per stratum it belongs to; strata without rows stay absent."""
     names = F.array_compact(F.array(

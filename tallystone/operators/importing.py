@@ -156,11 +156,16 @@ def with_fingerprint(rows: DataFrame) -> DataFrame:
     )
 
 
-def outside_window(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """Files with rows outside their declared closed window, first lines named."""
-    out = rows.join(windows, "file_id").filter(
+def lines_outside(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """Every row outside the closed window that its file declares, with the window."""
+    return rows.join(windows, "file_id").filter(
         ~F.col("posted_on").between(F.col("window_start"), F.col("window_end"))
     )
+
+
+def outside_window(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """Files with rows outside their declared closed window, how many, and the first lines named."""
+    out = lines_outside(rows, windows)
     counts = out.groupBy("file_id").agg(F.count("*").alias("outside"))
     order = W.partitionBy("file_id").orderBy("line")
     named = (

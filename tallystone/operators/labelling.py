@@ -34,6 +34,20 @@ def merchant_split(rows: DataFrame, holdout_percent: int = 30, salt: str = SPLIT
     )
 
 
+def split_refusals(rows: DataFrame, keys: list[str], holdout_percent: int = 30, salt: str = SPLIT_SALT) -> DataFrame:
+    """Datasets whose split leaves a side empty, with the side: a score on it would say nothing.
+
+    ``keys`` name the datasets within ``rows``. A percentage outside 1 to 99 is an error.
+    """
+    if not 0 < holdout_percent < 100:
+        raise ValueError(f"holdout_percent must be between 0 and 100 exclusive, got {holdout_percent}")
+    sides = merchant_split(rows, holdout_percent, salt).groupBy(*keys, "merchant", "side").agg(F.count("*").alias("n")).groupBy(*keys).agg(
+        F.sum("n").alias("rows"), F.count("*").alias("merchants"),
+        F.count_if(F.col("side") == "development").alias("development"), F.count_if(F.col("side") == "holdout").alias("holdout"))
+    empty = F.when(F.col("development") == 0, "development").when(F.col("holdout") == 0, "holdout")
+    return sides.select(*keys, "rows", "merchants", empty.alias("empty_side")).filter("empty_side is not null")
+
+
 def fit_rules(labelled: DataFrame) -> DataFrame:
     """Majority gold label per merchant; an exact tie goes to the first alphabetically."""
     counts = labelled.groupBy("merchant", "gold").agg(F.count("*").alias("n"))

@@ -142,6 +142,12 @@ def c9(spark, sf):
     return view(spark, sf, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
 
 
+@query("c10_digit_share", duck("ledger", r"""
+select id, round_even(length(regexp_replace(description, '[^0-9]', '', 'g')) / length(description), 3)::decimal(9,3) as digit_share from ledger"""))
+def c10_share(spark, sf):
+    return view(spark, sf, "ledger").select("id", text.digit_share(F.col("description")).alias("digit_share"))
+
+
 @query("c10_row_facts", duck("ledger", r"""
 select id, length(description)::int as description_length,
   len(list_filter(regexp_split_to_array(description, '\s+'), lambda w: w <> ''))::int as word_count,
@@ -400,6 +406,19 @@ def d7(spark, sf):
     return importing.outside_window(rows.drop("file_year"), windows)
 
 
+@query("d7_lines_outside", duck("bank_rows", """
+select file_id, line, posted_on, make_date(file_year, 2, 1) as window_start, make_date(file_year, 9, 15) as window_end
+from bank_rows where posted_on < make_date(file_year, 2, 1) or posted_on > make_date(file_year, 9, 15)"""))
+def d7_lines(spark, sf):
+    # every line outside its window; the refusal names the first ten
+    rows = view(spark, sf, "bank_rows")
+    windows = rows.select("file_id", "file_year").distinct().select(
+        "file_id", F.expr("make_date(file_year, 2, 1)").alias("window_start"),
+        F.expr("make_date(file_year, 9, 15)").alias("window_end"),
+    )
+    return importing.lines_outside(rows.select("file_id", "line", "posted_on"), windows)
+
+
 @query("d8_incremental_refusals", duck("bank_rows", """
 select file_id, any_value(shape) <> 5 as has_id_column,
   coalesce(sum(n) filter (where x is null or x = ''), 0)::bigint as blank_ids,

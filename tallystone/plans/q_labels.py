@@ -9,6 +9,7 @@ from tallystone.functions.ledger import half_even_ratio
 from tallystone.operators import annotation_checks, evaluate, failures, labelling, subset
 from tallystone.plans.derived import duck, ratio4, view
 from tallystone.plans.registry import query
+from tallystone.sources.stores import merge_unseen
 from tallystone.vocab import LABEL_SPACE, OWNERS, SPENDING_LABELS
 
 _LABELS = ", ".join(f"'{n}'" for n in LABEL_SPACE)
@@ -272,6 +273,14 @@ def j1(spark, sf):
     return _split(spark, sf).select("transaction_id", "side")
 
 
+@query("j1_split_refusals", duck("labelled", """
+select gold, count(*) as rows, count(distinct merchant) as merchants, case when max(side) = 'development' then 'holdout' else 'development' end as empty_side
+from split group by gold having count(distinct side) = 1""", split=_SPLIT.replace("3000", "100")))
+def j1_refusals(spark, sf):
+    # each label is a dataset of its own, of which one merchant in a hundred is to be held out
+    return labelling.split_refusals(view(spark, sf, "labelled"), ["gold"], 1)
+
+
 @query("n9_split_disjoint", duck("labelled", """
 select side, count(*) as rows, count(distinct merchant) as merchants, 0::bigint as on_both from split group by side""",
     split=_SPLIT))
@@ -496,13 +505,13 @@ def i1(spark, sf):
 
 
 @query("i2_label_difference", duck("predictions", """
-select label from (select distinct predicted as label from predictions where system = 'model' and predicted <> gold
- except select distinct gold from labelled where merchant like 'CLICK-1%')"""))
+select 'never predicted' as side, system, label from (select system, gold as label from predictions except select system, predicted from predictions)
+union all select 'never gold', system, label from (select system, predicted as label from predictions except select system, gold from predictions)"""))
 def i2(spark, sf):
-    predicted = view(spark, sf, "predictions").filter("system = 'model' and predicted <> gold").select(
-        F.col("predicted").alias("label")).distinct()
-    gold = view(spark, sf, "labelled").filter("merchant like 'CLICK-1%'").select(F.col("gold").alias("label")).distinct()
-    return predicted.join(gold, "label", "left_anti")
+    rows = view(spark, sf, "predictions")
+    gold, predicted = (rows.select("system", F.col(side).alias("label")) for side in ("gold", "predicted"))
+    return evaluate.label_difference(gold, predicted, ["system"]).withColumn("side", F.lit("never predicted")).unionByName(
+        evaluate.label_difference(predicted, gold, ["system"]).withColumn("side", F.lit("never gold")))
 
 
 _CATEGORY_VALUES = ", ".join(f"('{n}', '{n.split('_')[0]}')" for n in SPENDING_LABELS)
@@ -592,6 +601,12 @@ def f28(spark, sf):
     return annotation_checks.error_findings(annotation_checks.row_errors(rows))
 
 
+@query("f28_error_lines", duck("labelled", "select code, line from errs", ann=_ANNOTATED.replace("{labelled}", "labelled"), errs=_ROW_ERRORS))
+def f28_lines(spark, sf):
+    # every line with every fault; the findings name the first ten
+    return annotation_checks.row_errors(spark.sql(_ANNOTATED, labelled=view(spark, sf, "labelled"))).select("code", "line")
+
+
 @query("f28_dataset_findings", duck("labelled", """
 select * from (
  select 'error' as severity, 'unresolved_disagreement' as code, count(*) filter (where agreed = false and adjudicated_label is null) as n from labelled
@@ -688,12 +703,11 @@ def c24(spark, sf):
 
 
 @query("a12_dataset_merge", duck("labelled", """
-select transaction_id, primary_label from labelled where row_no % 2 = 0
-union all select transaction_id, gold from labelled where row_no % 3 = 0 and row_no % 2 <> 0"""))
+select transaction_id, primary_label from labelled where row_no % 3 <> 0
+union all select transaction_id, gold from labelled where row_no % 3 = 0"""))
 def a12(spark, sf):
     rows = view(spark, sf, "labelled")
-    existing = rows.filter("row_no % 2 = 0").select("transaction_id", "primary_label")
-    incoming = rows.filter("row_no % 3 = 0").select("transaction_id", F.col("gold").alias("primary_label"))
-    from tallystone.sources.stores import merge_unseen
-
+    # two sides that overlap and together hold every row
+    existing = rows.filter("row_no % 3 <> 0").select("transaction_id", "primary_label")
+    incoming = rows.filter("row_no % 3 <> 1").select("transaction_id", F.col("gold").alias("primary_label"))
     return merge_unseen(existing, incoming, ["transaction_id"])
