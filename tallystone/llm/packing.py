@@ -1,10 +1,11 @@
 """Best-fit packing: documents become token pieces, pieces fill sequences by bin completion.
 
 Only lengths decide a packing, so a group of pieces is packed as counts per length. Best
-fit by decreasing length gives the first solution. Branch and bound then completes one
-sequence after the other around the largest piece left: it lists the undominated fillings
-of the space beside it, least waste first, and gives up a branch once its waste exceeds
-what a solution with one sequence less could waste.
+fit by decreasing length gives the first solution. Where it needs more sequences than the
+total length does, branch and bound packs its sequences anew, in blocks of the loosest ones
+that grow until none is left out: it completes one sequence after the other around the
+largest piece left, with the undominated fillings of the space beside it, and gives up a
+branch once its waste exceeds what a solution with one sequence less could waste.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,14 +27,11 @@ from tallystone.llm.store import written
 CAPACITY = 4096
 END = 1
 GROUP = 16_384  # pieces packed together; whole groups are spread over tasks
-FILLINGS = 6  # fillings of one sequence that the search keeps to choose from
-LOOSEST = 256  # sequences of the best-fit solution that the search packs anew, most waste first
-EFFORT = 12  # completed sequences that the search may try for each of these
+EFFORT = 100  # steps that the search may take for each sequence of a block
 SLICE_CHARS = 1 << 20
-REMEMBERED = 150_000
+REMEMBERED = 400_000  # words whose ids a task remembers
 MARK = "<|endoftext|>"
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
-_SMALL = re.compile(f"[{_LETTERS}]+").fullmatch
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -42,8 +40,9 @@ class WordEncoder:
     """Token ids of texts, each word encoded once while it is remembered.
 
     The tokenizer drops white space before it splits, so words between spaces or line ends
-    are independent of each other. ASCII letters are lowered by the tokenizer in any case,
-    and a run of letters is always split from the full stop or comma behind it.
+    are independent of each other. Letters are plain if the tokenizer says that they stay as
+    they are, or as their small form, and are split from a full stop or comma behind them;
+    a word ends before these, and words of plain letters go straight to the merges.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,25 +51,34 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(MARK)
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in _LETTERS}
-        self.direct = self._model_ids([_LETTERS, "straße", "a"]) == [
-            np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in (_LETTERS, "straße", "a")]
+        letters = {c: as_bytes.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+        small = [c for c in _LETTERS if self._plain(c, letters[c])]
+        large = [c.upper() for c in small if len(c.upper()) == 1 and c.upper().lower() == c and self._normal(c.upper()) == c]
+        self.letters = {ord(c): letters[c] for c in small}
+        plain = re.escape("".join([*small, *large])) or r"\0"
+        self.direct = re.compile(f"[{plain}]+").fullmatch
+        self.tails = re.compile(f"(?<=[{plain}])([.,]+)(?=[ \\n]|\\Z)")
 
-    def _model_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words of small letters, which the steps before the merges leave as they are."""
-        model, letters = self.tokenizer.model, self.letters
-        return [array("I", [token.id for token in model.tokenize(word.translate(letters))]).tobytes() for word in words]
+    def _normal(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
+    def _plain(self, c: str, letter: str) -> bool:
+        """Whether a letter stays in a word of letters, and a full stop or comma behind it does not."""
+        def split(text: str) -> list[str]:
+            return [part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self._normal(text))]
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        if not self.direct:
-            return self._tokenizer_ids(words)
-        other = [word for word in words if not _SMALL(word)]
-        found = dict(zip(other, self._tokenizer_ids(other)))
-        small = [word for word in words if word not in found]
-        found.update(zip(small, self._model_ids(small)))
-        return [found[word] for word in words]
+        return split(c + c) == [letter + letter] and split(c + ".") == [letter, "."] and split(c + ",") == [letter, ","]
+
+    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        model, letters = self.tokenizer.model, self.letters
+        other = []
+        for word in words:
+            if self.direct(word):
+                yield word, array("I", [token.id for token in model.tokenize(word.lower().translate(letters))]).tobytes()
+            else:
+                other.append(word)
+        yield from zip(other, self._tokenizer_ids(other))
 
     def _tokenizer_ids(self, words: list[str]) -> list[bytes]:
         """Many words in one text, with a special token between them."""
@@ -89,27 +97,12 @@ class WordEncoder:
             out.extend(raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends))
         return out
 
-    def learn(self, words: list[str]) -> None:
-        parts = {}
-        for word in words:
-            core = word.rstrip(".,")
-            if not core or not core[-1].isalpha():
-                core = word
-            tail = word[len(core):]
-            parts[word] = (core.lower() if core.isascii() and "<|" not in core else core, tail)
-        new = list({p for pair in parts.values() for p in pair}.difference(self.cores))
-        self.cores.update(zip(new, self._encode(new)))
-        cores = self.cores
-        self.known.update((word, cores[core] + cores[tail]) for word, (core, tail) in parts.items())
-
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {}
-        if len(self.cores) > 2 * REMEMBERED:
-            self.cores = {}
-        words = [text.replace("\n", " ").split(" ") for text in texts]
-        self.learn(list(set().union(*words).difference(self.known)))
+        words = [self.tails.sub(r" \1", text).replace("\n", " ").split(" ") for text in texts]
         known = self.known
+        known.update(self._encode(list(set().union(*words).difference(known))))
         return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
@@ -181,117 +174,136 @@ def best_fit(counts: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _undominated(filling: tuple[int, ...], waste: int, available: int) -> bool:
-    """No larger piece could take the place of one piece or of a pair of the filling."""
-    sums = set(filling) | {a + b for k, a in enumerate(filling) for b in filling[:k]}
-    sums.add(0)
-    for total in sums:
-        above = (available >> (total + (total in filling or total == 0))) & ((1 << max(0, waste + 1 - (total in filling or total == 0))) - 1)
-        if above:
-            return False
-    return True
-
-
-def fillings(space: int, counts: list[int], available: int) -> list[tuple[int, ...]]:
-    """Undominated sets of pieces that fit ``space``, least waste first, larger pieces first."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def extend(space: int, largest: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal steps
-        limit = min(space, largest)
-        fits = available & ((2 << limit) - 1)
-        tried = 0
-        while fits:
-            size = fits.bit_length() - 1
-            fits ^= 1 << size
-            if counts[size] <= chosen.count(size):
-                continue
-            tried += 1
-            steps += 1
-            if extend(space - size, size, (*chosen, size)):
-                return True
-            if tried >= 4 or steps > 400:
-                return False
-        if not tried:
-            if _undominated(chosen, space, available):
-                found.append((space, chosen))
-            return space == 0 and len(found) >= FILLINGS or len(found) >= 4 * FILLINGS
-        return False
-
-    extend(space, space, ())
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    return list(dict.fromkeys(f[1] for f in found))[:FILLINGS] or [()]
+def _undominated(filling: tuple[int, ...], slack: int, available: int) -> bool:
+    """No piece left out could take the place of any set of pieces of the filling and fill more.
+
+    ``available`` has a bit for each length of which pieces are left out. The bits of the
+    sums of all sets of the filling, each moved on by one up to ``slack``, are the lengths of
+    pieces that could.
+    """
+    if not slack:
+        return True
+    sums = 1
+    for size in filling:
+        sums |= sums << size
+    reach, width = sums << 1, 1
+    while width < slack:
+        step = min(width, slack - width)
+        reach |= reach << step
+        width += step
+    return not reach & available
+
+
+class _Left:
+    """Pieces that are in no sequence yet: how many of each length, a bit for each length, and their number."""
+
+    def __init__(self, counts: list[int]) -> None:
+        self.counts, self.n = list(counts), sum(counts)
+        self.bits = sum(1 << size for size, n in enumerate(counts) if n and size)
+
+    def take(self, sizes: Iterable[int]) -> None:
+        for size in sizes:
+            self.n -= 1
+            self.counts[size] -= 1
+            if not self.counts[size]:
+                self.bits &= ~(1 << size)
+
+    def give(self, sizes: Iterable[int]) -> None:
+        for size in sizes:
+            self.n += 1
+            self.counts[size] += 1
+            self.bits |= 1 << size
+
+
+def fillings(space: int, left: _Left, most: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated sets of pieces that leave at most ``most`` of ``space``, larger pieces first.
+
+    What is left must be as it was whenever the next one is asked for. Between fillings it
+    gives None for every step of the search, so that steps can be counted.
+    """
+    def extend(space: int, limit: int, chosen: tuple[int, ...], most: int) -> Iterator[tuple[int, ...] | None]:
+        yield None
+        fits = left.bits & ((2 << min(space, limit)) - 1)
+        if not fits:
+            if space <= most:
+                left_out = left.bits
+                for size in set(chosen):
+                    if left.counts[size] == chosen.count(size):
+                        left_out &= ~(1 << size)
+                if _undominated(chosen, space, left_out):
+                    yield chosen
+            return
+        size = fits.bit_length() - 1
+        held = left.counts[size]
+        for n in range(min(held, space // size), -1, -1):
+            # a piece left out must not fit into what stays free
+            yield from extend(space - n * size, size - 1, chosen + (size,) * n, most if n == held else min(most, size - 1))
+
+    return extend(space, space, (), most)
 
 
 def bin_completion(counts: list[int], capacity: int = CAPACITY, effort: int = EFFORT) -> list[list[int]]:
     """Sequences as lists of lengths, as few as the search finds.
 
-    Where best fit meets the bound of the total length, it is the answer. Otherwise its
-    loosest sequences, whose waste is what can be saved, are packed anew by branch and
-    bound. ``effort`` bounds that; beyond it the best solution so far stands. All pieces
-    are always packed.
+    Best fit is the incumbent. While it needs more sequences than the total length does,
+    branch and bound packs its loosest sequences anew: first the fewest whose waste could
+    save one, then four times as many, until all of them were packed together or the bound is
+    met. ``effort`` bounds the steps for each sequence; beyond it the best solution so far
+    stands. All pieces are always packed.
     """
-    first = best_fit(counts, capacity)
-    total = sum(size * n for size, n in enumerate(counts))
-    if len(first) <= math.ceil(total / capacity):
-        return first
-    first.sort(key=sum)
-    loose, kept = first[:LOOSEST], first[LOOSEST:]
-    again = [0] * (capacity + 1)
-    for sizes in loose:
-        for size in sizes:
-            again[size] += 1
-    return kept + _branch_and_bound(again, loose, capacity, effort * len(loose))
-
+    best = best_fit(counts, capacity)
+    least = math.ceil(sum(size * n for size, n in enumerate(counts)) / capacity)
+    best.sort(key=sum)
+    block = 0
+    while block < len(best) and len(best) > least:
+        if not block:
+            wasted = 0
+            while wasted < capacity and block < len(best):
+                wasted += capacity - sum(best[block])
+                block += 1
+        else:
+            block = min(len(best), 4 * block)
+        loose, kept = best[:block], best[block:]
+        again = [0] * (capacity + 1)
+        for sizes in loose:
+            for size in sizes:
+                again[size] += 1
+        found = _branch_and_bound(again, loose, capacity, effort * block)
+        if len(found) < len(loose):
+            best, block = sorted(kept + found, key=sum), 0
+    return best
 
-def _branch_and_bound(counts: list[int], best: list[list[int]], capacity: int, tries: int) -> list[list[int]]:
-    total = sum(size * n for size, n in enumerate(counts))
-    least = math.ceil(total / capacity)
-    left, available, remaining = list(counts), sum(1 << s for s, n in enumerate(counts) if n and s), sum(counts)
-    stack: list[list] = []  # chosen sequence, fillings not yet tried
-    wasted = 0
 
-    def take(sizes: list[int]) -> None:
-        nonlocal available, remaining, wasted
-        for size in sizes:
-            left[size] -= 1
-            if not left[size]:
-                available &= ~(1 << size)
-        remaining -= len(sizes)
-        wasted += capacity - sum(sizes)
-
-    def give(sizes: list[int]) -> None:
-        nonlocal available, remaining, wasted
-        for size in sizes:
-            left[size] += 1
-            available |= 1 << size
-        remaining += len(sizes)
-        wasted -= capacity - sum(sizes)
-
-    while tries > 0 and len(best) > least:
-        bound = (len(best) - 1) * capacity - total
-        if remaining and wasted <= bound:
-            largest = available.bit_length() - 1
-            left[largest] -= 1
-            if not left[largest]:
-                available &= ~(1 << largest)
-            options = fillings(capacity - largest, left, available)
-            left[largest] += 1
-            available |= 1 << largest
-            stack.append([None, [[largest, *f] for f in reversed(options)]])
-        elif not remaining and len(stack) < len(best):
-            best = [list(frame[0]) for frame in stack]
+def _branch_and_bound(counts: list[int], best: list[list[int]], capacity: int, steps: int) -> list[list[int]]:
+    """``best``, or as soon as one is found a solution with fewer sequences."""
+    left = _Left(counts)
+    spare = (len(best) - 1) * capacity - sum(size * n for size, n in enumerate(counts))  # what one sequence less may waste
+    stack: list[list] = []  # the largest piece of a sequence, its fillings not yet tried, the one chosen
+    while spare >= 0:
+        if not left.n:
+            return [[first, *filling] for first, _, filling in stack]
+        first = left.bits.bit_length() - 1
+        left.take([first])
+        stack.append([first, fillings(capacity - first, left, spare), None])
         while stack:  # the next filling of the deepest sequence that has one
-            frame = stack[-1]
-            if frame[0] is not None:
-                give(frame[0])
-                frame[0] = None
-            if frame[1]:
-                frame[0] = frame[1].pop()
-                take(frame[0])
-                tries -= 1
+            first, options, filling = stack[-1]
+            if filling is not None:
+                left.give(filling)
+                spare += capacity - first - sum(filling)
+            for filling in options:
+                steps -= 1
+                if filling is not None or steps < 0:
+                    break
+            else:
+                filling = None
+            if steps < 0:
+                return best
+            if filling is not None:
+                left.take(filling)
+                spare -= capacity - first - sum(filling)
+                stack[-1][2] = filling
                 break
+            left.give([first])
             stack.pop()
         if not stack:
             break
@@ -324,9 +336,15 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFr
     groups = max(1, math.ceil(cut.count() / group))
     dealt = cut.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("int"))
     fields = ", ".join(f"{name} {kind}" for name, kind in cut.dtypes)
-    # as many partitions as groups: their rows are few bytes but work for a whole task
-    return dealt.repartition(groups, "pack").groupBy("pack").applyInPandas(
-        lambda rows: _pack_group(rows, capacity), f"{fields}, sequence_id bigint, offset bigint")
+
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(parts)
+        if held:
+            for _, rows in pd.concat(held, ignore_index=True).groupby("pack"):
+                yield _pack_group(rows, capacity)
+
+    # a task for each group: its rows are few bytes but work for a whole task
+    return dealt.repartitionById(groups, "pack").mapInPandas(fill, f"{fields}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

@@ -215,3 +215,35 @@ def test_repeated_rows_pack_and_mix_as_often_as_they_come(spark):
     rows = families(n=5)
     docs = documents(spark, rows + rows)
     assert packing.pack_documents(docs, WORD_BPE).count() == 2 * packing.pack_documents(documents(spark, rows), WORD_BPE).count()
+
+
+def test_every_letter_before_a_stop_has_the_ids_of_the_tokenizer():
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    words = [f"{start}{chr(c)}{stop}" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() and (c < 0x3400 or 0xA000 <= c < 0xAC00 or c > 0xD7A3) and c < 0x20000
+             for start, stop in (("a", "."), ("", ","), ("ab", ".,"))]
+    ids = packing.WordEncoder(WORD_BPE).ids([" ".join(words[k : k + 500]) for k in range(0, len(words), 500)])
+    for k, found in enumerate(ids):
+        part = words[500 * k : 500 * (k + 1)]
+        expected = tokenizer.encode_batch(part, add_special_tokens=False)
+        assert np.frombuffer(found, "<u4").tolist() == [i for e in expected for i in e.ids]
+
+
+def test_undominated_fillings_are_those_of_the_definition():
+    rng = random.Random(8)
+    for _ in range(60):
+        counts = [0] * 31
+        for _ in range(rng.randint(1, 7)):
+            counts[rng.randint(1, 20)] += 1
+        space, most = rng.randint(3, 30), rng.randint(0, 30)
+        pieces = [size for size, n in enumerate(counts) for _ in range(n)]
+        expected = set()
+        for n in range(len(pieces) + 1):
+            for places in itertools.combinations(range(len(pieces)), n):
+                chosen = [pieces[p] for p in places]
+                out = {pieces[p] for p in range(len(pieces)) if p not in places}
+                slack = space - sum(chosen)
+                sums = {sum(c) for m in range(n + 1) for c in itertools.combinations(chosen, m)}
+                if 0 <= slack <= most and not any(s < x <= s + slack for s in sums for x in out):
+                    expected.add(tuple(sorted(chosen, reverse=True)))
+        found = [f for f in packing.fillings(space, packing._Left(counts), most) if f is not None]
+        assert len(found) == len(set(found)) and set(found) == expected
