@@ -93,4 +93,22 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) over same as kept, sha256(low) as text_sha256
         from t window same as (partition by low)
     """,
+    "op12_ranked_search": r"""
+        with t as (select row_number() over () as row_no, doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+             q as (select item_id, unnest(regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+             d as (select row_no, doc_id, len(terms)::bigint as n from t),
+             totals as (select count(*) filter (where n > 0) as docs, sum(n)::bigint as words from d),
+             held as (select row_no, term, count(*) as tf from (select row_no, unnest(terms) as term from t) group by all),
+             weights as (select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w
+                         from held, totals group by term),
+             scores as (select item_id, row_no, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) as score
+                        from q join weights using (term) join held using (term) join d using (row_no), totals group by all)
+        select item_id, rank::int as rank, doc_id, score::bigint as score from (
+          select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank
+          from scores join d using (row_no) where score > 0) where rank <= 20
+    """,
 }
