@@ -1,8 +1,8 @@
 """Alignment of the tokens of two vocabularies, and counts of the id pairs that it links.
 
-The ends of the tokens of a text, as byte offsets, are looked up in a dictionary for each
-vocabulary; ends that both hold cut the text into groups, and within a group every two
-tokens whose bytes overlap are linked. Texts are cut at single spaces, where tokens of both
+A dictionary for each vocabulary leads from the ends of its tokens, as byte offsets, to their
+places; the ends that both hold, in order, cut both token lists into groups, and within a
+group every two tokens whose bytes overlap are linked. Texts are cut at single spaces, where tokens of both
 vocabularies always end, so a segment is aligned once and remembered.
 
 Documents are handled in bundles of bounded size. A bundle's distinct id pairs are moved
@@ -16,9 +16,11 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.store import written
 
-BUNDLE_CHARS = 1 << 21  # characters of the texts of a bundle; a longer text is a bundle of its own
-REMEMBERED = 300_000  # segments whose alignment a task remembers
+BUNDLE_BYTES = 1 << 21  # of the texts of a bundle; a longer text is a bundle of its own
+REMEMBERED = 400_000  # segments whose alignment a task remembers
+TOGETHER = 8192  # segments that are aligned one behind the other
 MARK = "▁"
 
 _SAFE = re.compile(f"(?<=[^\\s{MARK}]) (?=[^\\s{MARK}])")
@@ -43,26 +46,22 @@ def segments(text: str) -> list[str]:
     return _SAFE.split(text)
 
 
-def groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[slice, slice]]:
-    """Slices of both token lists between ends that both of them hold."""
-    index_a = {end: k + 1 for k, end in enumerate(ends_a)}
-    index_b = {end: k + 1 for k, end in enumerate(ends_b)}
-    found, a, b = [], 0, 0
-    for end in sorted(index_a.keys() & index_b.keys()):
-        found.append((slice(a, index_a[end]), slice(b, index_b[end])))
-        a, b = index_a[end], index_b[end]
-    return found
+def cut_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends that both token lists hold, in order, and how many tokens of each list come before them."""
+    index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
+    index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
+    common = sorted(index_a.keys() & index_b.keys())
+    return tuple(np.array(x, np.int64) for x in (common, [index_a[end] for end in common], [index_b[end] for end in common]))
 
 
-def links(ends_a: list[int], ends_b: list[int], group: tuple[slice, slice]) -> list[tuple[int, int]]:
-    """Places of every two tokens of a group whose bytes overlap."""
-    (a, stop_a), (b, stop_b) = ((s.start, s.stop) for s in group)
-    found = []
-    while a < stop_a and b < stop_b:
-        found.append((a, b))
-        end_a, end_b = ends_a[a], ends_b[b]
-        a, b = a + (end_a <= end_b), b + (end_b <= end_a)
-    return found
+def linked(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every two tokens whose bytes overlap: the places of both, and the end of what they share.
+
+    Between two neighbouring ends of either list lies one token of each, so there are as
+    many links as different ends. A link never leaves its group, whose last end is in both.
+    """
+    ends = np.union1d(ends_a, ends_b)
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), ends
 
 
 class Aligner:
@@ -88,6 +87,11 @@ class Aligner:
             for i in range(self.second.get_piece_size())]
         if any(MARK in self.second.id_to_piece(i).lstrip(MARK) for i in range(self.second.get_piece_size())):
             raise ValueError(f"{piece_vocabulary} holds pieces that run over a space")
+        self.length_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.length_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
+        self.length_b = np.array([len(x) for x in self.bytes_b])
+        self.names_a = [str(i) for i in range(len(self.length_a))]
+        self.names_b = self.names_a if len(self.length_b) <= len(self.names_a) else [str(i) for i in range(len(self.length_b))]
         self._forget()
 
     def _forget(self) -> None:
@@ -97,36 +101,51 @@ class Aligner:
         self.pairs = array("q")  # of all segments, one after the other
 
     def learn(self, parts: list[str]) -> None:
+        """Aligns new segments, one behind the other as if they were one text: both lists have an end behind each."""
         spaced = [" " + part for part in parts]
-        encoded = self.first.encode_batch_fast(spaced, add_special_tokens=False)
-        for part, whole, a, b in zip(parts, spaced, encoded, self.second.encode(parts, num_threads=1)):
-            a = a.ids
-            raw_a, raw_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            whole = whole.encode()
-            self.number[part] = len(self.text)
-            if b"".join(raw_a) != whole or b"".join(raw_b) != whole:
-                row, found, text = (0, 0, 0), [], None
-            elif len(a) == 1 or len(b) == 1:  # one group, in which all overlap
-                found = [(i << 32) | j for i in a for j in b]
-                row, text = (len(a), len(b), 1), b"%s|%s" % (",".join(map(str, a)).encode(), ",".join(map(str, b)).encode())
-            else:
-                ends_a, ends_b = (np.cumsum([len(x) for x in raw]).tolist() for raw in (raw_a, raw_b))
-                cut = groups(ends_a, ends_b)
-                found = [(a[i] << 32) | b[j] for group in cut for i, j in links(ends_a, ends_b, group)]
-                row = len(a), len(b), len(cut)
-                text = ";".join(f"{','.join(map(str, a[s]))}|{','.join(map(str, b[t]))}" for s, t in cut).encode()
-            for held, value in zip((self.n_a, self.n_b, self.n_groups), row):
-                held.append(value)
-            self.n_links.append(len(found))
-            self.text.append(text)
-            self.pairs.extend(found)
+        whole = [part.encode() for part in spaced]
+        a = [encoding.ids for encoding in self.first.encode_batch_fast(spaced, add_special_tokens=False)]
+        b = self.second.encode(parts, num_threads=1)
+        raw_a, raw_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        if b"".join(map(raw_a, chain(*a))) != b"".join(whole) or b"".join(map(raw_b, chain(*b))) != b"".join(whole):
+            good = [b"".join(map(raw_a, x)) == own == b"".join(map(raw_b, y)) for own, x, y in zip(whole, a, b)]
+            for part, same in zip(parts, good):
+                if not same:
+                    self._note([part], [0], [0], [0], [0], [None])
+            parts, whole, a, b = (list(compress(x, good)) for x in (parts, whole, a, b))
+        if not parts:
+            return
+        n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
+        flat_a, flat_b = np.fromiter(chain(*a), np.int64, n_a.sum()), np.fromiter(chain(*b), np.int64, n_b.sum())
+        ends_a, ends_b = np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])
+        last = np.cumsum(list(map(len, whole)))
+        common, upto_a, upto_b = cut_groups(ends_a, ends_b)
+        n_groups = np.diff(np.searchsorted(common, last, "right"), prepend=0)
+        link_a, link_b, ends = linked(ends_a, ends_b)
+        n_links = np.diff(np.searchsorted(ends, last, "right"), prepend=0)
+        names_a, names_b = list(map(self.names_a.__getitem__, flat_a.tolist())), list(map(self.names_b.__getitem__, flat_b.tolist()))
+        from_a, from_b = [0, *upto_a.tolist()], [0, *upto_b.tolist()]
+        groups = [f"{names_a[i]}|{names_b[k]}" if j - i == m - k == 1 else f"{','.join(names_a[i:j])}|{','.join(names_b[k:m])}"
+                  for i, j, k, m in zip(from_a, from_a[1:], from_b, from_b[1:])]
+        stop = np.cumsum(n_groups).tolist()
+        text = [";".join(groups[i:j]).encode() for i, j in zip([0, *stop], stop)]
+        self._note(parts, n_a, n_b, n_groups, n_links, text)
+        self.pairs.frombytes(((flat_a[link_a] << 32) | flat_b[link_b]).tobytes())
+
+    def _note(self, parts: list[str], n_a, n_b, n_groups, n_links, text: list[bytes | None]) -> None:
+        self.number.update(zip(parts, range(len(self.text), len(self.text) + len(parts))))
+        for held, values in zip((self.n_a, self.n_b, self.n_groups, self.n_links), (n_a, n_b, n_groups, n_links)):
+            held.frombytes(np.asarray(values, np.int64).tobytes())
+        self.text += text
 
     def bundle(self, texts: list[str]) -> tuple:
         """Rows of the texts of a bundle, their distinct pairs by place and how often, then the bundle's pairs and how many texts hold each."""
         cut = [segments(text) if text else [] for text in texts]
         if len(self.number) > REMEMBERED:
             self._forget()
-        self.learn(list(set().union(*cut).difference(self.number)))
+        new = list(set().union(*cut).difference(self.number))
+        for k in range(0, len(new), TOGETHER):
+            self.learn(new[k : k + TOGETHER])
         numbers = [[self.number[part] for part in parts] for parts in cut]
         text = self.text
         written_groups: list[str] = []
@@ -157,15 +176,15 @@ class Aligner:
         return sums, written_groups, np.searchsorted(row, np.arange(len(texts) + 1)), place, often, codes, held
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        if k > start and size + len(text) > BUNDLE_CHARS:
+def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    start, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and held + size > BUNDLE_BYTES:
             yield start, k
-            start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def aligned(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str) -> DataFrame:
@@ -179,9 +198,10 @@ def aligned(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str) -> Dat
             (byte_vocabulary, piece_vocabulary), Aligner(byte_vocabulary, piece_vocabulary))
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            for a, b in _runs(texts):
-                sums, sha, first, place, often, codes, held = using.bundle(texts[a:b])
+            column = batch.column("text")
+            for a, b in _runs(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                texts = [text or "" for text in column.slice(a, b - a).to_pylist()]
+                sums, sha, first, place, often, codes, held = using.bundle(texts)
                 lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))  # noqa: E731, B023
                 once = lambda values, kind: pa.array([values, *[None] * (b - a - 1)], pa.list_(kind))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([

@@ -33,7 +33,7 @@ OWNERS = 4
 BEST = 20
 
 _SEPARATORS = bytes(c for c in range(0x80) if not chr(c).isalnum())
-_FOLD = bytes(0x20 if bytes([c]) in [bytes([x]) for x in _SEPARATORS] else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_FOLD = bytes(32 if c in _SEPARATORS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LENGTHS = -1  # the term under which the postings hold the lengths of a slice's documents
 
 

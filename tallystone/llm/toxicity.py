@@ -7,7 +7,9 @@ holds included.
 
 The nearest examples by cosine are found exactly with a block-max inverted index: postings
 lie in the order of the examples, cut into blocks of 64, each with the greatest weight that
-a term has in it. Blocks are visited by the bound that the terms of a text give them, until
+a term has in it. The few terms that most blocks are full of, with which no block can be
+told from another, are rows of weights over all examples; what they give is known before
+blocks are chosen. Blocks are visited by the bound that the terms of a text give them, until
 no block left can hold an example as near as the last of the nearest so far. In the blocks
 visited, terms come in the order of their own bounds; those whose bounds together could not
 bring an example that far are only looked up for examples that other terms have brought
@@ -38,11 +40,13 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.store import map_rows, written
 
-EXAMPLES = 3_500  # labelled documents the index holds, chosen by hash; the expected number
+EXAMPLES = 2_400  # labelled documents the index holds, chosen by hash; the expected number
+LETTERS = 5  # of a word that make its term
 BLOCK = 64  # examples of a block
-ROUND = 8  # blocks visited first; each further round visits three times as many
+COMMON = 1 / 50  # share of the examples from which on a term is a row over all of them
+ROUND = 8  # blocks visited first; each further round visits five times as many
 SLICE = 64  # texts scored at once
-NEAREST = 64
+NEAREST = 32
 THRESHOLD = 0.7
 UNTOLD = 0.02  # what similarity that tells nothing weighs
 POWER = 4  # of the similarity that tells: how fast votes fall with distance
@@ -50,7 +54,7 @@ PRIOR = 1e-12  # weight of the rate among examples without terms in each vote
 SURE = 20  # one over the chance that any term is called telling that tells nothing
 REMEMBERED = 20_000  # texts whose score a task remembers
 
-_WORD = re.compile(r"(\w{1,5})\w*")
+_WORD = re.compile(r"\w+")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -60,7 +64,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def term_counts(text: str | None) -> dict[str, int]:
     """How often each term occurs in a whole text."""
-    return Counter(_WORD.findall((text or "").lower()))
+    terms: dict[str, int] = {}
+    for word, times in Counter(_WORD.findall((text or "").lower())).items():
+        terms[word[:LETTERS]] = terms.get(word[:LETTERS], 0) + times
+    return terms
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -115,12 +122,25 @@ class Index:
         return self.terms[a:b], self.weights[a:b]
 
     def lists(self) -> tuple:
-        """Postings by term: example and weight. Their blocks by term: number, greatest weight, first posting, postings.
-        Then where the blocks of each term begin, and the greatest weight of each term."""
+        """Rows of common terms: the place of each term among them or -1, and their weights over all examples.
+
+        Then postings of the other terms: example and weight; their blocks by term: number,
+        greatest weight, first posting, postings; where the blocks of each term begin, and
+        the greatest weight of each term.
+        """
         if self._lists is None:
-            order = np.argsort(self.terms, kind="stable")
-            terms, weights = self.terms[order], self.weights[order]
-            members = np.repeat(np.arange(len(self.ids)), np.diff(self.first))[order]
+            n = len(self.ids)
+            held = np.bincount(self.terms, minlength=len(self.idf))
+            common = np.flatnonzero(held > COMMON * n)
+            place = np.full(len(held), -1)
+            place[common] = np.arange(len(common))
+            members = np.repeat(np.arange(n), np.diff(self.first))
+            matrix = np.zeros((len(common), n))
+            among = place[self.terms] >= 0
+            matrix[place[self.terms[among]], members[among]] = self.weights[among]
+            rare = np.flatnonzero(~among)
+            order = rare[np.argsort(self.terms[rare], kind="stable")]
+            terms, weights, members = self.terms[order], self.weights[order], members[order]
             block = members // BLOCK
             new = np.ones(len(terms), bool)
             new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
@@ -130,66 +150,85 @@ class Index:
             begin = np.searchsorted(terms[first], np.arange(len(self.idf) + 1))
             greatest = np.zeros(len(self.idf))
             np.maximum.at(greatest, terms[first], most)
-            self._lists = members, weights, block[first], most, first, size, begin, greatest
+            self._lists = place, matrix, members, weights, block[first], most, first, size, begin, greatest
         return self._lists
 
+    def given(self, vectors: list[tuple]) -> np.ndarray:
+        """What the common terms of each vector give to every example."""
+        place, matrix = self.lists()[:2]
+        wanted = np.zeros((len(vectors), len(matrix)))
+        for row, (terms, weights) in enumerate(vectors):
+            at = place[terms]
+            wanted[row, at[at >= 0]] = weights[at >= 0]
+        return wanted @ matrix
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` nearest examples that share a term, nearest first; ties to the lower number."""
-        return self.search(terms, weights, k)[:2]
+        return self.search(terms, weights, k, self.given([(terms, weights)])[0])[:2]
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``nearest``, and what of the similarity with every example rests on telling terms."""
-        members, listed, block, most, first, size, begin, greatest = self.lists()
+        place, matrix, members, listed, block, most, first, size, begin, greatest = self.lists()
         n, n_blocks = len(self.ids), math.ceil(len(self.ids) / BLOCK)
+        told = np.zeros(n)
+        for at in np.flatnonzero(self.telling[terms] & (place[terms] >= 0)):
+            told += weights[at] * matrix[place[terms[at]]]
+        rare = place[terms] < 0
+        all_terms, all_weights, terms, weights = terms, weights, terms[rare], weights[rare]
         long = begin[terms + 1] - begin[terms]
         entry = _ranges(begin[terms], long)
         owner, weight = np.repeat(np.arange(len(terms)), long), np.repeat(weights, long)
         in_block, bound = block[entry], most[entry] * weight
-        bounds = np.bincount(in_block, bound, n_blocks)
+
+        def sums(entries: np.ndarray) -> np.ndarray:
+            """What the postings of some blocks give to every example."""
+            of = entry[entries]
+            postings = _ranges(first[of], size[of])
+            return np.bincount(members[postings], listed[postings] * np.repeat(weight[entries], size[of]), n)
+
+        before = np.zeros(n_blocks * BLOCK)
+        before[:n] = given
+        bounds = np.bincount(in_block, bound, n_blocks) + before.reshape(n_blocks, BLOCK).max(axis=1, initial=0.0)
         by_bound = np.argsort(-bounds, kind="stable")
         by_bound = by_bound[bounds[by_bound] > 0]
         # terms in order of their bounds, the least first, and how far they come together
         limits = greatest[terms] * weights
         rising = np.argsort(limits, kind="stable")
-        together = np.cumsum(limits[rising]) * (1 + 1e-9)
+        together = np.cumsum(limits[rising])
         found, scores, least, at, turn = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, ROUND
         while at < len(by_bound):
             now = by_bound[at : at + turn]
-            now = now[bounds[now] * (1 + 1e-9) >= least]  # sums in another order differ by rounding
+            now = now[bounds[now] >= least]
             if not len(now):
                 break
-            at, turn = at + turn, turn * 3
+            at, turn = at + turn, turn * 5
             self.visited[0] += len(now)
             visit = np.zeros(n_blocks, bool)
             visit[now] = True
+            here = visit[in_block]
+            rows = (np.sort(now)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            rows = rows[rows < n]
             slight = np.zeros(len(terms), bool)
-            slight[rising[together < least]] = True
-            here, light = visit[in_block], slight[owner]
-            chosen = here & ~light
-            postings = _ranges(first[entry[chosen]], size[entry[chosen]])
-            sums = np.bincount(members[postings], listed[postings] * np.repeat(weight[chosen], size[entry[chosen]]), n)
-            rows = np.flatnonzero(sums)
-            if light.any():
-                rest = here & light
+            slight[rising[together < least / 4]] = True
+            light = slight[owner]
+            own = (given + sums(np.flatnonzero(here & ~light)))[rows]
+            rest = np.flatnonzero(here & light)
+            if len(rest):  # only examples that could come near enough with the slight terms take them in
                 left = np.bincount(in_block[rest], bound[rest], n_blocks)
-                rows = rows[(sums[rows] + left[rows // BLOCK]) * (1 + 1e-9) >= least]
+                keep = own + left[rows // BLOCK] >= least
+                rows, own = rows[keep], own[keep]
                 if (self.first[rows + 1] - self.first[rows]).sum() < size[entry[rest]].sum():
-                    own = self._products(terms, weights, rows)
+                    own = self._products(all_terms, all_weights, rows)
                 else:
-                    postings = _ranges(first[entry[rest]], size[entry[rest]])
-                    own = (sums + np.bincount(members[postings], listed[postings] * np.repeat(weight[rest], size[entry[rest]]), n))[rows]
-            else:
-                own = sums[rows]
-            found, scores = np.concatenate([found, rows]), np.concatenate([scores, own])
+                    own = own + sums(rest)[rows]
+            found, scores = np.concatenate([found, rows[own > 0]]), np.concatenate([scores, own[own > 0]])
             if len(scores) >= k:
+                # a little less, as sums in another order differ by rounding
                 least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k] * (1 - 1e-9))
                 found, scores = found[scores >= least], scores[scores >= least]
         self.visited[1] += len(by_bound)
         order = np.lexsort([found, -np.round(scores, 12)])[:k]
-        chosen = self.telling[terms[owner]]
-        postings = _ranges(first[entry[chosen]], size[entry[chosen]])
-        told = np.bincount(members[postings], listed[postings] * np.repeat(weight[chosen], size[entry[chosen]]), n)
-        return found[order], scores[order], told
+        return found[order], scores[order], told + sums(np.flatnonzero(self.telling[terms][owner]))
 
     def _products(self, terms: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Similarity of examples, from all their terms."""
@@ -236,8 +275,8 @@ class Index:
     def own_votes(self, rows: list[int]) -> list[float]:
         """Votes of examples, each without itself."""
         votes = []
-        for k in rows:
-            near, scores, told = self.search(*self.example(k), NEAREST + 1)
+        for k, given in zip(rows, self.given([self.example(k) for k in rows])):
+            near, scores, told = self.search(*self.example(k), NEAREST + 1, given)
             other, told[k] = near != k, 0.0
             votes.append(self._vote(near[other][:NEAREST], scores[other][:NEAREST], told))
         return votes
@@ -269,12 +308,12 @@ class Index:
     def scores(self, texts: list[tuple], line: tuple[float, float]) -> list[tuple[float, list[int], list[float]]]:
         """For terms, counts and others of each text its calibrated score, and the examples it rests on with their similarity."""
         out: list = []
-        for text in texts:
-            if not len(text[0]):
+        vectors = [self.vector(*text) for text in texts]
+        for vector, given in zip(vectors, self.given(vectors)):
+            if not len(vector[0]):
                 out.append((self.rate, [], []))
                 continue
-            vector = self.vector(*text)
-            rows, near, told = self.search(*vector, NEAREST)
+            rows, near, told = self.search(*vector, NEAREST, given)
             vote = self._vote(rows, near, told)
             value = 1 / (1 + math.exp(-max(-500.0, line[0] + line[1] * math.log(vote / (1 - vote)))))
             most = self._voters(rows, told)[:3]  # evidence: what the vote rests on most
@@ -320,7 +359,7 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def term_contexts(text: str | None) -> set[tuple[str, str]]:
     """Each term of a text with the words it follows."""
-    words = _WORD.findall((text or "").lower())
+    words = [word[:LETTERS] for word in _WORD.findall((text or "").lower())]
     return set(zip(words, ["", *words]))
 
 

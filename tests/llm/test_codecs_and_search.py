@@ -125,7 +125,7 @@ def bytes_of_letters():
 
 @pytest.mark.parametrize("chars", [200, 1 << 21])
 def test_alignment_against_the_definition(spark, monkeypatch, chars):
-    monkeypatch.setattr(alignment, "BUNDLE_CHARS", chars)
+    monkeypatch.setattr(alignment, "BUNDLE_BYTES", chars)
     texts = more_odd_texts() + [t for _, t, _ in families()]
     rows, counts = plain_alignment(texts)
     best = Counter()

@@ -295,3 +295,16 @@ def test_gradients_of_the_labeller():
             down = loss()
             weight[at] = held
             assert abs((up - down) / 2e-5 - grads[name][at]) < 1e-6
+
+
+@pytest.mark.parametrize("unit", list("-%+_.a1@ (é") + ["a@b-b-", "a.", "1.", "a at ", "x dot ", "+1", "-at-a", "a-at-b.c"])
+def test_spans_of_long_runs_take_time_in_proportion(unit):
+    import time
+
+    def seconds(n):
+        text = "é" + unit * (n // len(unit))
+        began = time.process_time()
+        pii.all_spans(text)
+        return time.process_time() - began
+
+    assert seconds(80_000) < 8 * max(seconds(20_000), 0.05)
