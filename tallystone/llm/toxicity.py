@@ -54,7 +54,7 @@ PRIOR = 1e-12  # weight of the rate among examples without terms in each vote
 SURE = 20  # one over the chance that any term is called telling that tells nothing
 REMEMBERED = 20_000  # texts whose score a task remembers
 
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(rf"(\w{{1,{LETTERS}}})\w*")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -64,10 +64,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def term_counts(text: str | None) -> dict[str, int]:
     """How often each term occurs in a whole text."""
-    terms: dict[str, int] = {}
-    for word, times in Counter(_WORD.findall((text or "").lower())).items():
-        terms[word[:LETTERS]] = terms.get(word[:LETTERS], 0) + times
-    return terms
+    return Counter(_WORD.findall((text or "").lower()))
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -359,7 +356,7 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def term_contexts(text: str | None) -> set[tuple[str, str]]:
     """Each term of a text with the words it follows."""
-    words = [word[:LETTERS] for word in _WORD.findall((text or "").lower())]
+    words = _WORD.findall((text or "").lower())
     return set(zip(words, ["", *words]))
 
 
@@ -391,9 +388,11 @@ def held_by(docs: DataFrame, shared: Broadcast) -> np.ndarray:
         seen = np.zeros(len(space.terms), np.int64)
         number = space.number()
         for batch in batches:
+            held: Counter = Counter()
             for text in batch.column("text").to_pylist():
-                at = np.array([number.get(term, -1) for term in term_counts(text)], np.int64)
-                seen[at[at >= 0]] += 1
+                held.update(set(_WORD.findall((text or "").lower())))
+            for term in held.keys() & number.keys():
+                seen[number[term]] += held[term]
         terms = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(seen[terms], pa.int64())], names=["term", "n"])
 
