@@ -11,19 +11,27 @@ from tallystone.functions.text import strip
 TIME_SUFFIX = r"[ T]\d{1,2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
 NUMERIC = r"^(\d{1,4})[/.\-](\d{1,2})[/.\-](\d{2,4})$"
 YEAR_FIRST = r"^\d{4}(?:-\d{1,2}-|/\d{1,2}/)\d{1,2}$"
+# A year of four digits in front, with a day of two digits at most or any.
+YEAR_LED = r"^\d{4}[/.\-]\d{1,2}[/.\-]\d{2,4}$"
+YEAR_MONTH_DAY = r"^\d{4}(?:[/.\-]\d{1,2}[/.\-]\d{2}|-\d{1,2}-\d|/\d{1,2}/\d)\z"
+# Two parts and a year; short years are in this century, long ones may begin with zeros.
+YEAR_LAST = r"^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}\z"
+SHORT_YEAR = r"[/.\-]0{0,2}\d{2}$"
+# Numeric dates with a year behind whose first or second part is above twelve.
+FIRST_ABOVE_TWELVE = r"^(?:0?(?:1[3-9]|[2-9]\d)|[1-9]\d{2})[/.\-]\d{1,2}[/.\-]\d{2,4}$"
+SECOND_ABOVE_TWELVE = r"^\d{1,3}[/.\-](?:1[3-9]|[2-9]\d)[/.\-]\d{2,4}$"
+# What may be a date with a month in three letters, or in more.
+NAMED_SHORT = (r"(?sU)^(?:[0-9]{1,2}(?:\s+[A-Za-z]{3}\s+[0-9]{4}|-[A-Za-z]{3}-[0-9]{2,4})"
+               r"|[A-Za-z]{3}\s+[0-9]{1,2},?\s+[0-9]{4}|[0-9]{4}\s+[A-Za-z]{3}\s+[0-9].*)$")
+NAMED_LONG = (r"(?sU)^(?:[0-9]{1,2}\s+[A-Za-z]{4,9}\s+[0-9]{4}|[A-Za-z]{4,9}\s+[0-9]{1,2},\s+[0-9]{4}"
+              r"|[0-9]{4}\s+[A-Za-z]{4,9}\s+[0-9].*)$")
 # Each named shape and its year-month-day form; two-digit years turn at 69.
 NAMED = [
-    (r"^(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})$", "$3 $2 $1"),
-    (r"^([A-Za-z]{3,9}) (\d{1,2}), (\d{4})$", "$3 $1 $2"),
-    (r"^([A-Za-z]{3}) (\d{1,2}) (\d{4})$", "$3 $1 $2"),
-    (r"^(\d{1,2})-([A-Za-z]{3})-(\d{4})$", "$3 $2 $1"),
+    (r"^(\d{1,2})(?: ([A-Za-z]{3,9}) |-([A-Za-z]{3})-)(\d{4})$", "$4 $2$3 $1"),
+    (r"^(?:([A-Za-z]{3,9}) (\d{1,2}),|([A-Za-z]{3}) (\d{1,2})) (\d{4})$", "$5 $1$3 $2$4"),
     (r"^(\d{1,2})-([A-Za-z]{3})-([0-5]\d|6[0-8])$", "20$3 $2 $1"),
     (r"^(\d{1,2})-([A-Za-z]{3})-(\d{2})$", "19$3 $2 $1"),
 ]
-# Numeric years of a day-first or month-first date, short ones in this century.
-SHORT_YEAR = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-]0{0,2}(\d{2})$"
-THREE_DIGIT_YEAR = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-]([1-9]\d{2})$"
-LONG_YEAR = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})$"
 
 ISO, MONTH_FIRST, DAY_FIRST, AMBIGUOUS = "ISO", "MONTH_FIRST", "DAY_FIRST", "AMBIGUOUS"
 
@@ -32,34 +40,33 @@ ISO, MONTH_FIRST, DAY_FIRST, AMBIGUOUS = "ISO", "MONTH_FIRST", "DAY_FIRST", "AMB
 
 
 def clean(raw: Column) -> Column:
-    return F.regexp_replace(strip(raw), TIME_SUFFIX, "")
+    text = strip(raw)
+    return F.when(F.contains(text, F.lit(":")), F.regexp_replace(text, TIME_SUFFIX, "")).otherwise(text)
 
 
 def _named_date(text: Column) -> Column:
     turned = F.regexp_replace(text, r"(?U)\s+", " ")
     for shape, year_first in NAMED:
         turned = F.regexp_replace(turned, shape, F.lit(year_first))
-    return F.when(turned.rlike(r"^\d{4} [A-Za-z]{3} "), F.try_to_date(turned, "yyyy MMM d")).when(
-        turned.rlike(r"^\d{4} [A-Za-z]{4,9} "), F.try_to_date(turned, "yyyy MMMM d")
+    return F.when(text.rlike(NAMED_SHORT), F.try_to_date(turned, "yyyy MMM d")).when(
+        text.rlike(NAMED_LONG), F.try_to_date(turned, "yyyy MMMM d")
     )
 
 
 def _numeric_date(text: Column, order: Column) -> Column:
     """All numeric shapes brought to year-month-day, then read once."""
-    turned = text
-    for shape, prefix in ((SHORT_YEAR, "20"), (THREE_DIGIT_YEAR, "0"), (LONG_YEAR, "")):
-        turned = F.regexp_replace(
-            turned, F.lit(shape),
-            F.when(order == DAY_FIRST, f"{prefix}$3-$2-$1").otherwise(f"{prefix}$3-$1-$2"),
-        )
-    readable = text.rlike(YEAR_FIRST) | (
-        text.rlike(NUMERIC) & (_four_digit_first(text) | (order != AMBIGUOUS))
+    parts = F.translate(text, "/.", "--")
+    first, year = F.substring_index(parts, "-", 1), F.substring_index(parts, "-", -1)
+    second = F.substring_index(F.substring_index(parts, "-", 2), "-", -1)
+    long_year = F.when(text.rlike(SHORT_YEAR), F.concat(F.lit("20"), F.right(year, F.lit(2)))).otherwise(
+        F.lpad(year, 4, "0"))
+    turned = F.when(order == DAY_FIRST, F.concat_ws("-", long_year, second, first)).otherwise(
+        F.concat_ws("-", long_year, first, second))
+    return (
+        F.when(text.rlike(YEAR_MONTH_DAY), parts.try_cast("date"))
+        .when(text.rlike(YEAR_LED), F.try_to_date(parts, "yyyy-M-d"))
+        .when((order != AMBIGUOUS) & text.rlike(YEAR_LAST), turned.try_cast("date"))
     )
-    return F.when(readable, F.try_to_date(F.regexp_replace(turned, "[/.]", "-"), "yyyy-M-d"))
-
-
-def _four_digit_first(text: Column) -> Column:
-    return F.length(F.regexp_extract(text, NUMERIC, 1)) == 4
 
 
 def parse_date(text: Column, order: Column) -> Column:
@@ -72,7 +79,7 @@ def date_error(text: Column, order: Column, parsed: Column) -> Column:
     return (
         F.when(parsed.isNotNull(), F.lit(None).cast("string"))
         .when(F.coalesce(text, F.lit("")) == "", "cannot parse an empty date")
-        .when(text.rlike(NUMERIC) & ~_four_digit_first(text) & (order == AMBIGUOUS),
+        .when((order == AMBIGUOUS) & text.rlike(NUMERIC) & ~text.rlike(YEAR_LED),
               "date order is ambiguous")
         .otherwise("not a date")
     )
@@ -81,27 +88,26 @@ def date_error(text: Column, order: Column, parsed: Column) -> Column:
 def describes_itself(text: Column) -> Column:
     """The shape of the text says which part is which."""
     return (
-        (text.rlike(NUMERIC) & _four_digit_first(text))
+        text.rlike(YEAR_LED)
         | (text.rlike(YEAR_FIRST) & _numeric_date(text, F.lit(ISO)).isNotNull())
         | _named_date(text).isNotNull()
     )
 
 
-def date_like(text: Column) -> Column:
-    return text.rlike(NUMERIC) | describes_itself(text)
+def numeric(text: Column) -> Column:
+    return text.rlike(NUMERIC)
 
 
-def _part_above_twelve(text: Column, part: int) -> Column:
-    value = F.nullif(F.regexp_extract(text, NUMERIC, part), F.lit("")).try_cast("int")
-    return F.coalesce((value > 12) & ~_four_digit_first(text), F.lit(False))
+def date_like(text: Column) -> Column:
+    return numeric(text) | describes_itself(text)
 
 
 def says_day_first(text: Column) -> Column:
-    return _part_above_twelve(text, 1)
+    return F.coalesce(text.rlike(FIRST_ABOVE_TWELVE), F.lit(False))
 
 
 def says_month_first(text: Column) -> Column:
-    return _part_above_twelve(text, 2)
+    return F.coalesce(text.rlike(SECOND_ABOVE_TWELVE), F.lit(False))
 
 
 def column_order(day_first: Column, month_first: Column, described: Column) -> Column:

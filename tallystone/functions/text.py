@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns that decide what an amount, merchant or number is.
-BLANK_EDGES = r"(?U)^\s+|\s+$"
-MONEY_NOISE = r"(?U)[$£€¥\s]"
-SIGNED_NUMBER = r"^-?\d*\.?\d+$"
+# What counts as white space, and patterns that decide what an amount, merchant or number is.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+MONEY_NOISE = "$£€¥" + WHITE
+_DIGITS = r"[0-9,]*\.?[0-9,]*[0-9],*"
+SIGNED_NUMBER = f"^(?:\x01?{_DIGITS}-|\x01?-{_DIGITS}|\x01\\+?{_DIGITS}|\\+?,*[-\x01]?{_DIGITS})$"
 PROCESSOR_PREFIX = r"(?iU)^(SQ|TST|SP|PAYPAL|PP|IC|WPY|EB)\s*\*\s*"
 EMBEDDED_DATE = r"(?U)(?<=\S)\s+\d{1,2}[/-]\d{1,2}([/-]\d{2,4})?\s*$"
 TRAILING_STORE = r"(?U)(?<=\S)\s*#\s*\d+\s*$"
@@ -24,7 +25,7 @@ AMOUNT_TYPE = "decimal(28,6)"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, BLANK_EDGES, "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def blank(text: Column) -> Column:
@@ -34,24 +35,23 @@ def blank(text: Column) -> Column:
 def parse_amount(raw: Column, decimal_comma: bool = False) -> Column:
     """Exact decimal from a bank cell; null where the cell is not an amount.
 
-    Every step reads the one before it once, so the generated code stays small. Brackets
-    become the mark \\x01; one sign, trailing before leading, becomes \\x02.
+    Brackets become the mark \\x01. One pattern then says whether the text is a number
+    with one sign at most, before or behind it, so a cell that is no amount costs one look.
     """
     text = strip(raw)
-    for shape, replacement in (
-        (r"(?s)^\((.*)\)$", "\x01$1"),
-        (MONEY_NOISE, ""),
-        ("^\x01?(.*)-$", "\x02$1"),
-        ("^\x01?-(.*)$", "\x02$1"),
-        ("^\x01\\+", "\x02"),
-        ("^\\+", ""),
-        ("[\x01\x02]", "-"),
-    ):
-        text = F.regexp_replace(text, shape, replacement)
-    text = F.translate(text, ",.", ".") if decimal_comma else F.translate(text, ",", "")
-    number = F.regexp_extract(text, SIGNED_NUMBER, 0)
+    bracketed = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
+    marked = F.when(bracketed, F.concat(F.lit("\x01"), F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
+    # a decimal comma and the points between groups change places
+    bare = F.translate(marked, (",." if decimal_comma else "") + MONEY_NOISE, ".," if decimal_comma else "")
+    # one element, so that the text above is made once for all that looks at it
+    return F.get(F.transform(F.array(bare), _signed_number), F.lit(0))
+
+
+def _signed_number(text: Column) -> Column:
+    less = F.contains(text, F.lit("-")) | F.contains(text, F.lit("\x01"))
+    number = F.concat(F.when(less, "-").otherwise(""), F.translate(text, "\x01+-,", ""))
     # more decimals than the type holds are refused, never rounded away
-    return F.regexp_replace(number, TOO_FINE, "").try_cast(AMOUNT_TYPE)
+    return F.when(text.rlike(SIGNED_NUMBER) & ~F.translate(text, "\x01+-,", "").rlike(TOO_FINE), number.try_cast(AMOUNT_TYPE))
 
 
 def normalise_description(raw: Column) -> Column:

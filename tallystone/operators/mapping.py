@@ -59,11 +59,11 @@ def column_evidence(headers: DataFrame, records: DataFrame) -> DataFrame:
     )
     text, filled = F.col("value"), F.col("value") != ""
     money = parse_amount(text).isNotNull() & ~looks_like_reference(text)
+    cells = cells.withColumn("described", filled & dates.describes_itself(F.col("day")))
     seen = cells.select(
         "file_id", "position", "column", filled.alias("filled"),
-        (filled & dates.date_like(F.col("day"))).alias("date_like"),
-        (filled & money).alias("money_like"),
-        (filled & dates.describes_itself(F.col("day"))).alias("described"),
+        (filled & (F.col("described") | dates.numeric(F.col("day")))).alias("date_like"),
+        (filled & money).alias("money_like"), "described",
         (filled & dates.says_day_first(F.col("day"))).alias("day_first"),
         (filled & dates.says_month_first(F.col("day"))).alias("month_first"),
     )

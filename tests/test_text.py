@@ -118,3 +118,36 @@ def test_allocation_keeps_the_total(spark):
     got = [r[0] for r in rows.orderBy("i").select(scenario.allocate(F.col("u"), F.col("w"))).collect()]
     assert got == [shares for _, _, shares in SHARES]
     assert [sum(g) for g in got] == [units for units, _, _ in SHARES]
+
+
+def test_a_cell_is_looked_at_by_few_patterns(spark):
+    # every pattern costs a microsecond or more a cell, so a cell that says nothing must be done with after few
+    from tallystone.functions import dates
+    from tallystone.functions.text import normalise_description, parse_amount, strip
+
+    rows = spark.createDataFrame([("a",)], "a string")
+
+    def patterns(value):
+        plan = rows.select(value.alias("v"))._jdf.queryExecution().optimizedPlan().toString().lower()
+        return plan.count("regexp_") + plan.count("rlike(")
+
+    assert patterns(strip(F.col("a"))) == 0
+    assert patterns(parse_amount(F.col("a"))) <= 2
+    assert patterns(normalise_description(F.col("a"))) <= 20
+    assert patterns(dates.parse_date(F.col("a"), F.lit("DAY_FIRST"))) <= 18
+
+
+def test_odd_dates_and_amounts_read_as_ever(spark):
+    from tallystone.functions import dates
+    from tallystone.functions.text import parse_amount
+
+    rows = spark.createDataFrame([(t,) for t in (
+        "1/2/24", "1.2.0024", "1-2-199", "13/12/2024", "2024-01-005", "2024/1/5\n 9:15", "5 March 2024", "March 5 2024",
+        "2024 Jan 5", "5-Jan-69", "5-Jan-68", "(+5)", "+-5", "(5-)", "-5-", "5,-", ",+5", "1.0000001")], "t string")
+    got = rows.select("t", dates.parse_date(dates.clean(F.col("t")), F.lit("DAY_FIRST")).cast("string").alias("d"),
+                      parse_amount(F.col("t")).cast("double").alias("m")).collect()
+    assert {r.t: r.d for r in got if r.d} == {
+        "1/2/24": "2024-02-01", "1.2.0024": "2024-02-01", "1-2-199": "0199-02-01", "13/12/2024": "2024-12-13",
+        "2024-01-005": "2024-01-05", "5 March 2024": "2024-03-05", "2024 Jan 5": "2024-01-05",
+        "5-Jan-69": "1969-01-05", "5-Jan-68": "2068-01-05"}
+    assert {r.t: r.m for r in got if r.m is not None} == {"(+5)": -5, "+-5": -5, "(5-)": -5, "5,-": -5}
