@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tallystone.operators.ranking import row_numbers, running_last, running_total
+from tallystone.operators.ranking import row_numbers
 
 CHUNK_LINES = 1 << 16
 # A whole line that ends outside quotes, begun outside or inside them.
@@ -47,26 +48,63 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def mark_record_starts(lines: DataFrame) -> DataFrame:
-    """Adds ``starts``: false where a quoted field from above is still open.
+def number_records(lines: DataFrame) -> DataFrame:
+    """Adds ``starts``, false where a quoted field from above is still open, and ``record_no``.
 
     A line either leaves the quoting as it found it, turns it over, or settles it. The
     state above a line is what the last settling line left, turned over once for every
-    turning line since.
+    turning line since. A chunk of lines is read for both states it may begin in; which
+    one holds, and how many records begin before it, comes from one row per chunk.
     """
     from_outside = ~F.col("text").rlike(ENDS_OUTSIDE)
     from_inside = ~F.col("text").rlike(CLOSES_AND_ENDS_OUTSIDE)
-    judged = lines.withColumn("_o", from_outside).withColumn("_i", from_inside)
-    chunk = F.floor(F.col("line_no") / CHUNK_LINES)
-    turns = (F.col("_o") & ~F.col("_i")).cast("bigint")
-    counted = running_total(judged, ["file_id"], chunk, ["line_no"], turns, "_turns")
-    settled = F.when(
-        F.col("_o") == F.col("_i"), F.struct(F.col("_o").alias("open"), F.col("_turns").alias("turns"))
+    part = F.struct("file_id", F.floor(F.col("line_no") / CHUNK_LINES).alias("chunk"))
+    judged = lines.select(
+        part.alias("_part"), "line_no", "text", from_outside.alias("_o"), from_inside.alias("_i"))
+    upto = W.partitionBy("_part").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    above = W.partitionBy("_part").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    turn = (F.col("_o") & ~F.col("_i")).cast("bigint")
+    turned = judged.withColumn("_turn", turn).withColumn("_turns", F.sum("_turn").over(upto))
+    settled = F.when(F.col("_o") == F.col("_i"), F.struct("line_no", F.col("_o").alias("open"), F.col("_turns").alias("turns")))
+    placed = turned.withColumn("_settled", settled).withColumn("_last", F.max("_settled").over(above))
+    odd = (F.col("_turns") - F.col("_turn") - F.coalesce(F.col("_last.turns"), F.lit(0))) % 2 == 1
+    from_out = F.coalesce(F.col("_last.open"), F.lit(False)) == odd
+    both = placed.withColumn("_from_out", from_out).withColumn(
+        "_from_in", F.when(F.col("_last").isNull(), ~F.col("_from_out")).otherwise(F.col("_from_out")))
+    both = both.select(
+        "_part", "line_no", "text", "_turn", "_settled", "_from_out", "_from_in",
+        *[F.sum(F.col(s).cast("bigint")).over(upto).alias(f"{s}_no") for s in ("_from_out", "_from_in")])
+
+    chunks = both.groupBy("_part").agg(
+        F.sum("_turn").alias("turns"), F.max("_settled").alias("s"),
+        F.max("_from_out_no").alias("from_out"), F.max("_from_in_no").alias("from_in"))
+    order = W.partitionBy("_part.file_id").orderBy("_part.chunk")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.withColumn("upto", F.sum("turns").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    leaves = F.when(F.col("s").isNotNull(), F.struct(
+        F.col("_part.chunk").alias("chunk"),
+        (F.col("s.open") != ((F.col("turns") - F.col("s.turns")) % 2 == 1)).alias("open"), F.col("upto").alias("turns")))
+    chunks = chunks.withColumn("left", F.max(leaves).over(earlier))
+    inside = F.coalesce(F.col("left.open"), F.lit(False)) != (
+        (F.col("upto") - F.col("turns") - F.coalesce(F.col("left.turns"), F.lit(0))) % 2 == 1)
+    chunks = chunks.withColumn("inside", inside)
+    begun = F.sum(F.when(F.col("inside"), F.col("from_in")).otherwise(F.col("from_out"))).over(earlier)
+    chunks = chunks.select("_part", "inside", F.coalesce(begun, F.lit(0)).alias("begun")).filter("inside or begun <> 0")
+
+    l, r = both.alias("l"), chunks.alias("r")
+    known = l.join(r, F.col("l._part") == F.col("r._part"), "left").select("l.*", "r.inside", "r.begun")
+    held = F.coalesce("inside", F.lit(False))
+    return known.select(
+        F.col("_part.file_id").alias("file_id"), "line_no", "text",
+        F.when(held, F.col("_from_in")).otherwise(F.col("_from_out")).alias("starts"),
+        (F.coalesce("begun", F.lit(0)) + F.when(held, F.col("_from_in_no")).otherwise(F.col("_from_out_no")))
+        .cast("bigint").alias("record_no"),
     )
-    above = running_last(counted, ["file_id"], chunk, "line_no", settled, "_last", before=True)
-    turned = F.col("_turns") - turns - F.coalesce(F.col("_last.turns"), F.lit(0))
-    open_above = F.coalesce(F.col("_last.open"), F.lit(False)) != (turned % 2 == 1)
-    return above.select("file_id", "line_no", "text", (~open_above).alias("starts"))
+
+
+def mark_record_starts(lines: DataFrame) -> DataFrame:
+    """Adds ``starts``: false where a quoted field from above is still open."""
+    return number_records(lines).drop("record_no")
 
 
 def split_cells(record: Column) -> Column:
@@ -87,11 +125,7 @@ def split_cells(record: Column) -> Column:
 
 def records_from_lines(lines: DataFrame) -> DataFrame:
     """(file_id, record_no, line, cells); blank lines count as lines and yield nothing."""
-    marked = mark_record_starts(lines)
-    numbered = running_total(
-        marked, ["file_id"], F.floor(F.col("line_no") / CHUNK_LINES), ["line_no"],
-        F.col("starts").cast("bigint"), "record_no",
-    )
+    numbered = number_records(lines)
     # a group is one record: the lines its quoted fields span
     records = numbered.groupBy("file_id", "record_no").agg(
         F.min("line_no").alias("line"),

@@ -7,7 +7,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone.operators import importing, mapping
+from tallystone.operators import importing, mapping, ranking
 from tallystone.operators.ranking import row_numbers, running_last
 from tallystone.sources import annotated, bankfiles, stores
 
@@ -266,3 +266,38 @@ def test_annotation_file_without_a_column_is_refused(spark, tmp_path):
     headers, rows = bankfiles.split_header(bankfiles.records_from_lines(bankfiles.read_lines(spark, str(tmp_path))))
     refused = {r["file_id"].rsplit("/", 1)[1]: r["reason"] for r in annotated.refused_labelled_files(headers, rows).collect()}
     assert refused == {"a.csv": "required column missing: final_label", "b.csv": "no rows"}
+
+
+def test_crowded_keys_are_cut_and_null_keys_are_one_group(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(k, i, i % 3 == 0) for k in ("a", "b", None) for i in range(40)], "k string, id bigint, told boolean")
+    told = F.when(F.col("told"), F.col("id"))
+    chunk = F.floor(F.col("id") / 7)
+    for crowded in (0, 1 << 16):
+        monkeypatch.setattr(ranking, "CROWDED", crowded)
+        numbered = row_numbers(rows, ["k"], chunk, ["id"], "n").collect()
+        assert sorted(r["n"] for r in numbered) == sorted(list(range(1, 41)) * 3)
+        assert all(r["n"] == r["id"] + 1 for r in numbered)
+        last = running_last(rows, ["k"], chunk, "id", told, "v", before=True).collect()
+        assert all(r["v"] == (None if r["id"] == 0 else (r["id"] - 1) // 3 * 3) for r in last)
+
+
+def test_running_total_leaves_its_rows_where_the_window_put_them(spark):
+    rows = spark.range(1000).selectExpr("id % 7 as k", "id", "cast(id as string) as text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = row_numbers(rows, ["k"], F.floor(F.col("id") / 7), ["id"], "n")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # a null-safe match would deal all rows out again by coalesced keys
+    assert "hashpartitioning(coalesce(" not in plan and "hashpartitioning(_part" in plan
+
+
+def test_quotes_open_across_many_chunks(spark, monkeypatch):
+    body = ['a,"x', "y", 'z, ""', "w", 'e",1', "b,c", 'd,"f', "g", 'h"', "", "i,j", 'k,"l', "m", "n", 'o",p', "q,r"] * 3
+    lines = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(body)], "file_id string, line_no bigint, text string")
+    want = [(r["line"], r["cells"]) for r in bankfiles.records_from_lines(lines).orderBy("line").collect()]
+    assert [c for _, c in want] == [c for c in csv.reader(io.StringIO("\n".join(body))) if c]
+    for size in (1, 2, 3, 5):
+        monkeypatch.setattr(bankfiles, "CHUNK_LINES", size)
+        assert [(r["line"], r["cells"]) for r in bankfiles.records_from_lines(lines).orderBy("line").collect()] == want
