@@ -13,6 +13,7 @@ bundle in the same order and are summed over the links of each document.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tallystone.llm.store import written
 
 BUNDLE_BYTES = 1 << 21  # of the texts of a bundle; a longer text is a bundle of its own
-REMEMBERED = 400_000  # segments whose alignment a task remembers
+REMEMBERED = 200_000  # segments whose alignment a task remembers between bundles
 TOGETHER = 8192  # segments that are aligned one behind the other
 MARK = "▁"
 
@@ -74,6 +75,7 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold memory
         self.first = Tokenizer.from_file(byte_vocabulary)
         self.first.encode_special_tokens = True  # their strings in a text are plain text
         self.second = sentencepiece.SentencePieceProcessor(model_file=piece_vocabulary)
@@ -100,6 +102,19 @@ class Aligner:
         self.text: list[bytes | None] = []  # its groups as written; None where the bytes differ
         self.pairs = array("q")  # of all segments, one after the other
 
+    def _keep(self, parts: list[str]) -> None:
+        """Forgets all segments but ``parts``."""
+        old = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        n_links = np.array(self.n_links)
+        long = n_links[old]
+        stop = np.cumsum(long)
+        pairs = np.array(self.pairs)[np.repeat((np.cumsum(n_links) - n_links)[old] - stop + long, long) + np.arange(int(long.sum()))]
+        text = list(map(self.text.__getitem__, old.tolist()))
+        counts = [np.array(held)[old] for held in (self.n_a, self.n_b, self.n_groups, self.n_links)]
+        self._forget()
+        self._note(parts, *counts, text)
+        self.pairs.frombytes(pairs.tobytes())
+
     def learn(self, parts: list[str]) -> None:
         """Aligns new segments, one behind the other as if they were one text: both lists have an end behind each."""
         spaced = [" " + part for part in parts]
@@ -141,23 +156,27 @@ class Aligner:
     def bundle(self, texts: list[str]) -> tuple:
         """Rows of the texts of a bundle, their distinct pairs by place and how often, then the bundle's pairs and how many texts hold each."""
         cut = [segments(text) if text else [] for text in texts]
-        if len(self.number) > REMEMBERED:
-            self._forget()
-        new = list(set().union(*cut).difference(self.number))
+        asked = set().union(*cut)
+        new = list(asked.difference(self.number))
+        if len(self.number) + len(new) > REMEMBERED:  # those that come again stay
+            self._keep(list(asked.intersection(self.number)))
+        del asked
         for k in range(0, len(new), TOGETHER):
             self.learn(new[k : k + TOGETHER])
-        numbers = [[self.number[part] for part in parts] for parts in cut]
+        numbers = [list(map(self.number.__getitem__, parts)) for parts in cut]
+        del cut, new
         text = self.text
         written_groups: list[str] = []
         for k, own in enumerate(numbers):
-            found = [text[x] for x in own]
+            found = list(map(text.__getitem__, own))
             if not own or None in found:
                 numbers[k] = []  # the bytes of one of the vocabularies are not those of the text
                 written_groups.append("")
             else:
                 written_groups.append(hashlib.sha256(b";".join(found)).hexdigest())
         size = np.array([len(own) for own in numbers], np.int64)
-        flat = np.fromiter((x for own in numbers for x in own), np.int64, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(size.sum()))
+        del numbers
         row = np.repeat(np.arange(len(texts)), size)
         sums = [np.bincount(row, np.array(held)[flat], len(texts)).astype(np.int64) for held in (self.n_a, self.n_b, self.n_groups, self.n_links)]
         # each segment of a text once, with how often it comes

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -142,6 +143,22 @@ def test_alignment_against_the_definition(spark, monkeypatch, chars):
         assert r.n_best == sum(counts[x] == best[x[0]] for x in linked)
 
 
+def test_an_aligner_keeps_only_segments_that_come_again(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 60)
+    bundles = [[f"the whole {k} of it bytes{k * 7 + i} \u0301x" for i in range(40)] for k in range(6)] + [more_odd_texts()]
+    using = alignment.Aligner(BYTES, PIECES)
+    for k, texts in enumerate(bundles):
+        held = using.number.keys() & {"the", "whole", "it"}
+        learned, learn = [], alignment.Aligner.learn
+        monkeypatch.setattr(alignment.Aligner, "learn", lambda self, parts: (learned.extend(parts), learn(self, parts)))
+        found = using.bundle(texts)
+        monkeypatch.setattr(alignment.Aligner, "learn", learn)
+        assert not held & set(learned) and len(held) == (3 if k else 0)
+        assert len(using.number) <= 60 + len(set(learned)) and len(using.text) == len(using.number)
+        for x, y in zip(found, alignment.Aligner(BYTES, PIECES).bundle(texts)):
+            assert np.array_equal(np.asarray(x), np.asarray(y))
+
+
 def test_alignment_of_odd_tables(spark):
     docs = documents(spark, [(None, "a b", "s"), (1, None, "s"), (1, "a b", "s"), (1, "a b", None)])
     found = sorted(alignment.alignment_report(docs, BYTES, PIECES).collect(), key=lambda r: (r.n_a, r.doc_id is None))
