@@ -69,3 +69,15 @@ def test_late_charges_are_counted(spark, tmp_path):
     assert [(r["seq_left"], r["seq_right"], r["minutes_apart"]) for r in pairs] == [(1, 2, 4)]
     put([(4, 12)])
     assert flows.rows_too_late(go()) > 0
+
+
+def test_minutes_of_a_full_day_meet_only_their_blocks(spark, capsys):
+    """Every pair one to five minutes apart, across blocks and once each, found by equality of blocks."""
+    charges = spark.range(40).select(
+        F.col("id").alias("seq"), F.lit("SHOP").alias("merchant"), F.lit(5).cast("decimal(18,2)").alias("amount"),
+        F.lit("2024-01-01").cast("date").alias("posted_on"), F.col("id").alias("minute_of_day"))
+    pairs = flows.duplicate_minutes(flows.minute_charges(charges), flows.minute_charges(charges))
+    found = sorted((r.seq_left, r.seq_right, r.minutes_apart) for r in pairs.collect())
+    assert found == sorted((i, j, j - i) for i in range(40) for j in range(i + 1, min(i + 6, 40)))
+    pairs.explain()
+    assert "block" in capsys.readouterr().out
