@@ -8,14 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.session import shared_folder
-
-
-def written(frame: DataFrame, purpose: str) -> DataFrame:
-    """The frame as a table in the shared folder: computed once, and safe when executors go."""
-    path = shared_folder(frame.sparkSession, purpose)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+from tallystone.session import written as written
 
 
 def unused(frame: DataFrame, name: str) -> str:

@@ -8,6 +8,7 @@ from tallystone.functions import dates
 from tallystone.operators import scenario
 from tallystone.plans.derived import duck, view
 from tallystone.plans.registry import query
+from tallystone.session import written
 
 MONTHS = 36
 BOUNDS = (20000, 300000)
@@ -361,7 +362,7 @@ select pair_id, {_twelfth("g")} as gap, lever, feasible, required_amount, requir
 select f.*, greatest(target12 - achieved12, 0) as g, s.equivalent_salary, d.required_days, d.feasible as dfeasible
 from final f join sal s using (pair_id) join days d using (pair_id)""")))
 def k12(spark, sf):
-    pairs = _pairs(spark, sf)
+    pairs = written(_pairs(spark, sf), "pairs")  # all three below start from it
     return scenario.negotiation_levers(
         pairs, scenario.equivalent_salary(pairs, *BOUNDS, MONTHS), scenario.remote_days(pairs))
 

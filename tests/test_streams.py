@@ -5,6 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tallystone.plans.catalogue import QUERIES
 from tallystone.streaming import flows
 
 SCHEMA = ("id string, account_id bigint, file_id string, line bigint, posted_on date, merchant string,"
@@ -81,3 +82,10 @@ def test_minutes_of_a_full_day_meet_only_their_blocks(spark, capsys):
     assert found == sorted((i, j, j - i) for i in range(40) for j in range(i + 1, min(i + 6, 40)))
     pairs.explain()
     assert "block" in capsys.readouterr().out
+
+
+def test_levers_start_from_pairs_computed_once(spark, tmp_path):
+    spark.range(1, 6).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    levers = QUERIES["k12_negotiation_levers"](spark, str(tmp_path))
+    assert not [path for path in levers.inputFiles() if "customer.parquet" in path]
+    assert levers.groupBy("pair_id").count().filter("count = 4").count() == 5
