@@ -47,6 +47,12 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def portions(frame: DataFrame, rows: int) -> DataFrame:
+    """The frame over so many tasks that none has more than about ``rows`` rows, whatever the input's size."""
+    wanted = -(-frame.count() // rows)
+    return frame if frame.rdd.getNumPartitions() >= wanted else frame.repartition(wanted)
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """A scan over enough tasks: one small file would otherwise keep one core busy.
 

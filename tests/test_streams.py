@@ -6,6 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tallystone.plans.catalogue import QUERIES
+from tallystone.session import portions
 from tallystone.streaming import flows
 
 SCHEMA = ("id string, account_id bigint, file_id string, line bigint, posted_on date, merchant string,"
@@ -84,6 +85,13 @@ def test_minutes_of_a_full_day_meet_only_their_blocks(spark, capsys):
     assert "block" in capsys.readouterr().out
 
 
+def test_large_tables_are_cut_by_rows(spark):
+    cut = portions(spark.range(0, 1000, 1, 2), 100)
+    assert cut.rdd.getNumPartitions() == 10 and cut.distinct().count() == 1000
+    assert portions(spark.range(0, 1000, 1, 2), 500).rdd.getNumPartitions() == 2
+    assert portions(spark.range(0), 500).count() == 0
+
+
 def test_levers_start_from_pairs_computed_once(spark, tmp_path):
     spark.range(1, 6).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
     levers = QUERIES["k12_negotiation_levers"](spark, str(tmp_path))
