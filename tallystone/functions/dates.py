@@ -10,7 +10,9 @@ from tallystone.functions.text import strip
 # The time suffix, and the shapes a date may take once it is gone.
 TIME_SUFFIX = r"[ T]\d{1,2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
 NUMERIC = r"^(\d{1,4})[/.\-](\d{1,2})[/.\-](\d{2,4})$"
-YEAR_FIRST = r"^\d{4}(?:-\d{1,2}-|/\d{1,2}/)\d{1,2}$"
+# How a date begins whose month has a name or whose day of one digit stands behind its year.
+NAMED_OR_SHORT = r"(?U)^(?:[0-9]{1,4}[-/\s]|[A-Za-z]{3,9}\s+[0-9])"
+YEAR_FIRST_SHORT_DAY = r"^\d{4}(?:-\d{1,2}-|/\d{1,2}/)\d\z"
 # A year of four digits in front, with a day of two digits at most or any.
 YEAR_LED = r"^\d{4}[/.\-]\d{1,2}[/.\-]\d{2,4}$"
 YEAR_MONTH_DAY = r"^\d{4}(?:[/.\-]\d{1,2}[/.\-]\d{2}|-\d{1,2}-\d|/\d{1,2}/\d)\z"
@@ -40,7 +42,10 @@ ISO, MONTH_FIRST, DAY_FIRST, AMBIGUOUS = "ISO", "MONTH_FIRST", "DAY_FIRST", "AMB
 
 
 def clean(raw: Column) -> Column:
-    text = strip(raw)
+    return without_time(strip(raw))
+
+
+def without_time(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(":")), F.regexp_replace(text, TIME_SUFFIX, "")).otherwise(text)
 
 
@@ -87,17 +92,24 @@ def date_error(text: Column, order: Column, parsed: Column) -> Column:
 
 def describes_itself(text: Column) -> Column:
     """The shape of the text says which part is which."""
-    return (
-        text.rlike(YEAR_LED)
-        | (text.rlike(YEAR_FIRST) & _numeric_date(text, F.lit(ISO)).isNotNull())
-        | _named_date(text).isNotNull()
-    )
+    return year_led(text) | reads_without_order(text)
+
+
+def reads_without_order(text: Column) -> Column:
+    """A date beside the numeric shapes that end in two digits: a day of one digit behind its year, or a named month."""
+    return text.rlike(NAMED_OR_SHORT) & (
+        (text.rlike(YEAR_FIRST_SHORT_DAY) & F.translate(text, "/", "-").try_cast("date").isNotNull())
+        | _named_date(text).isNotNull())
 
 
 def numeric(text: Column) -> Column:
     return text.rlike(NUMERIC)
 
 
+def year_led(text: Column) -> Column:
+    return text.rlike(YEAR_LED)
+
+
 def date_like(text: Column) -> Column:
     return numeric(text) | describes_itself(text)
 

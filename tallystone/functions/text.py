@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 MONEY_NOISE = "$£€¥" + WHITE
 _DIGITS = r"[0-9,]*\.?[0-9,]*[0-9],*"
-SIGNED_NUMBER = f"^(?:\x01?{_DIGITS}-|\x01?-{_DIGITS}|\x01\\+?{_DIGITS}|\\+?,*[-\x01]?{_DIGITS})$"
+# more than six decimals are allowed only where the others are zero
+SIGNED_NUMBER = (f"^(?!.*\\.(?:,*[0-9]){{6}}[0-9,]*[1-9])"
+                 f"(?:\x01?{_DIGITS}-|\x01?-{_DIGITS}|\x01\\+?{_DIGITS}|\\+?,*[-\x01]?{_DIGITS})$")
+PLAIN_NUMBER = r"^-?[0-9]{1,20}(?:\.[0-9]{1,6})?\z"
+AMOUNT_CHARACTERS = f"^[-0-9()\x01+,.{MONEY_NOISE}]*+\\z"
 PROCESSOR_PREFIX = r"(?iU)^(SQ|TST|SP|PAYPAL|PP|IC|WPY|EB)\s*\*\s*"
 EMBEDDED_DATE = r"(?U)(?<=\S)\s+\d{1,2}[/-]\d{1,2}([/-]\d{2,4})?\s*$"
 TRAILING_STORE = r"(?U)(?<=\S)\s*#\s*\d+\s*$"
 TRAILING_DIGITS = r"(?U)(?<=\S)\s+\d{2,}\s*$"
 COUNTERPARTY = r"(?is)^(.*?\b(?:from|to)\b)\s*(.*)$"
 BANK_REFERENCE = r"\s+([A-Z0-9]{6,})$"
-TOO_FINE = r"^.*\.\d{6}\d*[1-9]\d*$"
 NUMBER = (
     r"(?<![\w.])(?:\$\s*)?(-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)%?(?!\w|\.\d|,\d)"
 )
@@ -28,30 +31,47 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
 
+def strip_cell(text: Column) -> Column:
+    """The same for a column that is there already, as most cells have a plain character at both ends."""
+    def plain(end):
+        return F.ascii(end).between(33, 126)
+
+    return F.when(plain(F.left(text, F.lit(1))) & plain(F.right(text, F.lit(1))), text).otherwise(strip(text))
+
+
 def blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is made once, however often the use looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_amount(raw: Column, decimal_comma: bool = False) -> Column:
-    """Exact decimal from a bank cell; null where the cell is not an amount.
+    """Exact decimal from a bank cell; null where the cell is not an amount."""
+    return stripped_amount(strip(raw), decimal_comma)
 
-    Brackets become the mark \\x01. One pattern then says whether the text is a number
-    with one sign at most, before or behind it, so a cell that is no amount costs one look.
+
+def stripped_amount(text: Column, decimal_comma: bool = False) -> Column:
+    """The same for a cell already stripped.
+
+    A plain number is read as it stands. In others brackets become the mark \\x01. One pattern
+    then says whether the text is a number with one sign at most, before or behind it.
     """
-    text = strip(raw)
     bracketed = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
     marked = F.when(bracketed, F.concat(F.lit("\x01"), F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
     # a decimal comma and the points between groups change places
     bare = F.translate(marked, (",." if decimal_comma else "") + MONEY_NOISE, ".," if decimal_comma else "")
-    # one element, so that the text above is made once for all that looks at it
-    return F.get(F.transform(F.array(bare), _signed_number), F.lit(0))
+    other = once(bare, _signed_number)
+    return other if decimal_comma else F.when(text.rlike(PLAIN_NUMBER), text.try_cast(AMOUNT_TYPE)).otherwise(other)
 
 
 def _signed_number(text: Column) -> Column:
     less = F.contains(text, F.lit("-")) | F.contains(text, F.lit("\x01"))
     number = F.concat(F.when(less, "-").otherwise(""), F.translate(text, "\x01+-,", ""))
     # more decimals than the type holds are refused, never rounded away
-    return F.when(text.rlike(SIGNED_NUMBER) & ~F.translate(text, "\x01+-,", "").rlike(TOO_FINE), number.try_cast(AMOUNT_TYPE))
+    return F.when(text.rlike(SIGNED_NUMBER), number.try_cast(AMOUNT_TYPE))
 
 
 def normalise_description(raw: Column) -> Column:
@@ -59,14 +79,17 @@ def normalise_description(raw: Column) -> Column:
 
     A suffix goes only where something stands before it, which the patterns ask for.
     """
-    whole = F.nullif(F.upper(strip(raw)), F.lit(""))
+    return once(F.upper(strip(raw)), _merchant_key)
+
+
+def _merchant_key(whole: Column) -> Column:
     text = whole
     for pattern, replacement in (
         (PROCESSOR_PREFIX, ""), (EMBEDDED_DATE, ""), (TRAILING_STORE, ""), (TRAILING_DIGITS, ""),
         (r"(?U)\s{2,}", " "),
     ):
         text = F.regexp_replace(text, pattern, replacement)
-    return F.coalesce(F.nullif(strip(text), F.lit("")), whole)
+    return F.when(whole != "", once(strip(text), lambda key: F.when(key != "", key).otherwise(whole)))
 
 
 def redact(description: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from tallystone.functions import dates
 from tallystone.functions.identity import cents, fingerprint
-from tallystone.functions.text import blank, normalise_description, parse_amount, strip
+from tallystone.functions.text import blank, normalise_description, strip_cell, stripped_amount
 from tallystone.operators.ranking import row_numbers, running_total
 
 LINES_NAMED = 10  # fixed value: offending lines a refusal names
@@ -20,10 +20,19 @@ def with_signed_amount(rows: DataFrame) -> DataFrame:
 
     Reads t_amount, t_debit, t_credit and the flags uses_amount and outflow_positive.
     """
+    stripped = rows.withColumns({f"t_{f}": strip_cell(F.col(f"t_{f}")) for f in ("amount", "debit", "credit")})
+    return _signed_amount(stripped)
+
+
+def _signed_amount(rows: DataFrame) -> DataFrame:
+    """The same for cells already stripped."""
+    def filled(name):
+        return F.coalesce(F.col(name), F.lit("")) != ""
+
     parsed = rows.withColumns({
-        "_signed": parse_amount(F.col("t_amount")), "_out": parse_amount(F.col("t_debit")),
-        "_in": parse_amount(F.col("t_credit")), "_has_amount": ~blank(F.col("t_amount")),
-        "_has_out": ~blank(F.col("t_debit")), "_has_in": ~blank(F.col("t_credit")),
+        "_signed": stripped_amount(F.col("t_amount")), "_out": stripped_amount(F.col("t_debit")),
+        "_in": stripped_amount(F.col("t_credit")), "_has_amount": filled("t_amount"),
+        "_has_out": filled("t_debit"), "_has_in": filled("t_credit"),
     })
     out, one = F.col("_out"), F.col("uses_amount")
     split = F.when(F.col("_has_out") & F.col("_has_in"), F.lit(None)).when(
@@ -54,31 +63,25 @@ def ragged_error(cells: Column, header: Column) -> Column:
 def examine(records: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:
     """Every record of a mapped file as blank, failed with its first reason, or parsed."""
     fields = ["date", "description", "merchant", "external_id", "amount", "debit", "credit"]
-    plan = mapping.filter("mapped").join(headers, "file_id")
-    joined = records.join(plan.select(
-        "file_id", "header", "date_order", "amount_sign", *[F.col(f).alias(f"m_{f}") for f in fields]
-    ), "file_id")
-
-    def cell(field):
-        at = F.array_position("header", F.col(f"m_{field}")).cast("int")
-        return F.when(at > 0, F.get("cells", at - 1))
+    # where each field stands is found once a file
+    plan = mapping.filter("mapped").join(headers, "file_id").select(
+        "file_id", "header", "date_order", "amount_sign", F.col("amount").isNotNull().alias("uses_amount"),
+        *[F.nullif(F.array_position("header", F.col(f)), F.lit(0)).cast("int").alias(f"at_{f}") for f in fields])
+    joined = records.join(plan, "file_id")
 
     raw = joined.select(
-        "file_id", "line", "cells", "date_order", "m_amount",
-        (F.col("m_amount").isNotNull() & (F.col("amount_sign") == "outflow-negative")).alias("face_value"),
+        "file_id", "line", "cells", "date_order", "uses_amount",
+        (F.col("uses_amount") & (F.col("amount_sign") == "outflow-negative")).alias("face_value"),
         (F.col("amount_sign") == "outflow-positive").alias("outflow_positive"),
         ragged_error(F.col("cells"), F.col("header")).alias("ragged"),
-        *[cell(f).alias(f"t_{f}") for f in fields],
+        F.transform(F.array(*[F.get("cells", F.col(f"at_{f}") - 1) for f in fields]), strip_cell).alias("stripped"),
     )
-    raw = raw.withColumn("day", dates.clean(F.col("t_date")))
-    empty = blank(F.col("t_date"))
-    for field in fields[1:]:
-        empty = empty & blank(F.col(f"t_{field}"))
-    text = F.coalesce(F.nullif(strip(F.col("t_description")), F.lit("")),
-                      F.nullif(strip(F.col("t_merchant")), F.lit("")))
-    staged = with_signed_amount(raw.select(
-        "*", empty.alias("blank"), text.alias("said"),
-        F.col("m_amount").isNotNull().alias("uses_amount"),
+    raw = raw.select("*", *[F.get("stripped", F.lit(i)).alias(f"t_{f}") for i, f in enumerate(fields)]).drop("stripped")
+    raw = raw.withColumn("day", dates.without_time(F.col("t_date")))
+    filled = F.coalesce(*[F.nullif(F.col(f"t_{f}"), F.lit("")) for f in fields])
+    text = F.coalesce(F.nullif(F.col("t_description"), F.lit("")), F.nullif(F.col("t_merchant"), F.lit("")))
+    staged = _signed_amount(raw.select(
+        "*", filled.isNull().alias("blank"), text.alias("said"),
         dates.parse_date(F.col("day"), F.col("date_order")).alias("posted_on"),
     ))
     why = F.coalesce(
@@ -104,7 +107,7 @@ def examine(records: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataF
         F.when(good, F.col("said")).alias("description"),
         F.when(good, normalise_description(F.col("said"))).alias("merchant"),
         F.when(good, F.col("value")).alias("amount"),
-        F.when(good, F.nullif(strip(F.col("given_id")), F.lit(""))).alias("external_id"),
+        F.when(good, F.nullif(F.col("given_id"), F.lit(""))).alias("external_id"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions import dates
-from tallystone.functions.text import parse_amount, strip
+from tallystone.functions.text import AMOUNT_CHARACTERS, strip, strip_cell, stripped_amount
 from tallystone.vocab import HEADER_ALIASES
 
 FIELDS = ["date", "description", "merchant", "external_id", "amount", "debit", "credit"]
@@ -38,47 +38,52 @@ def header_fields(headers: DataFrame) -> DataFrame:
 def looks_like_reference(text: Column) -> Column:
     digits = F.regexp_replace(text, r"[^\p{Nd}]", "")
     return (
-        (F.length(digits) >= 9)
-        & ~F.contains(text, F.lit("."))
+        ~F.contains(text, F.lit("."))
         & ~F.contains(text, F.lit(","))
         & ~(text.startswith("-") | text.startswith("("))
+        & (F.length(digits) >= 9)
     )
 
 
 def column_evidence(headers: DataFrame, records: DataFrame) -> DataFrame:
     """What the values of each column say, over all rows: dates, money, date order.
 
-    One aggregation with sums per task, so a file of any length is no one task's work.
+    Cells are judged where they are read and summed per file and place, so records meet
+    no join, a file of any length is no one task's work, and headers meet one row a place.
     """
-    cells = (
-        records.select("file_id", "cells").join(headers, "file_id")
-        .select("file_id", "cells", F.posexplode("header").alias("position", "column"))
-        .select("file_id", "position", "column",
-                strip(F.coalesce(F.get("cells", F.col("position")), F.lit(""))).alias("value"))
-        .withColumn("day", dates.clean(F.col("value")))
-    )
-    text, filled = F.col("value"), F.col("value") != ""
-    money = parse_amount(text).isNotNull() & ~looks_like_reference(text)
-    cells = cells.withColumn("described", filled & dates.describes_itself(F.col("day")))
-    seen = cells.select(
-        "file_id", "position", "column", filled.alias("filled"),
-        (filled & (F.col("described") | dates.numeric(F.col("day")))).alias("date_like"),
-        (filled & money).alias("money_like"), "described",
-        (filled & dates.says_day_first(F.col("day"))).alias("day_first"),
-        (filled & dates.says_month_first(F.col("day"))).alias("month_first"),
-    )
+    cells = records.select("file_id", F.posexplode_outer("cells").alias("position", "cell")).select(
+        "file_id", "position", strip_cell(F.coalesce("cell", F.lit(""))).alias("value"))
+    seen = cells.select("*", dates.without_time(F.col("value")).alias("day"))
+    # every date of digits that shows its order is of the numeric shape, and neither is an amount
+    seen = seen.select("*", dates.numeric(F.col("day")).alias("numeric"))
+    seen = seen.select("*", F.when(F.col("numeric"), dates.year_led(F.col("day"))).otherwise(
+        dates.reads_without_order(F.col("day"))).alias("described"))
+    text, numeric = F.col("value"), F.col("numeric")
+    date_like = numeric | F.col("described")
+    money = ~date_like & text.rlike(AMOUNT_CHARACTERS) & stripped_amount(text).isNotNull() & ~looks_like_reference(text)
+    counts, signs = ["filled", "date_like", "money_like"], ["described", "day_first", "month_first"]
+    counted = seen.select(
+        "file_id", "position", (text != "").alias("filled"), date_like.alias("date_like"),
+        money.alias("money_like"), "described",
+        (numeric & dates.says_day_first(F.col("day"))).alias("day_first"),
+        (numeric & dates.says_month_first(F.col("day"))).alias("month_first"),
+    ).groupBy("file_id", "position").agg(
+        *[F.count_if(c).alias(c) for c in counts], *[F.bool_or(c).alias(c) for c in signs])
+    # one entry for each place of the file's longest record
+    places = counted.groupBy("file_id").agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("position").isNotNull(), F.struct("position", F.struct(*counts, *signs))))).alias("places"))
+    facts = headers.join(places, "file_id").select(
+        "file_id", "places", F.posexplode("header").alias("position", "column")
+    ).select("file_id", "position", "column", F.try_element_at("places", F.col("position")).alias("at"))
 
     def most(name):
-        seen_values = F.count_if(F.col("filled"))
-        return (seen_values > 0) & (F.count_if(F.col(name)) * 10 >= seen_values * 7)
-
-    return seen.groupBy("file_id", "position", "column").agg(
-        most("date_like").alias("holds_dates"),
-        most("money_like").alias("holds_money"),
-        dates.column_order(
-            F.bool_or("day_first"), F.bool_or("month_first"), F.bool_or("described")
-        ).alias("date_order"),
-    )
+        return F.coalesce((F.col("at.filled") > 0) & (F.col(f"at.{name}") * 10 >= F.col("at.filled") * 7), F.lit(False))
+
+    return facts.select(
+        "file_id", "position", "column",
+        most("date_like").alias("holds_dates"), most("money_like").alias("holds_money"),
+        dates.column_order(*[F.col(f"at.{sign}") for sign in ("day_first", "month_first", "described")]).alias("date_order"),
+    ).dropDuplicates(["file_id", "position", "column"])
 
 
 def detect_mapping(headers: DataFrame, records: DataFrame) -> DataFrame:

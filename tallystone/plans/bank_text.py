@@ -74,43 +74,61 @@ def bank_headers(rows: DataFrame) -> DataFrame:
 
 
 def bank_records(rows: DataFrame) -> DataFrame:
-    """Statement rows as (file_id, line, cells) with faults written into the text."""
-    fault, shape = F.col("fault"), F.col("shape")
-    empty = F.lit("")
-    day = F.col("posted_on")
-
-    def dated(pattern):
-        return F.when(fault == "blank", empty).when(fault == "date", "PENDING").otherwise(
-            F.date_format(day.cast("timestamp"), pattern)
-        )
+    """Statement rows as (file_id, line, cells) with faults written into the text.
 
-    text = F.when(fault.isin("blank", "description"), " ").otherwise(
-        F.concat(F.lit("SQ *"), F.col("merchant"), F.lit(" #"), F.col("part_id").cast("string"))
+    Each kind of cell is a column of its own before the shapes pick theirs, which keeps
+    the generated code small enough to be compiled.
+    """
+    fault, shape, day = F.col("fault"), F.col("shape"), F.col("posted_on")
+    empty = F.lit("")
+    blank, unread = fault == "blank", fault == "amount"
+    at = F.col("_at")
+
+    def written_as(pattern):
+        return F.date_format(at, pattern)
+
+    # a day of twelve at most, where day and month cannot be told apart
+    unclear = F.make_date(F.year(day), F.month(day), F.pmod(F.col("part_id"), F.lit(12)).cast("int") + 1)
+    first = (
+        F.when(shape.isin(0, 4), written_as("MM/dd/yyyy"))
+        .when(shape.isin(2, 3), written_as("dd MMM yyyy"))
+        .when(F.coalesce(shape != 5, F.lit(True)), written_as("dd/MM/yyyy"))
     )
-    written = F.when(F.col("flipped"), -F.col("amount")).otherwise(F.col("amount"))
-    signed = F.when(fault == "blank", empty).when(fault == "amount", "OOPS").otherwise(
-        written.cast("string")
+    second = F.when(shape == 2, written_as("yyyy-MM-dd HH:mm:ss")).when(shape == 3, written_as("MMM d, yyyy"))
+    timed = rows.select(
+        "file_id", "account_id", "line", "fault", "shape", "merchant", "part_id", "amount",
+        F.when(F.col("flipped"), -F.col("amount")).otherwise(F.col("amount")).cast("string").alias("_signed"),
+        F.abs("amount").cast("string").alias("_size"),
+        F.when(F.coalesce(shape.isin(0, 1, 2, 3, 4, 5), F.lit(False)), day).otherwise(unclear).cast("timestamp").alias("_at"),
+    )
+
+    def dated(text):
+        return F.when(blank, empty).when(fault == "date", "PENDING").otherwise(text)
+
+    parts = timed.select(
+        "file_id", "account_id", "line", "fault", "shape",
+        dated(first).alias("_first"), dated(second).alias("_second"),
+        F.when(fault.isin("blank", "description"), " ").otherwise(
+            F.concat(F.lit("SQ *"), F.col("merchant"), F.lit(" #"), F.col("part_id").cast("string"))
+        ).alias("_text"),
+        F.when(blank, empty).when(unread, "OOPS").otherwise(F.col("_signed")).alias("_signed"),
+        F.when(blank, empty).when(unread, "OOPS").when(
+            (F.col("amount") < 0) | (fault == "both"), F.col("_size")).otherwise(empty).alias("_out"),
+        F.when(blank | unread, empty).when(
+            (F.col("amount") > 0) | (fault == "both"), F.col("_size")).otherwise(empty).alias("_into"),
     )
-    size = F.abs("amount").cast("string")
-    out = F.when(fault == "blank", empty).when(fault == "amount", "OOPS").when(
-        (F.col("amount") < 0) | (fault == "both"), size
-    ).otherwise(empty)
-    into = F.when(fault.isin("blank", "amount"), empty).when(
-        (F.col("amount") > 0) | (fault == "both"), size
-    ).otherwise(empty)
-    low_day = F.date_format(F.make_date(F.year(day), F.month(day), F.pmod(F.col("part_id"), F.lit(12)).cast("int") + 1).cast("timestamp"), "dd/MM/yyyy")
-    unclear = F.when(fault == "blank", empty).when(fault == "date", "PENDING").otherwise(low_day)
-    cells = (
-        F.when(shape == 0, F.array(dated("MM/dd/yyyy"), text, signed))
-        .when(shape == 1, F.array(dated("dd/MM/yyyy"), text, out, into))
-        .when(shape == 2, F.array(dated("dd MMM yyyy"), dated("yyyy-MM-dd HH:mm:ss"), text, signed, F.lit("1")))
-        .when(shape == 3, F.array(dated("dd MMM yyyy"), text, out, into, dated("MMM d, yyyy")))
-        .when(shape == 4, F.array(dated("MM/dd/yyyy"), text, signed, signed))
-        .when(shape == 5, F.array(text, text, signed))
-        .otherwise(F.array(unclear, text, signed))
+    cells = parts.select(
+        "file_id", "account_id", "line", "fault",
+        F.when(shape == 0, F.array("_first", "_text", "_signed"))
+        .when(shape == 1, F.array("_first", "_text", "_out", "_into"))
+        .when(shape == 2, F.array("_first", "_second", "_text", "_signed", F.lit("1")))
+        .when(shape == 3, F.array("_first", "_text", "_out", "_into", "_second"))
+        .when(shape == 4, F.array("_first", "_text", "_signed", "_signed"))
+        .when(shape == 5, F.array("_text", "_text", "_signed"))
+        .otherwise(F.array("_first", "_text", "_signed")).alias("_cells"),
     )
-    cells = F.when(fault == "surplus", F.concat(cells, F.array(F.lit("extra")))).when(
-        fault == "short", F.slice(cells, F.lit(1), F.size(cells) - 1)
-    ).otherwise(cells)
+    ragged = F.when(fault == "surplus", F.concat("_cells", F.array(F.lit("extra")))).when(
+        fault == "short", F.slice("_cells", F.lit(1), F.size("_cells") - 1)
+    ).otherwise(F.col("_cells"))
     # rendered once, as if read from a file: the generator stops the text being re-derived
-    return rows.select("file_id", "account_id", "line", F.explode(F.array(cells)).alias("cells"))
+    return cells.select("file_id", "account_id", "line", F.explode(F.array(ragged)).alias("cells"))

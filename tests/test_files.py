@@ -301,3 +301,47 @@ def test_quotes_open_across_many_chunks(spark, monkeypatch):
     for size in (1, 2, 3, 5):
         monkeypatch.setattr(bankfiles, "CHUNK_LINES", size)
         assert [(r["line"], r["cells"]) for r in bankfiles.records_from_lines(lines).orderBy("line").collect()] == want
+
+
+def test_statement_cells_are_judged_by_compiled_code(spark, tmp_path):
+    # a method of more than 8,000 bytes is never compiled by the JVM and runs many times slower
+    from tallystone.plans import bank_text
+
+    rows = spark.createDataFrame(
+        [("f", 1, 2, 0, "fine", "SHOP", 3, False, "2024-01-31", "4.00")],
+        "file_id string, account_id long, line long, shape long, fault string, merchant string, part_id long,"
+        " flipped boolean, day string, size string",
+    ).withColumns({"posted_on": F.to_date("day"), "amount": F.col("size").cast("decimal(18,2)")})
+    headers, records = bank_text.bank_headers(rows), bank_text.bank_records(rows)
+    found = mapping.detect_mapping(headers, records).withColumn("amount_sign", F.lit("outflow-negative"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        examined = importing.examine(records, headers, found)
+        plan = examined._jdf.queryExecution().executedPlan()
+        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+        stages = getattr(debug, "MODULE$").codegenStringSeq(plan)
+        assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_records_meet_the_headers_only_after_their_cells_are_summed(spark):
+    rows = spark.createDataFrame(
+        [("a", ["2024-1-5", "(3.00)", "x", "7"]), ("a", ["13/01/2024", "123456789"]), ("a", None), ("a", []),
+         ("b", None), ("c", ["1"]), (None, ["1"]), ("d", ["01/13/2024 10:30", " 5 Mar 2024 ", "12-31-2024", ""])],
+        "file_id string, cells array<string>")
+    headers = spark.createDataFrame(
+        [("a", ["Date", "Amount", "Note"]), ("b", ["Date"]), ("d", ["w", "x", "y", "z", "u"]), ("e", ["Date"]), ("a", ["Date", "Sum"])],
+        "file_id string, header array<string>")
+    facts = mapping.column_evidence(headers, rows)
+    got = {(r.file_id, r.position, r.column): (r.holds_dates, r.holds_money, r.date_order) for r in facts.collect()}
+    assert facts.count() == len(got)
+    assert got == {
+        ("a", 0, "Date"): (True, False, "DAY_FIRST"), ("a", 1, "Amount"): (False, False, "AMBIGUOUS"),
+        ("a", 1, "Sum"): (False, False, "AMBIGUOUS"), ("a", 2, "Note"): (False, False, "AMBIGUOUS"),
+        ("b", 0, "Date"): (False, False, "AMBIGUOUS"), ("d", 0, "w"): (True, False, "MONTH_FIRST"),
+        ("d", 1, "x"): (True, False, "ISO"), ("d", 2, "y"): (True, False, "MONTH_FIRST"),
+        ("d", 3, "z"): (False, False, "AMBIGUOUS"), ("d", 4, "u"): (False, False, "AMBIGUOUS")}
+    # the records are moved by no join: what is shuffled are sums
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode(header") < plan.index("Join Inner") < plan.index("Generate posexplode(cells")
