@@ -5,6 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tallystone.operators import ranking
 from tallystone.plans.catalogue import QUERIES
 from tallystone.session import portions
 from tallystone.streaming import flows
@@ -97,3 +98,22 @@ def test_levers_start_from_pairs_computed_once(spark, tmp_path):
     levers = QUERIES["k12_negotiation_levers"](spark, str(tmp_path))
     assert not [path for path in levers.inputFiles() if "customer.parquet" in path]
     assert levers.groupBy("pair_id").count().filter("count = 4").count() == 5
+
+
+def test_a_delivery_with_one_large_account_is_imported_like_others(spark, tmp_path, monkeypatch):
+    source = str(tmp_path / "in")
+    for name, accounts in (("f1", (1, 1, 1, 1, 2)), ("f2", (1, 2, 2, 3))):
+        rows = [(f"{name}-{i}", a, f"{name}-{a}", i, dt.date(2026, 8, 17), "A", Decimal("-1.00"), "USD", f"T{a}{i}")
+                for i, a in enumerate(accounts)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+
+    def run(name, crowded):
+        monkeypatch.setattr(ranking, "CROWDED", crowded)
+        ledger = str(tmp_path / name)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        flows.import_deliveries(stream, ledger, f"{ledger}-progress").awaitTermination()
+        assert list((tmp_path / name).glob("run=*/batch=*/bucket=*/*.zstd.parquet"))
+        return sorted((r["external_id"], r["occurrence"]) for r in spark.read.schema(flows.STORED).parquet(ledger).collect())
+
+    want = [("T10", 1), ("T11", 2), ("T12", 3), ("T13", 4), ("T21", 2), ("T22", 3), ("T24", 1), ("T33", 1)]
+    assert [run(f"ledger-{c}", c) for c in (3, 1 << 16)] == [want] * 2
