@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import dates, identity, text
 from tallystone.operators import importing, mapping
+from tallystone.operators.ranking import apart
 from tallystone.plans import bank_text
 from tallystone.plans.derived import duck, view
 from tallystone.plans.registry import query
@@ -472,9 +473,12 @@ _RUN = f"""select *, {_FP} as fingerprint, row_number() over (partition by accou
        union all select *, 2 from bank_rows where part_id % 4 <> 0)"""
 
 
+def _numbered_charges(rows, whole=False):
+    return importing.number_occurrences(importing.with_fingerprint(rows), "id", whole)
+
+
 def _stored(spark, sf):
-    rows = importing.with_fingerprint(view(spark, sf, "stored_rows"))
-    return importing.number_occurrences(rows, "id")
+    return _numbered_charges(view(spark, sf, "stored_rows"))
 
 
 def _run(spark, sf):
@@ -482,8 +486,15 @@ def _run(spark, sf):
     both = rows.filter("part_id % 2 = 0").withColumn("file_order", F.lit(1)).unionByName(
         rows.filter("part_id % 4 <> 0").withColumn("file_order", F.lit(2))
     )
-    both = both.withColumn("file_id", F.concat_ws("/", "file_id", "file_order"))
-    return importing.number_occurrences(importing.with_fingerprint(both), "id")
+    return both.withColumn("file_id", F.concat_ws("/", "file_id", "file_order"))
+
+
+def _resolved(spark, sf, resolve):
+    """The run against what is stored: both are moved once, by account, before they grow by their marks."""
+    def work(run, stored, whole):
+        return resolve(_numbered_charges(run, whole), _numbered_charges(stored, whole), whole)
+
+    return apart(work, ["account_id"], _run(spark, sf), view(spark, sf, "stored_rows"))
 
 
 _E2 = """
@@ -497,7 +508,7 @@ from run r"""
 
 @query("e2_snapshot_resolution", duck("stored_rows", _E2, stored=_STORED, run=_RUN))
 def e2(spark, sf):
-    return importing.resolve_snapshot(_run(spark, sf), _stored(spark, sf)).select(
+    return importing.resolve_snapshot(_numbered_charges(_run(spark, sf)), _stored(spark, sf)).select(
         "id", "file_id", "occurrence", "already_stored"
     )
 
@@ -508,7 +519,7 @@ _OUTCOME = """select file_id, count(*) as attempted, count(*) filter (where not
 
 @query("f35_import_outcome", duck("stored_rows", _OUTCOME, stored=_STORED, run=_RUN, resolved=_E2))
 def f35(spark, sf):
-    return importing.import_outcome(importing.resolve_snapshot(_run(spark, sf), _stored(spark, sf)))
+    return importing.import_outcome(importing.resolve_snapshot(_numbered_charges(_run(spark, sf)), _stored(spark, sf)))
 
 
 _E3 = """
@@ -527,7 +538,7 @@ from (select *, max(case when delivery = 1 and not already_stored then occurrenc
 
 @query("e3_incremental_resolution", duck("stored_rows", _E3, stored=_STORED, run=_RUN))
 def e3(spark, sf):
-    return importing.resolve_incremental(_run(spark, sf), _stored(spark, sf)).select(
+    return _resolved(spark, sf, importing.resolve_incremental).select(
         "id", "file_id", "occurrence", "already_stored", "stored_occurrence"
     )
 

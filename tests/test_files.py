@@ -1,8 +1,11 @@
 """Real files through reading, mapping, parsing, gating, storing."""
 
 import csv
+import datetime as dt
 import hashlib
 import io
+import re
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -345,3 +348,57 @@ def test_records_meet_the_headers_only_after_their_cells_are_summed(spark):
     # the records are moved by no join: what is shuffled are sums
     plan = facts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("posexplode(header") < plan.index("Join Inner") < plan.index("Generate posexplode(cells")
+
+
+def moves(frame):
+    """How often the plan that ran deals rows out by keys, but for the counts of buckets."""
+    frame.collect()
+    ran = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum(" Exchange hashpartitioning(" in line and not re.search("_bucket|ReusedExchange", line) for line in ran.split("\n"))
+
+
+def charges_of(spark, rows, order=1):
+    kinds = ("account_id bigint, file_id string, line bigint, id string, posted_on date, merchant string, amount decimal(18,2),"
+             " currency string, external_id string, file_order int")
+    return spark.createDataFrame(
+        [(a, f, n, f"{i}", dt.date(2026, 8, day), "M", Decimal(x), c, e, order) for i, (a, f, n, day, x, c, e) in enumerate(rows)], kinds)
+
+
+def two_deliveries(spark):
+    first = charges_of(spark, [(a, f"{a}-f", n, 17 + n % 2, "1", ("USD", None)[n % 3 == 0], e) for a in (1, 2, None)
+                               for n, e in enumerate(["A", "B", None, "C", None, "Z", "D"])])
+    second = charges_of(spark, [(a, f"{a}-g", n, 17 + n % 2, "1", ("USD", None)[n % 3 == 0], e) for a in (1, 2, 3, None)
+                                for n, e in enumerate(["B", "E", None, None, "F", "A", None, None, "G"])], 2)
+    third = charges_of(spark, [(a, f"{a}-h", n, 17, "1.00", "USD", f"H{n}") for a in (1, 3) for n in range(4)], 3)
+    stored = charges_of(spark, [(a, f"{a}-s", n, 17 + n % 2, "1", "USD", e) for a in (1, 3, None) for n, e in enumerate(["A", None, "E", "X", "Y"])])
+    return first.unionByName(second).unionByName(third), stored
+
+
+def numbered(rows, whole):
+    return importing.number_occurrences(importing.with_fingerprint(rows), "id", whole)
+
+
+@pytest.mark.parametrize("resolve", [importing.resolve_incremental])
+def test_charges_are_resolved_alike_whether_accounts_are_whole_or_cut(spark, monkeypatch, resolve):
+    run, stored = two_deliveries(spark)
+    was = resolve(numbered(run, False), numbered(stored, False))
+
+    def work(rows, known, whole):
+        return resolve(numbered(rows, whole), numbered(known, whole), whole)
+
+    def told(frame):
+        return sorted(map(repr, frame.select(*was.columns).collect()))
+
+    for crowded in (20, 1 << 16):  # the larger accounts are cut, none is
+        monkeypatch.setattr(ranking, "CROWDED", crowded)
+        assert told(ranking.apart(work, ["account_id"], run, stored)) == told(was)
+
+
+@pytest.mark.parametrize("resolve", [importing.resolve_incremental])
+def test_charges_are_moved_once_by_account(spark, resolve):
+    run, stored = two_deliveries(spark)
+
+    def work(rows, known, whole):
+        return resolve(numbered(rows, whole), numbered(known, whole), whole)
+
+    assert moves(ranking.apart(work, ["account_id"], run, stored)) == 2
