@@ -402,3 +402,20 @@ def test_charges_are_moved_once_by_account(spark, resolve):
         return resolve(numbered(rows, whole), numbered(known, whole), whole)
 
     assert moves(ranking.apart(work, ["account_id"], run, stored)) == 2
+
+
+def test_entries_are_judged_alike_whether_accounts_are_whole_or_cut(spark, monkeypatch):
+    _, stored = two_deliveries(spark)
+    stored = numbered(stored, False).select("account_id", "fingerprint", "occurrence")
+    stored = spark.createDataFrame(stored.collect(), stored.schema)
+    marks = sorted(r[0] for r in stored.select("fingerprint").distinct().collect())
+    entries = spark.createDataFrame(
+        [(n, a, m, r) for n, (a, m, r) in enumerate(
+            (a, m, r) for r in (None, False, True, False, None, True) for a in (1, 2, 3, None) for m in [*marks, "new"])],
+        "seq bigint, account_id bigint, fingerprint string, repeat boolean")
+    was = importing.enter_manually(entries, stored)
+    for crowded in (15, 1 << 16):
+        monkeypatch.setattr(ranking, "CROWDED", crowded)
+        got = ranking.apart(importing.enter_manually, ["account_id"], entries, stored)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, was.collect()))
+    assert moves(got) == 2
