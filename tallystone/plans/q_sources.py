@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallystone.operators import scenario
-from tallystone.operators.ranking import running_total
+from tallystone.operators.ranking import apart, running_total
 from tallystone.plans.derived import duck, view
 from tallystone.plans.q_scenario import _BASE, _COMPONENTS, _impacts
 from tallystone.plans.registry import query
@@ -18,35 +18,40 @@ _TEXT = """case when part_id % 10 = 0 then concat(merchant, ', first', chr(10),
   when part_id % 11 = 0 then concat('5" ', merchant) else merchant end"""
 
 
-def _lines(spark, sf):
+def _lines(rows, whole):
     """Statement rows as lines of CSV text: quoted commas, quotes and newlines, stray
     quotes, blank lines."""
-    rows = view(spark, sf, "bank_rows").select(
+    rows = rows.select(
         "file_id", "id", "line", "part_id", "posted_on", "amount", F.expr(_TEXT).alias("said"),
         F.expr(_HEIGHT).alias("height"), F.expr(_BLANK).alias("blank"),
     )
     placed = running_total(
         rows, ["file_id"], F.floor(F.col("line") / 65536), ["line", "id"],
-        (F.col("height") + F.col("blank")).cast("bigint"), "upto",
-    ).withColumn("start", F.lit(2) + F.col("upto") - F.col("height") - F.col("blank"))
+        (F.col("height") + F.col("blank")).cast("bigint"), "upto", whole,
+    ).withColumn("above", F.col("upto") - F.col("height") - F.col("blank"))
     quoted = F.concat(F.lit('"'), F.replace("said", F.lit('"'), F.lit('""')), F.lit('"'))
     said = F.when(F.expr("part_id % 10 = 0 or part_id % 7 = 0"), quoted).otherwise(F.col("said"))
     text = F.concat_ws(",", F.col("posted_on").cast("string"), said, F.col("amount").cast("string"),
                        F.concat(F.lit('"'), "id", F.lit('"')))
-    parts = F.concat(F.split(text, "\n"), F.when(F.col("blank") == 1, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
-    body = placed.select("file_id", "start", F.posexplode(parts).alias("p", "text")).select(
+    none, first = F.array().cast("array<string>"), F.col("above") == 0
+    head = F.when(first, F.array(F.lit("Date,Details,Amount,Id"))).otherwise(none)
+    parts = F.concat(head, F.split(text, "\n"), F.when(F.col("blank") == 1, F.array(F.lit(""))).otherwise(none))
+    start = F.when(first, 1).otherwise(F.lit(2) + F.col("above"))
+    return placed.select("file_id", start.alias("start"), F.posexplode(parts).alias("p", "text")).select(
         "file_id", (F.col("start") + F.col("p")).alias("line_no"), "text")
-    head = rows.select("file_id").distinct().select(
-        "file_id", F.lit(1).cast("bigint").alias("line_no"), F.lit("Date,Details,Amount,Id").alias("text"))
-    return head.unionByName(body)
 
 
 @query("a1_records_with_lines", duck("bank_rows", f"""
 select file_id, (2 + sum({_HEIGHT} + {_BLANK}) over (partition by file_id order by line, id) - {_HEIGHT} - {_BLANK})::bigint as line,
   posted_on::varchar as date, {_TEXT} as details, amount::varchar as amount, id from bank_rows"""))
 def a1(spark, sf):
-    headers, rows = bankfiles.split_header(bankfiles.records_from_lines(_lines(spark, sf)))
-    named = bankfiles.named_columns(headers, rows, ["Date", "Details", "Amount", "Id"])
+    def named_rows(rows, whole):
+        headers, records = bankfiles.split_header(bankfiles.records_from_lines(_lines(rows, whole), whole))
+        return bankfiles.named_columns(headers, records, ["Date", "Details", "Amount", "Id"])
+
+    # a file's rows are moved once and rendered, read as records and named where they lie
+    named = apart(named_rows, ["file_id"], view(spark, sf, "bank_rows").select(
+        "file_id", "id", "line", "part_id", "posted_on", "amount", "merchant"))
     return named.select("file_id", "line", F.col("Date").alias("date"), F.col("Details").alias("details"),
                         F.col("Amount").alias("amount"), F.col("Id").alias("id"))
 

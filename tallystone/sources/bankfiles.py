@@ -48,17 +48,19 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def number_records(lines: DataFrame) -> DataFrame:
+def number_records(lines: DataFrame, whole: bool = False) -> DataFrame:
     """Adds ``starts``, false where a quoted field from above is still open, and ``record_no``.
 
     A line either leaves the quoting as it found it, turns it over, or settles it. The
     state above a line is what the last settling line left, turned over once for every
     turning line since. A chunk of lines is read for both states it may begin in; which
-    one holds, and how many records begin before it, comes from one row per chunk.
+    one holds, and how many records begin before it, comes from one row per chunk. Where no
+    file is too large for a task, files are ``whole`` and never cut: see ``ranking.apart``.
     """
     from_outside = ~F.col("text").rlike(ENDS_OUTSIDE)
     from_inside = ~F.col("text").rlike(CLOSES_AND_ENDS_OUTSIDE)
-    part = F.struct("file_id", F.floor(F.col("line_no") / CHUNK_LINES).alias("chunk"))
+    chunk = F.floor(F.col("line_no") / CHUNK_LINES).alias("chunk")
+    part = F.col("file_id") if whole else F.struct("file_id", chunk)
     judged = lines.select(
         part.alias("_part"), "line_no", "text", from_outside.alias("_o"), from_inside.alias("_i"))
     upto = W.partitionBy("_part").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -69,6 +71,10 @@ def number_records(lines: DataFrame) -> DataFrame:
     placed = turned.withColumn("_settled", settled).withColumn("_last", F.max("_settled").over(above))
     odd = (F.col("_turns") - F.col("_turn") - F.coalesce(F.col("_last.turns"), F.lit(0))) % 2 == 1
     from_out = F.coalesce(F.col("_last.open"), F.lit(False)) == odd
+    if whole:
+        return placed.withColumn("starts", from_out).select(
+            F.col("_part").alias("file_id"), "line_no", "text", "starts",
+            F.sum(F.col("starts").cast("bigint")).over(upto).alias("record_no"))
     both = placed.withColumn("_from_out", from_out).withColumn(
         "_from_in", F.when(F.col("_last").isNull(), ~F.col("_from_out")).otherwise(F.col("_from_out")))
     both = both.select(
@@ -123,9 +129,9 @@ def split_cells(record: Column) -> Column:
     return F.when(record == "", F.array().cast("array<string>")).otherwise(F.transform(raw, plain))
 
 
-def records_from_lines(lines: DataFrame) -> DataFrame:
+def records_from_lines(lines: DataFrame, whole: bool = False) -> DataFrame:
     """(file_id, record_no, line, cells); blank lines count as lines and yield nothing."""
-    numbered = number_records(lines)
+    numbered = number_records(lines, whole)
     # a group is one record: the lines its quoted fields span
     records = numbered.groupBy("file_id", "record_no").agg(
         F.min("line_no").alias("line"),

@@ -419,3 +419,26 @@ def test_entries_are_judged_alike_whether_accounts_are_whole_or_cut(spark, monke
         got = ranking.apart(importing.enter_manually, ["account_id"], entries, stored)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, was.collect()))
     assert moves(got) == 2
+
+
+def test_records_of_whole_files_are_read_where_they_lie(spark, monkeypatch):
+    body = AWKWARD.replace("\r\n", "\n").split("\n")
+    lines = spark.createDataFrame(
+        [(f, i + 1, t) for f, cut in (("a", 0), ("b", 3), (None, 0)) for i, t in enumerate(body[cut:])],
+        "file_id string, line_no bigint, text string")
+
+    def work(lines, whole):
+        headers, rows = bankfiles.split_header(bankfiles.records_from_lines(lines, whole))
+        return bankfiles.named_columns(headers, rows, ["Date", "Details", "Amount"])
+
+    was = sorted(map(repr, work(lines, False).collect()))
+    assert len(was) > 8
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for crowded in (0, 1 << 16):
+            monkeypatch.setattr(ranking, "CROWDED", crowded)
+            got = ranking.apart(work, ["file_id"], lines)
+            assert sorted(map(repr, got.collect())) == was
+        assert moves(got) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
