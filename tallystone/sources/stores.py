@@ -17,12 +17,13 @@ def merge_unseen(existing: DataFrame, incoming: DataFrame, key: list[str]) -> Da
 def append_ledger(rows: DataFrame, path: str) -> None:
     """New charges with their provenance, one folder per posting month.
 
-    A month's rows are spread over tasks by account, so a hot month is not one task.
+    Rows are written by the tasks that hold them, so a hot month is not one task; rows that
+    come numbered lie by account or by parts of one.
     """
     month = F.date_format("posted_on", "yyyy-MM")
     rows.withColumn("posted_month", month).withColumn(
         "fingerprint_version", F.lit(FINGERPRINT_VERSION)
-    ).repartition("posted_month", "account_id").write.mode("append").partitionBy("posted_month").parquet(path)
+    ).write.mode("append").option("compression", "zstd").partitionBy("posted_month").parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

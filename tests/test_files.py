@@ -442,3 +442,16 @@ def test_records_of_whole_files_are_read_where_they_lie(spark, monkeypatch):
         assert moves(got) == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_ledger_is_written_by_the_tasks_that_hold_its_rows(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id", "id % 3 as account_id", "date_add(date '2026-01-30', cast(id % 4 as int)) as posted_on")
+    context = spark.sparkContext
+    context.setJobGroup("ledger", "append")
+    stores.append_ledger(rows, str(tmp_path / "ledger"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    assert [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("ledger")] == [1]
+    read = stores.read_ledger(spark, str(tmp_path / "ledger"))
+    assert {r["posted_month"]: r["count"] for r in read.groupBy("posted_month").count().collect()} == {"2026-01": 20, "2026-02": 20}
+    assert list((tmp_path / "ledger").glob("*/*.zstd.parquet"))
