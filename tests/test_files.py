@@ -378,7 +378,7 @@ def numbered(rows, whole):
     return importing.number_occurrences(importing.with_fingerprint(rows), "id", whole)
 
 
-@pytest.mark.parametrize("resolve", [importing.resolve_incremental])
+@pytest.mark.parametrize("resolve", [importing.resolve_incremental, importing.resolve_snapshot])
 def test_charges_are_resolved_alike_whether_accounts_are_whole_or_cut(spark, monkeypatch, resolve):
     run, stored = two_deliveries(spark)
     was = resolve(numbered(run, False), numbered(stored, False))
@@ -394,7 +394,7 @@ def test_charges_are_resolved_alike_whether_accounts_are_whole_or_cut(spark, mon
         assert told(ranking.apart(work, ["account_id"], run, stored)) == told(was)
 
 
-@pytest.mark.parametrize("resolve", [importing.resolve_incremental])
+@pytest.mark.parametrize("resolve", [importing.resolve_incremental, importing.resolve_snapshot])
 def test_charges_are_moved_once_by_account(spark, resolve):
     run, stored = two_deliveries(spark)
 
